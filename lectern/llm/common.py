@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 #: White space of every word rule here: blank, and tab to carriage return.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,6 +95,25 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             start = stop
 
 
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back to the system at its end: a worker waits for its next task, perhaps of another stage."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_text(column: pa.Array) -> pa.Array:
     """Strings with nulls as empty texts, in one fresh buffer without an offset."""
     return pa.concat_arrays([pc.fill_null(column.cast(pa.large_string()), "")])

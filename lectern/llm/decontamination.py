@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Words, as_text, byte_table, columns_of, slices
+from lectern.llm.common import Words, as_text, byte_table, columns_of, slices, tidy
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -283,7 +283,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     df = df.select("*", F.lit(0).cast("bigint").alias("_n"), F.array().cast(SPANS).alias("_spans"), F.array().cast("array<string>").alias("_items"))
     k = len(names)
     for block in [*blocks(benchmark)] or [[]]:
-        df = df.mapInArrow(_step(block, window, text, k + 1, k + 2, k), df.schema)
+        df = df.mapInArrow(tidy(_step(block, window, text, k + 1, k + 2, k)), df.schema)
     return df
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_text, columns_of, slices, written
+from lectern.llm.common import as_text, columns_of, slices, tidy, written
 from lectern.llm.tokens import encoder
 
 WINDOW = 2048
@@ -115,7 +115,7 @@ def cut(batches: Iterator[pa.RecordBatch], window: int, end: int, keep_ids: bool
 def pieces(docs: DataFrame, window: int = WINDOW, end: int = END, keep_ids: bool = False) -> DataFrame:
     """The pieces of all documents, with their ids if asked."""
     rows = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return rows.mapInArrow(lambda it: cut(it, window, end, keep_ids), PIECES + ", ids array<int>" * keep_ids)
+    return rows.mapInArrow(tidy(lambda it: cut(it, window, end, keep_ids)), PIECES + ", ids array<int>" * keep_ids)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, end: int = END, per_group: int = PER_GROUP, keep_ids: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Words, as_text, byte_table, columns_of, slices
+from lectern.llm.common import Words, as_text, byte_table, columns_of, slices, tidy
 from lectern.llm.decontamination import hashes
 
 FIT_TEXTS, FIT_CHARS = 5_000, 20_000
@@ -182,7 +182,7 @@ def pattern_counts(docs: DataFrame) -> dict[tuple[int, ...], int]:
             found.update(dict(zip(map(tuple, rows.tolist()), n.tolist(), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.list_(pa.int32())), pa.array(list(found.values()), pa.int64())], ["calls", "n"])
 
-    rows = columns_of(docs, "text").mapInArrow(run, "calls array<int>, n bigint").groupBy("calls").agg(F.sum("n").alias("n")).collect()
+    rows = columns_of(docs, "text").mapInArrow(tidy(run), "calls array<int>, n bigint").groupBy("calls").agg(F.sum("n").alias("n")).collect()
     return {tuple(r["calls"]): r["n"] for r in rows}
 
 
@@ -248,7 +248,7 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good), pa.array(score), pa.array(kept)], [*batch.schema.names, "_posterior", "_score", "_kept"])
 
     more = df.select("*", F.lit(0.0).alias("_posterior"), F.lit(0.0).alias("_score"), F.lit(True).alias("_kept"))
-    return df.mapInArrow(run, more.schema)
+    return df.mapInArrow(tidy(run), more.schema)
 
 
 def classify(docs: DataFrame) -> DataFrame:

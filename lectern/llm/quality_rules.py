@@ -135,11 +135,11 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def filtered(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The documents that are kept, with their columns. Texts are written once, with their counts."""
+    """The documents that are kept, with their columns. Hosts are summed in a pass of their own, so that no text is
+    written or shuffled on the way."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    key = {n: F.col(f"c{names.index(n)}") for n in ("doc_id", "text", "source")}
-    rows = plain.select(F.struct(*plain.columns).alias("_row"), key["doc_id"].alias("doc_id"), key["text"].alias("text"), key["source"].alias("_host"))
-    feats = written(features(rows, ["_row", "doc_id", "_host"]), "rule-docs")
-    judged = with_verdict(feats, host_rates(feats, "_host"), "_host", host_limit)
-    return judged.where("kept").select(*[F.col(f"_row.c{i}").alias(n) for i, n in enumerate(names)])
+    at = {n: F.col(f"c{names.index(n)}").alias(f"_{n}") for n in ("doc_id", "text", "source")}
+    hosts = host_rates(features(plain.select(at["text"].alias("text"), at["source"]), ["_source"]), "_source")
+    rows = features(plain.select("*", at["doc_id"].alias("doc_id"), at["text"].alias("text"), at["source"]), [*plain.columns, "doc_id", "_source"])
+    return with_verdict(rows, hosts, "_source", host_limit).where("kept").select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])

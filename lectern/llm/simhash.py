@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Words, as_text, byte_table, columns_of, join_hot, parts, ragged, slices, written
+from lectern.llm.common import Words, as_text, byte_table, columns_of, join_hot, parts, ragged, slices, tidy, written
 from lectern.llm.components import connected_components
 
 SHINGLE = 4
@@ -82,7 +82,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             fp = fingerprints(Words(as_text(batch.column(text)), TABLE))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "_fp"])
 
-    return df.mapInArrow(run, df.withColumn("_fp", F.lit(0).cast("bigint")).schema)
+    return df.mapInArrow(tidy(run), df.withColumn("_fp", F.lit(0).cast("bigint")).schema)
 
 
 # ---------------------------------------------------------------- links

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_text, columns_of, fold, slices
+from lectern.llm.common import as_text, columns_of, fold, slices, tidy
 
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 3_000, 5_000, 20_000
 WINDOW, STEP = 64, 48
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = np.array([scorer.score(normal(t.as_py())) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, OUT)
+    return rows.mapInArrow(tidy(run), OUT)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

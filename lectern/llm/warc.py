@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import columns_of, join_hot, new_path, slices, written
+from lectern.llm.common import columns_of, join_hot, new_path, slices, tidy, written
 
 MIN_REVISIT = 100
 SEGMENT_BYTES = 16_384
@@ -136,7 +136,7 @@ def write(pages: DataFrame, path: str) -> None:
             for i in range(0, len(out), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 500], pa.binary())], ["value"])
 
-    plan(pages).mapInArrow(lines, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    plan(pages).mapInArrow(tidy(lines), "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 PARSED = "origin string, segment int, total bigint, kind string, page_id bigint, digest string, refers_to bigint, block binary"
@@ -198,7 +198,7 @@ def _decoded(keep_payload: bool):
 def read(spark, path: str, keep_payload: bool = False) -> DataFrame:
     """A row of READ for each response or revisit in the archives under the path; error says what is wrong with it."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    parsed = files.mapInArrow(_parse, PARSED)
+    parsed = files.mapInArrow(tidy(_parse), PARSED)
     part = F.struct("segment", "block")
     whole = parsed.where("segment is null").select("kind", "page_id", "digest", "refers_to", "total", F.array(part).alias("parts"))
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
