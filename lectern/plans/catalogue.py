@@ -1,4 +1,439 @@
-"""Queries of the text operators, by name, and their SQL."""
+"""Queries of the text operators, by name, over the dressed corpus and other tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.functions import pauses as P
+from lectern.functions import rules as R
+from lectern.functions import segments as S
+from lectern.functions import text as T
+from lectern.functions.rules import apply_sql, sql_text
+from lectern.operators import analytics as A
+from lectern.plans import oracle as O
+from lectern.plans.corpus import DRESSED, documents, dressed
+from lectern.plans.prepare import CleaningOptions, clean, prepare_script, prepare_standard
+from lectern.sources import files
+from lectern.streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def on_text(name: str, f: Callable[[Column], Column], sql: str | None) -> None:
+    """A query that maps each dressed text."""
+    QUERIES[name] = lambda spark, d: dressed(spark, d).select("doc_id", T.bind(F.col("text"), f).alias("text"))
+    if sql:
+        ORACLE_SQL[name] = O.column(sql)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned texts, beside the issues they had."""
+    docs = dressed(spark, sf_dir)
+    return docs.select("doc_id", T.bind(F.col("text"), clean).alias("text")).join(A.issue_profile(docs), "doc_id")
+
+
+# ---------------------------------------------------------------- A: sources and sinks
+
+
+@query("a01_scan_documents", "SELECT doc_id, lang, source, n_chars FROM documents")
+def _(spark, d):
+    return files.scan_documents(spark, f"{d}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("a02_admit", "SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'too large' WHEN doc_id % 7 = 1 THEN 'old Word format: save as .docx' WHEN doc_id % 7 = 2 THEN 'not a format: save as .odt' WHEN doc_id % 7 = 3 THEN 'unknown kind' WHEN doc_id % 7 = 4 THEN 'no reader for this kind' ELSE 'accepted' END AS reason FROM documents")
+def _(spark, d):
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("txt", "doc", "odtx", "exe", "pdf", "docx", "TXT")]), (F.col("doc_id") % 7 + 1).cast("int"))
+    rows = documents(spark, d).select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("."), kinds).alias("path"), F.col("n_chars").alias("length"))
+    good, bad = files.admit(rows, 5000)
+    found = good.select("path", F.lit("accepted").alias("reason")).unionByName(bad.select("path", "reason"))
+    return found.select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("bigint").alias("doc_id"), "reason")
+
+
+@query("a03_decode_text", "SELECT doc_id, text FROM documents")
+def _(spark, d):
+    as_bytes = documents(spark, d).select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit(bytearray(b"\xef\xbb\xbf"))).otherwise(F.lit(bytearray(b""))), F.col("text").cast("binary")).alias("content"))
+    return files.decode_text(as_bytes).select(F.regexp_extract("path", r"/(\d+)\z", 1).cast("bigint").alias("doc_id"), "text")
+
+
+@query("a04_score_german", O.base(f"SELECT doc_id, {O.score_german('text')} AS score FROM dressed"))
+def _(spark, d):
+    return dressed(spark, d).select("doc_id", files.score_german(F.col("text")).alias("score"))
+
+
+@query("a05_best_candidate", O.base(f"SELECT doc_id, CAST(cand_no AS INTEGER) AS cand_no, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cand_no) AS r FROM (SELECT doc_id, cand_no, {O.score_german('t')} AS score FROM (SELECT doc_id, 0 AS cand_no, replace(text, 'ü', 'Ã¼') AS t FROM dressed UNION ALL SELECT doc_id, 1, text FROM dressed UNION ALL SELECT doc_id, 2, replace(text, 'ö', '?') FROM dressed))) WHERE r = 1"))
+def _(spark, d):
+    docs = dressed(spark, d)
+    cases = F.array(*[F.struct(F.lit(i).alias("cand_no"), t.alias("text")) for i, t in enumerate((F.replace("text", F.lit("ü"), F.lit("Ã¼")), F.col("text"), F.replace("text", F.lit("ö"), F.lit("?"))))])
+    found = docs.select(F.col("doc_id").alias("path"), F.inline(cases))
+    return files.best_candidate(found).select(F.col("path").alias("doc_id"), "cand_no", "score")
+
+
+@query("a08_write_corpus")
+def _(spark, d):
+    path = tempfile.mkdtemp(prefix="lectern-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/corpus-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    docs = dressed(spark, d).select(F.concat(F.col("source"), F.lit(".txt")).alias("name"), "text")
+    files.write_corpus(docs, path, F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    return spark.read.text(path).groupBy("file").agg(F.count("*").alias("n_lines"), F.sum(F.length("value")).alias("n_chars"))
+
+
+@query("a09_safe_file_name", "SELECT page_id, CASE WHEN n = '' THEN 'output' ELSE substring(n, 1, 200) END AS name FROM (SELECT page_id, trim(regexp_replace(regexp_replace(url, '\\.[^/.]+$', ''), '[<>:\"/\\\\|?*]', '_', 'g')) AS n FROM pages)")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", files.safe_file_name(F.col("url")).alias("name"))
+
+
+@query("a10_upsert_sessions", "SELECT key, text, saved_at FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY saved_at DESC, is_new DESC, text DESC) AS r FROM (SELECT CAST(user_id AS VARCHAR) AS key, event_type || CAST(event_id AS VARCHAR) AS text, ts AS saved_at, event_id % 2 AS is_new FROM events) WHERE key NOT LIKE '9%') WHERE r = 1")
+def _(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.concat("event_type", F.col("event_id").cast("string")).alias("text"), F.col("ts").alias("saved_at"), "event_id")
+    return files.upsert_sessions(e.where("event_id % 2 = 1").drop("event_id"), e.where("event_id % 2 = 0").drop("event_id"), "9")
+
+
+# ---------------------------------------------------------------- B: cleaning
+
+PAIRS = [("der", "DER"), ("a.b", "$1"), ("", "x"), ("Weiter im", "Fort")]
+on_text("b01_custom_replacements", lambda c: T.custom_replacements(c, PAIRS), "replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)der', 'DER', 'g'), '(?i)a\\.b', '$1', 'g'), '(?i)Weiter im', 'Fort', 'g'), '', '')")
+on_text("b02_expand_abbreviations", T.expand_abbreviations, O.expand_abbreviations("text"))
+for _name, _f, _rules in (
+    ("b03_normalize_eol", T.normalize_eol, R.END_OF_LINES),
+    ("b04_drop_page_numbers", T.drop_page_numbers, R.PAGE_NUMBERS),
+    ("b05_drop_rules", T.drop_rules, R.RULE_LINES),
+    ("b06_drop_toc", T.drop_toc, R.CONTENTS),
+    ("b07_drop_chapter_markers", T.drop_chapter_markers, R.CHAPTERS),
+    ("b08_lists_to_prose", T.lists_to_prose, R.LISTS),
+    ("b09_join_hyphenation", T.join_hyphenation, R.HYPHENS),
+    ("b10_drop_urls", T.drop_urls, R.URLS),
+    ("b11_drop_emails", T.drop_emails, R.EMAILS),
+    ("b12_drop_references", T.drop_references, R.REFERENCES),
+    ("b13_fix_typography", T.fix_typography, R.TYPOGRAPHY),
+    ("b14_speak_decimals", T.speak_decimals, R.DECIMALS),
+    ("c02_invisible_to_space", T.invisible_to_space, R.INVISIBLE),
+    ("c03_join_hyphenation_strict", T.join_hyphenation_strict, R.HYPHENS_STRICT),
+    ("c05_drop_control", T.drop_control, R.CONTROL),
+    ("c06_collapse_space", T.collapse_space, R.COLLAPSE),
+    ("e05_remove_pause_tags", P.remove_pause_tags, R.REMOVE_TAGS),
+):
+    on_text(_name, _f, apply_sql(_rules, "text"))
+on_text("b15_phonetic", T.phonetic, O.phonetic("text"))
+
+
+@query("b16_strip_assistant_boilerplate", f"SELECT conv_id, turn, {apply_sql(R.BOILERPLATE, 'text')} AS text FROM conversations WHERE role = 'assistant'")
+def _(spark, d):
+    return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.strip_assistant_boilerplate(F.col("text")).alias("text"))
+
+
+@query("b17_protect_lines", O.base(f"SELECT doc_id, text, CAST(len(list_filter(string_split(text, chr(10)), lambda x: {O.is_stage('x')})) AS INTEGER) AS n_saved FROM dressed"))
+def _(spark, d):
+    p = dressed(spark, d).select("doc_id", T.bind(F.col("text"), T.protect_lines).alias("p"))
+    return p.select("doc_id", T.restore_lines(F.col("p.text"), F.col("p.saved")).alias("text"), F.size("p.saved").alias("n_saved"))
+
+
+@query("b18_search_replace", O.base("SELECT doc_id, regexp_replace(text, '(?i)[aeiou]n', '<n>', 'g') AS text, CAST(len(regexp_extract_all(text, '(?i)[aeiou]n')) AS BIGINT) AS n_hits FROM dressed"))
+def _(spark, d):
+    return dressed(spark, d).select("doc_id", T.search_replace(F.col("text"), "[aeiou]n", "<n>", regex=True).alias("r")).select("doc_id", "r.text", "r.n_hits")
+
+
+on_text("b19_clean", clean, O.clean("text"))
+
+
+@query("b19_clean_script")
+def _(spark, d):
+    return dressed(spark, d).select("doc_id", T.bind(F.col("text"), lambda c: clean(c, CleaningOptions(script=True))).alias("text"))
+
+
+# ---------------------------------------------------------------- C: sanitizing
+
+
+@query("c01_nfc", "SELECT doc_id, nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776))) AS text FROM documents")
+def _(spark, d):
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("é")), F.lit("ü"), F.lit("ü"))
+    return T.nfc(documents(spark, d).select("doc_id", apart.alias("text")))
+
+
+on_text("c04_drop_ghost_lines", T.drop_ghost_lines, O.ghost("text"))
+on_text("c07_paragraph_filter", T.paragraph_filter, f"array_to_string({O.paragraph_list('text')}, chr(10) || chr(10))")
+
+
+@query("c08_split_long_paragraph", O.pieces("dressed", "[regexp_replace(text, '\\s+', ' ', 'g')]"))
+def _(spark, d):
+    p = dressed(spark, d).select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("p"))
+    return p.select("doc_id", F.array_join(T.split_long_paragraph(F.col("p")), "\n\n").alias("text"))
+
+
+on_text("c09_sanitize", T.sanitize, None)
+ORACLE_SQL["c09_sanitize"] = O.pieces("dressed", O.paragraph_list(O.before_paragraphs("text")))
+
+# ---------------------------------------------------------------- D: segmentation
+
+CHUNK = 1000
+
+
+@query("d01_smart_split", O.smart_split(CHUNK))
+def _(spark, d):
+    return S.explode_chunks(dressed(spark, d).select("doc_id", "text"), CHUNK)
+
+
+@query("d02_explode_lines", O.exploded("string_split(text, chr(10))", "line_no", "line"))
+def _(spark, d):
+    return S.explode_lines(dressed(spark, d))
+
+
+@query("d03_explode_paragraphs", O.exploded("string_split_regex(text, '\\n{2,}')", "para_no", "paragraph"))
+def _(spark, d):
+    return S.explode_paragraphs(dressed(spark, d))
+
+
+@query("d04_explode_sentences", O.sentences())
+def _(spark, d):
+    return S.explode_sentences(dressed(spark, d))
+
+
+@query("d05_slice_fixed", O.base("SELECT doc_id, lang, source, CAST(i + 1 AS INTEGER) AS slice_no, substring(text, i * 500 + 1, 500) AS slice FROM (SELECT doc_id, lang, source, text, unnest(range(CAST(ceil(length(text) / 500.0) AS BIGINT))) AS i FROM dressed)"))
+def _(spark, d):
+    return S.slice_fixed(dressed(spark, d), 500)
+
+
+@query("d06_reassemble", O.column("text"))
+def _(spark, d):
+    return S.reassemble(S.explode_chunks(dressed(spark, d).select("doc_id", "text"), CHUNK), "chunk_no", "chunk")
+
+
+# ---------------------------------------------------------------- E: pauses
+
+
+@query("e01_pause_tag", f"SELECT event_id, {O.tag('round(value, 3)')} AS tag FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", P.pause_tag(F.round("value", 3)).alias("tag"))
+
+
+on_text("e02_paragraph_pauses", P.paragraph_pauses, None)
+ORACLE_SQL["e02_paragraph_pauses"] = O.base("SELECT doc_id, text FROM tagged", more=O.insert_after("dressed", r"\n\s*\n+", " [PAUSE 2s] "))
+on_text("e03_sentence_pauses", P.sentence_pauses, None)
+ORACLE_SQL["e03_sentence_pauses"] = O.base("SELECT doc_id, text FROM tagged", more=O.insert_after("dressed", r"[.!?]\s+", "[PAUSE 0.8s] ", O.guard()))
+on_text("e04_inject_pauses", lambda c: P.inject_pauses(c, P.PauseConfig(sentences=True)), None)
+ORACLE_SQL["e04_inject_pauses"] = O.base("SELECT doc_id, text FROM tagged", more=O.insert_after("dressed", r"\n\s*\n+", " [PAUSE 2s] ").replace("tagged", "first") + O.insert_after("first", r"[.!?]\s+", "[PAUSE 0.8s] ", O.guard()).replace("parts AS", "parts2 AS").replace("FROM parts)", "FROM parts2)").replace("rows AS", "rows2 AS").replace("FROM rows)", "FROM rows2)").replace("placed AS", "placed2 AS").replace("FROM placed ", "FROM placed2 "))
+
+
+@query("e06_count_pause_tags", O.base(f"SELECT doc_id, {R.PAUSE_TAG.count_sql('text')} AS n FROM dressed"))
+def _(spark, d):
+    return dressed(spark, d).select("doc_id", P.count_pause_tags(F.col("text")).alias("n"))
+
+
+@query("e07_sum_pause_seconds", O.base(f"SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, {sql_text('(?i)' + R.TAG_VALUE)}, 1), lambda x: CAST(x AS DOUBLE))), 0.0) AS seconds FROM dressed"))
+def _(spark, d):
+    return dressed(spark, d).select("doc_id", P.sum_pause_seconds(F.col("text")).alias("seconds"))
+
+
+@query("e08_validate_pause_config", "SELECT event_id, array_to_string(list_filter([CASE WHEN para_on AND para_s <= 0 THEN 'error: paragraph pause must be positive' END, CASE WHEN sent_on AND sent_s <= 0 THEN 'error: sentence pause must be positive' END, CASE WHEN para_on AND sent_on AND sent_s >= para_s THEN 'warning: sentence pause is not shorter than paragraph pause' END], lambda x: x IS NOT NULL), '; ') AS problems FROM (SELECT event_id, event_id % 2 = 0 AS para_on, value - 20 AS para_s, event_id % 3 = 0 AS sent_on, value / 2 - 5 AS sent_s FROM events)")
+def _(spark, d):
+    e = F.col("event_id")
+    return table(spark, d, "events").select("event_id", F.array_join(P.config_problems(e % 2 == 0, F.col("value") - 20, e % 3 == 0, F.col("value") / 2 - 5), "; ").alias("problems"))
+
+
+on_text("e09_normalize_shortcodes", P.normalize_shortcodes, None)
+ORACLE_SQL["e09_normalize_shortcodes"] = O.shortcodes()
+
+
+@query("e10_pause_seconds", O.base(f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, {O.pause_seconds('line')} AS seconds FROM {O.lines()}"))
+def _(spark, d):
+    return S.explode_lines(dressed(spark, d).select("doc_id", "text")).select("doc_id", "line_no", P.pause_seconds(F.col("line")).alias("seconds"))
+
+
+@query("e11_scan_pauses", O.base("SELECT * FROM pauses", more=O.pauses()))
+def _(spark, d):
+    return P.scan_pauses(dressed(spark, d))
+
+
+_TAGGED = f"CASE WHEN duration IS NULL THEN line WHEN regexp_matches(line, {sql_text('(?i)' + R.TAG_VALUE)}) THEN regexp_replace(line, {sql_text('(?i)' + R.TAG_VALUE)}, {O.tag('duration')}, 'g') ELSE line || ' ' || {O.tag('duration')} END"
+
+
+@query("e12_apply_pauses", O.base(f"SELECT doc_id, string_agg({_TAGGED}, chr(10) ORDER BY line_no) AS text FROM (SELECT l.doc_id, l.line_no, l.line, p.duration FROM {O.lines()} l LEFT JOIN (SELECT doc_id, line_no, max(duration) AS duration FROM pauses GROUP BY ALL) p ON p.doc_id = l.doc_id AND p.line_no = l.line_no) GROUP BY doc_id", more=O.pauses()))
+def _(spark, d):
+    docs = dressed(spark, d)
+    return P.apply_pauses(docs, P.scan_pauses(docs))
+
+
+@query("e13_override_durations", O.base("SELECT doc_id, line_no, CASE WHEN doc_id % 2 = 0 THEN 5.0 ELSE duration END AS duration FROM pauses", more=O.pauses()))
+def _(spark, d):
+    found = P.scan_pauses(dressed(spark, d))
+    edits = found.where("doc_id % 2 = 0").select("doc_id", "line_no", F.lit(5.0).alias("duration"))
+    return P.override_durations(found, edits).select("doc_id", "line_no", "duration")
+
+
+@query("e13_set_all", O.base("SELECT doc_id, line_no, CAST(15.0 AS DOUBLE) AS duration FROM pauses", more=O.pauses()))
+def _(spark, d):
+    return P.set_all(P.scan_pauses(dressed(spark, d)), 15).select("doc_id", "line_no", "duration")
+
+
+@query("e14_pause_warnings", O.base("SELECT doc_id, n_pauses, n_short, n_long, array_to_string(list_filter([CASE WHEN n_pauses = 0 THEN 'none found' END, CASE WHEN n_short > 0 THEN CAST(n_short AS VARCHAR) || ' below 2 s' END, CASE WHEN n_long > 0 THEN CAST(n_long AS VARCHAR) || ' above 1800 s' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM (SELECT d.doc_id, count(p.duration) AS n_pauses, count(*) FILTER (WHERE p.duration < 2) AS n_short, count(*) FILTER (WHERE p.duration > 1800) AS n_long FROM dressed d LEFT JOIN pauses p ON p.doc_id = d.doc_id GROUP BY d.doc_id)", more=O.pauses()))
+def _(spark, d):
+    docs = dressed(spark, d)
+    return P.pause_warnings(docs, P.scan_pauses(docs))
+
+
+@query("e15_pause_summary", O.base("SELECT doc_id, count(*) AS n_pauses, floor(avg(duration) * 10 + 0.5) / 10 AS mean_s, sum(duration) AS total_s FROM pauses GROUP BY doc_id", more=O.pauses()))
+def _(spark, d):
+    return P.pause_summary(P.scan_pauses(dressed(spark, d)))
+
+
+@query("e16_is_script", O.base(f"SELECT doc_id, {O.is_script('text')} AS is_script FROM dressed"))
+def _(spark, d):
+    return dressed(spark, d).select("doc_id", P.is_script(F.col("text")).alias("is_script"))
+
+
+@query("e16_route", O.base(f"SELECT doc_id, CASE WHEN {O.is_script('text')} THEN 'script' ELSE 'prose' END AS kind FROM dressed"))
+def _(spark, d):
+    scripts, others = P.route(dressed(spark, d))
+    return scripts.select("doc_id", F.lit("script").alias("kind")).unionByName(others.select("doc_id", F.lit("prose").alias("kind")))
+
+
+# ---------------------------------------------------------------- F: analytics
+
+
+@query("f01_abbreviation_inventory", O.inventory())
+def _(spark, d):
+    return A.abbreviation_inventory(dressed(spark, d))
+
+
+@query("f01_abbreviation_top", f"SELECT * FROM ({O.inventory()}) ORDER BY n DESC, label LIMIT 5")
+def _(spark, d):
+    return A.abbreviation_inventory(dressed(spark, d), 5)
+
+
+@query("f02_issue_profile", O.base(O.issues()))
+def _(spark, d):
+    return A.issue_profile(dressed(spark, d))
+
+
+@query("f02_issue_rollup", O.base("SELECT lang, source, count(*) AS n_docs, " + ", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}" for k in [*A.ISSUES, "abbreviations", "total"]) + f" FROM ({O.issues()}) GROUP BY lang, source"))
+def _(spark, d):
+    return A.issue_rollup(dressed(spark, d))
+
+
+@query("f03_estimates", O.base(O.estimates()))
+def _(spark, d):
+    return A.estimates(dressed(spark, d))
+
+
+@query("f03_estimate_totals", O.base(f"SELECT count(*) AS n_docs, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(words) AS BIGINT) AS words, CAST(ceil(sum(words) / 150.0) AS BIGINT) AS minutes, CAST(sum(minutes) AS BIGINT) AS minutes_by_doc, CAST(sum(tokens) * 375 AS DOUBLE) / CAST(1000000000 AS DOUBLE) AS cost FROM ({O.estimates()})"))
+def _(spark, d):
+    return A.estimate_totals(dressed(spark, d))
+
+
+@query("f04_word_count", O.base(f"SELECT doc_id, {O.words('text')} AS words FROM dressed"))
+def _(spark, d):
+    return dressed(spark, d).select("doc_id", A.word_count(F.col("text")).alias("words"))
+
+
+@query("f05_cleaning_summary", O.base("SELECT * FROM actions", more=O.actions()))
+def _(spark, d):
+    return A.cleaning_summary(dressed(spark, d))
+
+
+@query("f06_summary_by_category", O.base("SELECT doc_id, category, count(*) AS n_actions, CAST(sum(n) AS BIGINT) AS n, string_agg(action, ', ' ORDER BY action) AS actions FROM actions GROUP BY doc_id, category", more=O.actions()))
+def _(spark, d):
+    return A.summary_by_category(A.cleaning_summary(dressed(spark, d)))
+
+
+@query("f06_summary_rollup", O.base("SELECT category, action, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT doc_id) AS n_docs FROM actions GROUP BY ROLLUP (category, action)", more=O.actions()))
+def _(spark, d):
+    return A.summary_rollup(A.cleaning_summary(dressed(spark, d)))
+
+
+def _tokens_sql(e: str, name: str) -> str:
+    return f"(SELECT doc_id, token, count(*) AS {name} FROM (SELECT doc_id, unnest(list_filter(string_split_regex({e}, {sql_text(R.SP + '+')}), lambda x: x <> '')) AS token FROM dressed) GROUP BY ALL)"
+
+
+@query("f07_token_diff", O.base(f"SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.token, a.token) AS token, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM {_tokens_sql('text', 'n')} b FULL OUTER JOIN {_tokens_sql(O.clean('text'), 'n')} a ON a.doc_id = b.doc_id AND a.token = b.token WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)"))
+def _(spark, d):
+    docs = dressed(spark, d)
+    return A.token_diff(docs, docs.withColumn("text", T.bind(F.col("text"), clean)))
+
+
+@query("f08_usage_totals", "SELECT user_id, ts, event_id, CAST(sum(event_id % 100) OVER w AS BIGINT) AS prompt_total, CAST(sum(event_id % 7) OVER w AS BIGINT) AS output_total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def _(spark, d):
+    log = table(spark, d, "events").selectExpr("user_id", "ts", "event_id", "event_id % 100 AS p", "event_id % 7 AS o")
+    return A.usage_totals(log, "user_id", ["ts", "event_id"], "p", "o")
+
+
+@query("f09_recent_chunk_avg", "SELECT user_id, ts, event_id, round(a, 6) AS recent_avg, remaining, round(a * remaining, 6) AS eta FROM (SELECT user_id, ts, event_id, avg(round(value)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a, count(*) OVER (PARTITION BY user_id) - row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS remaining FROM events)")
+def _(spark, d):
+    log = table(spark, d, "events").withColumn("value", F.round("value"))
+    return A.recent_chunk_avg(log, "user_id", ["ts", "event_id"], "value")
+
+
+@query("f10_preview", O.base("SELECT doc_id, substring(text, 1, 300) AS preview, length(text) > 300 AS truncated FROM dressed"))
+def _(spark, d):
+    return A.preview(dressed(spark, d), 300)
+
+
+@query("f11_large_text_flag", O.base("SELECT doc_id, length(text) > 5000 AS is_large FROM dressed"))
+def _(spark, d):
+    return A.large_text_flag(dressed(spark, d), 5000)
+
+
+@query("f12_count_matches", O.base("SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS n FROM dressed"))
+def _(spark, d):
+    return dressed(spark, d).select("doc_id", A.count_matches(F.col("text"), "[0-9]+").alias("n"))
+
+
+# ---------------------------------------------------------------- chains and streams
+
+
+@query("p01_prepare_standard")
+def _(spark, d):
+    return prepare_standard(dressed(spark, d)).select("doc_id", "text")
+
+
+@query("p02_prepare_script")
+def _(spark, d):
+    done, without = prepare_script(dressed(spark, d))
+    return done.withColumn("kind", F.lit("script")).unionByName(without.select("doc_id", "text", F.lit("no pause").alias("kind")))
+
+
+def _folder(spark: SparkSession) -> str:
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named}/stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="lectern-")
+
+
+@query("g01_clean_stream")
+def _(spark, d):
+    home = _folder(spark)
+    docs = dressed(spark, d).select("doc_id", "text")
+    docs.write.parquet(f"{home}/in")
+    streams.clean_stream(spark, f"{home}/in", f"{home}/out", f"{home}/state", docs.schema).awaitTermination()
+    return spark.read.parquet(f"{home}/out")
+
+
+@query("g02_session_stream", "SELECT key, text, saved_at FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY saved_at DESC, text DESC) AS r FROM (SELECT CAST(user_id AS VARCHAR) AS key, event_type || CAST(event_id AS VARCHAR) AS text, ts AS saved_at FROM events)) WHERE r = 1")
+def _(spark, d):
+    home = _folder(spark)
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.concat("event_type", F.col("event_id").cast("string")).alias("text"), F.col("ts").alias("saved_at"))
+    e.write.parquet(f"{home}/in")
+    streams.session_stream(spark.readStream.schema(e.schema).parquet(f"{home}/in"), f"{home}/table", f"{home}/state").awaitTermination()
+    return streams.latest(spark, f"{home}/table")
+
+
+@query("h01_load_rules", O.column("regexp_replace(regexp_replace(text, '(?i)ende', 'Schluss', 'g'), '(?i)regime', 'Regierung', 'g')"))
+def _(spark, d):
+    rules = files.load_rules('[{"search": "Ende", "replace": "Schluss"}, {"search": ""}, {"search": "Regime", "replace": "Regierung"}]')
+    return dressed(spark, d).select("doc_id", T.custom_replacements(F.col("text"), rules).alias("text"))
