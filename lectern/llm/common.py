@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: White space of every word rule here: blank, and tab to carriage return.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_500_000
 
 
 def shared_dir(spark: SparkSession) -> str:

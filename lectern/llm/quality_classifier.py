@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Words, as_text, byte_table, columns_of, slices, tidy
+from lectern.llm.common import Words, as_text, byte_table, columns_of, release, slices, tidy
 from lectern.llm.decontamination import hashes
 
-FIT_TEXTS, FIT_CHARS = 5_000, 20_000
+FIT_TEXTS, FIT_CHARS = 2_500, 20_000
 BUCKETS = 1 << 16
 CUT = 0.5
 MISSING = 2
@@ -209,10 +209,18 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
     return model
 
 
-def train(model: Model, texts: Texts, rounds: int = 80, rate: float = 0.5, ridge: float = 1e-6) -> Model:
-    """The linear scorer, on posteriors as soft labels, by full gradients with Adam."""
-    place, weight, ends = texts.features()
-    y, n = model.posterior(texts.calls.astype(np.int64)), len(ends) - 1
+def train(model: Model, texts: list[str], rounds: int = 80, rate: float = 0.5, ridge: float = 1e-6) -> Model:
+    """The linear scorer, on posteriors as soft labels, by full gradients with Adam. Texts are read some at a time."""
+    places, weights, sizes, good = [], [], [], []
+    for i in range(0, len(texts), 200):
+        part = Texts(as_text(pa.array(texts[i : i + 200], pa.string())))
+        p, w, e = part.features()
+        places.append(p)
+        weights.append(w)
+        sizes.append(np.diff(e))
+        good.append(model.posterior(part.calls.astype(np.int64)))
+    place, weight, size, y = (np.concatenate([*x, np.zeros(0, k)]) for x, k in ((places, np.int64), (weights, float), (sizes, np.int64), (good, float)))
+    n, ends = len(y), np.concatenate([[0], np.cumsum(size)])
     row = np.repeat(np.arange(n), np.diff(ends))
     w, b = np.zeros(BUCKETS), float(np.log(y.mean() / (1 - y.mean() + 1e-12) + 1e-12)) if n else 0.0
     m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
@@ -230,8 +238,14 @@ def train(model: Model, texts: Texts, rounds: int = 80, rate: float = 0.5, ridge
 def fit(docs: DataFrame) -> Model:
     plain = columns_of(docs, "doc_id", "text")
     model = expectation_maximisation(pattern_counts(plain))
-    rows = plain.where(F.length("text") <= FIT_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(FIT_TEXTS).select("text").toArrow()
-    return train(model, Texts(as_text(pa.array(sorted(set(rows.column("text").to_pylist())), pa.string()))))
+    first = plain.where(F.length("text") <= FIT_CHARS).select("text", F.xxhash64("doc_id", "text").alias("_h"))
+    # the smallest hashes are found without the texts, and their texts fetched then
+    least = first.select("_h").orderBy("_h").limit(FIT_TEXTS).agg(F.max("_h")).first()[0]
+    rows = first.where(F.col("_h") <= F.lit(least)).select("text").limit(2 * FIT_TEXTS).toArrow() if least is not None else None
+    texts = sorted(set(rows.column("text").to_pylist())) if rows is not None else []
+    model = train(model, texts)
+    release()
+    return model
 
 
 def judged(docs: DataFrame, model: Model) -> DataFrame:

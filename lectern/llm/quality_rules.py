@@ -94,7 +94,8 @@ def host_rates(feats: DataFrame, host: str = "source") -> DataFrame:
     """A row for each host: its documents, and for each rule its failures, rate and shrunken rate.
 
     The prior of a rule is beta(m k, (1 - m) k): m is the corpus rate, k = m (1 - m) / v - 1 with v the hosts'
-    variance about m beyond that of chance, so hosts that differ little are drawn strongly together.
+    variance about m beyond that of chance (hosts weigh by their documents), so hosts that differ little are drawn
+    strongly together.
     """
     fails = _fails()
     sums = written(feats.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *[F.count_if(fails[r][0]).alias(f"f_{r}") for r in RULES]), "hosts")
@@ -102,7 +103,7 @@ def host_rates(feats: DataFrame, host: str = "source") -> DataFrame:
     if not total["hosts"]:
         return sums.select("host", "n", *[F.lit(0.0).alias(f"p_{r}") for r in RULES])
     mean = {r: total[r] / total["n"] for r in RULES}
-    spread = sums.agg(*[F.avg(F.pow(F.col(f"f_{r}") / F.col("n") - mean[r], 2) - mean[r] * (1 - mean[r]) / F.col("n")).alias(r) for r in RULES]).first()
+    spread = sums.agg(*[(F.sum(F.col("n") * F.pow(F.col(f"f_{r}") / F.col("n") - mean[r], 2) - mean[r] * (1 - mean[r])) / F.greatest(F.lit(1), F.sum(F.col("n") - 1))).alias(r) for r in RULES]).first()
     out = []
     for r in RULES:
         m, v = mean[r], spread[r]
@@ -122,7 +123,7 @@ def with_verdict(feats: DataFrame, hosts: DataFrame, host: str = "source", host_
         many = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
         joined = feats.withColumn("_s", salt).join(many, (F.col(host).eqNullSafe(F.col("host"))) & (F.col("_s") == F.col("_salt")), "left").drop("_s", "_salt")
     failed = F.array_compact(F.array(*[F.when(out | (F.coalesce(F.col(f"_b_{r}"), F.lit(False)) & low), F.lit(r)) for r, (out, low) in _fails().items()]))
-    return joined.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("host", *[f"_b_{r}" for r in RULES])
+    return joined.withColumn("failed_rules", failed).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.size("failed_rules") == 0)).drop("host", *[f"_b_{r}" for r in RULES])
 
 
 def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
