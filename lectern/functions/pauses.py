@@ -135,6 +135,11 @@ def scan_pauses(docs: DataFrame) -> DataFrame:
     return lines.where(is_key | has_tag | F.col("line").rlike(R.DIRECTION.java())).select("doc_id", "line_no", F.col("line").alias("original_text"), seconds.alias("duration"), said.alias("instruction"))
 
 
+def has_pause(c: Column) -> Column:
+    """Whether scan_pauses() finds something in the text."""
+    return F.exists(F.split(c, "\n", -1), lambda x: bind(trim(x), lambda y: y.rlike(R.KEYWORD.java()) | y.rlike("(?i)" + R.TAG_VALUE) | y.rlike(R.DIRECTION.java())))
+
+
 def override_durations(pauses: DataFrame, edits: DataFrame) -> DataFrame:
     """A reviewer's durations (doc_id, line_no, duration) where there are any."""
     new = edits.select("doc_id", "line_no", F.col("duration").alias("_new"))

@@ -65,10 +65,9 @@ def prepare_standard(docs: DataFrame, o: CleaningOptions = CleaningOptions()) ->
 
 def prepare_script(docs: DataFrame, edits: DataFrame | None = None, o: CleaningOptions = CleaningOptions(script=True)) -> tuple[DataFrame, DataFrame]:
     """Script texts with tags on their pause lines, and the documents without any pause."""
-    coded = docs.withColumn("_p", T.bind(P.normalize_shortcodes(F.col("text")), T.protect_lines))
-    cleaned = coded.withColumn("text", T.restore_lines(clean(F.col("_p.text"), o), F.col("_p.saved"))).drop("_p")
-    sane = T.nfc(cleaned).withColumn("text", T.bind(F.col("text"), T.sanitize))
-    found = P.scan_pauses(sane)
-    marked = P.override_durations(found, edits) if edits is not None else found
-    with_pauses = sane.join(found.select("doc_id"), "doc_id", "left_semi")
-    return P.apply_pauses(with_pauses, marked), sane.join(found.select("doc_id"), "doc_id", "left_anti")
+    step = lambda c: T.bind(T.bind(P.normalize_shortcodes(c), T.protect_lines), lambda p: T.bind(clean(p["text"], o), lambda x: T.restore_lines(x, p["saved"])))
+    # read three times below, so kept (in memory or on the executors' disks; what is lost is computed again)
+    sane = T.nfc(docs.withColumn("text", step(F.col("text")))).withColumn("text", T.bind(F.col("text"), T.sanitize)).persist()
+    with_pauses, without = sane.where(P.has_pause(F.col("text"))), sane.where(~P.has_pause(F.col("text")))
+    found = P.scan_pauses(with_pauses)
+    return P.apply_pauses(with_pauses, P.override_durations(found, edits) if edits is not None else found), without
