@@ -26,6 +26,7 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path, modificationTime, length and content of the files; the source itself passes over empty ones."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
@@ -121,7 +122,7 @@ def safe_file_name(c: Column) -> Column:
 def write_corpus(df: DataFrame, path: str, stamp: Column | None = None) -> None:
     """Sanitized texts, with a byte order mark, in a folder for each safe name and time."""
     at = F.date_format(F.current_timestamp() if stamp is None else stamp, "yyyy-MM-dd'T'HH-mm-ss")
-    out = df.select(F.concat(safe_file_name(F.col("name")), F.lit("_bereinigt_"), at).alias("file"), F.concat(F.lit("﻿"), sanitize(F.col("text"))).alias("value"))
+    out = df.select(F.concat(safe_file_name(F.col("name")), F.lit("_bereinigt_"), at).alias("file"), F.concat(F.lit("\ufeff"), sanitize(F.col("text"))).alias("value"))
     out.write.partitionBy("file").mode("overwrite").text(path)
 
 

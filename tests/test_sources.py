@@ -33,7 +33,7 @@ def test_admit(spark, folder):
     good, bad = files.admit(files.scan_files(spark, folder), 4000)
     name = lambda df: {r.path.rpartition("/")[2] for r in df.collect()}
     assert name(good) == {"utf.txt", "bom.txt", "old.txt", "a.docx", "bad.docx", "word.docx", "a.odt"}
-    assert {r.path.rpartition("/")[2]: r.reason for r in bad.collect()} == {"empty.txt": "empty", "x.doc": "old Word format: save as .docx", "big.txt": "too large", "p.pdf": "no reader for this kind"}
+    assert {r.path.rpartition("/")[2]: r.reason for r in bad.collect()} == {"x.doc": "old Word format: save as .docx", "big.txt": "too large", "p.pdf": "no reader for this kind"}
 
 
 def test_decode(spark, folder):
@@ -50,8 +50,8 @@ def test_extract(spark, folder):
 def test_write_corpus(spark, tmp_path):
     df = spark.createDataFrame([("a/b:c.txt", "Ein Text.")], "name string, text string")
     files.write_corpus(df, str(tmp_path / "out"), F.lit("2024-01-02 03:04:05").cast("timestamp"))
-    row = spark.read.text(str(tmp_path / "out")).first()
-    assert row.value == "﻿Ein Text." and row.file == "a_b_c_bereinigt_2024-01-02T03-04-05"
+    (file,) = (tmp_path / "out" / "file=a_b_c_bereinigt_2024-01-02T03-04-05").glob("part-*.txt")
+    assert file.read_bytes() == b"\xef\xbb\xbfEin Text.\n"
 
 
 def test_load_rules():
