@@ -4,9 +4,11 @@ LABELLERS are heuristics that overlap: each calls a text good (1), bad (-1) or n
 nothing to go by (2). How often each
 pattern of calls occurs in all documents (at most 4 to the power of 9 patterns) is all that expectation-
 maximisation needs to estimate, for good and for bad texts, how likely each labeller makes each call, and with
-that a posterior for each pattern. The posteriors of a bounded sample (FIT_TEXTS texts of at most FIT_CHARS
-characters) train a hashed linear scorer: logistic regression on words and word shapes, hashed to BUCKETS
-places. Every document is scored on its whole text; below CUT it is rejected.
+that a posterior for each pattern. The posteriors of a bounded sample train a hashed linear scorer: logistic
+regression on words and word shapes, hashed to BUCKETS places. The sample is the FIT_TEXTS different texts, of any
+length, whose hashes are smallest, as far as their features, which are made in the tasks from whole texts, come
+to FIT_FEATURES. Every document is scored on its whole text; below CUT it is rejected. Where no text could be
+sampled the posterior is the score.
 
 No true labels are used. Nulls: a null text is empty; texts without words get no calls but the prior's
 posterior, a score from the intercept alone, and stay (short texts are no junk by themselves). Null ids are
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Words, as_text, byte_table, columns_of, release, slices, tidy
+from lectern.llm.common import Words, as_text, byte_table, columns_of, release, slices, tidy, written
 from lectern.llm.decontamination import hashes
 
-FIT_TEXTS, FIT_CHARS = 2_500, 20_000
+FIT_TEXTS, FIT_FEATURES = 5_000, 6_000_000
 BUCKETS = 1 << 16
 CUT = 0.5
 MISSING = 2
@@ -209,22 +211,16 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
     return model
 
 
-def train(model: Model, texts: list[str], rounds: int = 80, rate: float = 0.5, ridge: float = 1e-6) -> Model:
-    """The linear scorer, on posteriors as soft labels, by full gradients with Adam. Texts are read some at a time."""
-    places, weights, sizes, good = [], [], [], []
-    for i in range(0, len(texts), 200):
-        part = Texts(as_text(pa.array(texts[i : i + 200], pa.string())))
-        p, w, e = part.features()
-        places.append(p)
-        weights.append(w)
-        sizes.append(np.diff(e))
-        good.append(model.posterior(part.calls.astype(np.int64)))
-    place, weight, size, y = (np.concatenate([*x, np.zeros(0, k)]) for x, k in ((places, np.int64), (weights, float), (sizes, np.int64), (good, float)))
+def train(model: Model, place: np.ndarray, weight: np.ndarray, size: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.5, ridge: float = 1e-6) -> Model:
+    """The linear scorer, on posteriors y as soft labels, by full gradients with Adam. place, weight: features of the
+    texts one after another; size: how many each has. Without texts there is no scorer."""
+    if not len(y):
+        return model
     n, ends = len(y), np.concatenate([[0], np.cumsum(size)])
     row = np.repeat(np.arange(n), np.diff(ends))
-    w, b = np.zeros(BUCKETS), float(np.log(y.mean() / (1 - y.mean() + 1e-12) + 1e-12)) if n else 0.0
+    w, b = np.zeros(BUCKETS), float(np.log(y.mean() / (1 - y.mean() + 1e-12) + 1e-12))
     m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    for step in range(1, rounds + 1 if n else 1):
+    for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-(np.bincount(row, w[place] * weight, n) + b)))
         r = (p - y) / n
         g = np.append(np.bincount(place, weight * r[row], BUCKETS) + ridge * w, r.sum())
@@ -235,15 +231,41 @@ def train(model: Model, texts: list[str], rounds: int = 80, rate: float = 0.5, r
     return model
 
 
+def sampled_features(docs: DataFrame) -> DataFrame:
+    """h, calls, place and weight of the sample: one row for each of the different texts with the smallest hashes."""
+    texts = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    # the smallest hashes are found without the texts, and their texts read then
+    least = texts.select("h").distinct().orderBy("h").limit(FIT_TEXTS).agg(F.max("h")).first()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies in a task are passed over
+        for batch in slices(batches):
+            fresh = [h not in seen and not seen.add(h) for h in batch.column("h").to_pylist()]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            part = Texts(as_text(batch.column("text")))
+            place, weight, ends = part.features()
+            ends = pa.array(ends.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weight.astype(np.float32)))]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(part.calls.tolist(), pa.list_(pa.int32())), *lists], ["h", "calls", "place", "weight"])
+
+    found = texts.where(F.col("h") <= F.lit(least)).mapInArrow(tidy(run), "h bigint, calls array<int>, place array<int>, weight array<float>")
+    return found.groupBy("h").agg(*[F.first(c).alias(c) for c in ("calls", "place", "weight")])
+
+
 def fit(docs: DataFrame) -> Model:
     plain = columns_of(docs, "doc_id", "text")
     model = expectation_maximisation(pattern_counts(plain))
-    first = plain.where(F.length("text") <= FIT_CHARS).select("text", F.xxhash64("doc_id", "text").alias("_h"))
-    # the smallest hashes are found without the texts, and their texts fetched then
-    least = first.select("_h").orderBy("_h").limit(FIT_TEXTS).agg(F.max("_h")).first()[0]
-    rows = first.where(F.col("_h") <= F.lit(least)).select("text").limit(2 * FIT_TEXTS).toArrow() if least is not None else None
-    texts = sorted(set(rows.column("text").to_pylist())) if rows is not None else []
-    model = train(model, texts)
+    sample = written(sampled_features(plain), "sampled-features")
+    sizes = sample.select("h", F.size("place").alias("n")).orderBy("h").collect()
+    room = np.cumsum([0, *[r["n"] for r in sizes]])[:-1] < FIT_FEATURES
+    rows = sample.where(F.col("h") <= F.lit(sizes[int(room.sum()) - 1]["h"] if sizes else None)).orderBy("h").toArrow().combine_chunks()
+    flat = lambda c, kind: rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
+    if rows.num_rows:
+        votes = flat("calls", np.int64).reshape(-1, len(LABELLERS))
+        size = np.array([r["n"] for r in sizes[: rows.num_rows]])
+        model = train(model, flat("place", np.int64), flat("weight", float), size, model.posterior(votes))
     release()
     return model
 
@@ -257,7 +279,8 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             texts = Texts(as_text(batch.column(text)))
-            good, score = shared.value.posterior(texts.calls.astype(np.int64)), shared.value.score(texts)
+            good = shared.value.posterior(texts.calls.astype(np.int64))
+            score = good if shared.value.weights is None else shared.value.score(texts)
             kept = (score >= CUT) | (texts.words.counts() == 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good), pa.array(score), pa.array(kept)], [*batch.schema.names, "_posterior", "_score", "_kept"])
 

@@ -157,3 +157,19 @@ def test_pipeline(spark, tiny):
     assert decontamination.report(frames[4], spark.read.parquet(f"{tiny}/benchmark.parquet")).where("contaminated").count() == 0
     assert ids[5] == ids[4] and sum(r.length for r in frames[5].collect()) == sum(r.doc_tokens for r in frames[5].where("start = 0").collect())
     assert corpus_pipeline.run(spark, tiny).count() == frames[5].count()
+
+
+def test_quality_sample_has_long_and_different_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("lang = 'en'").limit(300).collect()
+    prose = " ".join(r.text for r in docs)
+    junk = "BUY NOW!!! $$$ #### click click click *** FREE!!! %%% "
+    rows = [(i, prose[i * 500 : i * 500 + 25_000]) for i in range(30)] + [(100 + i, junk * (500 + i)) for i in range(10)]
+    long = spark.createDataFrame(rows, "doc_id long, text string")
+    assert min(len(t) for _, t in rows) > 20_000
+    got = {r.doc_id: r for r in quality_classifier.classify(long).collect()}
+    assert all(got[i].kept for i in range(30)) and not any(got[100 + i].kept for i in range(10))
+    copies = spark.createDataFrame([(1000 + i, "one row many times") for i in range(400)], "doc_id long, text string")
+    sample = quality_classifier.sampled_features(long.unionByName(copies).repartition(5)).collect()
+    assert len(sample) == 41 and len({r.h for r in sample}) == 41
+    nothing = spark.createDataFrame([(1, None)], "doc_id long, text string")
+    assert {(r.kept, r.score == r.posterior) for r in quality_classifier.classify(nothing).collect()} == {(True, True)}
