@@ -173,3 +173,33 @@ def test_quality_sample_has_long_and_different_texts(spark):
     assert len(sample) == 41 and len({r.h for r in sample}) == 41
     nothing = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert {(r.kept, r.score == r.posterior) for r in quality_classifier.classify(nothing).collect()} == {(True, True)}
+
+
+def test_attention_learns_from_every_text(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("lang = 'en'").limit(400).collect()
+    prose = " ".join(r.text for r in docs)
+    rows = [(i, prose[i * 9_000 : i * 9_000 + 21_000]) for i in range(60)]
+    assert min(len(t) for _, t in rows) > 20_000
+    long = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pieces, chunks = lm.chunks_of(long)
+    assert pieces == sum(1 + len(t.split()) // lm.PER for _, t in rows)
+    assert sum(len(c.begin) - 1 for c in chunks()) == pieces
+    got = lm.scored(long).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+def test_pieces_are_of_the_text(monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 3)
+    texts = ["", "a b", " ".join(f"w{i}" for i in range(5000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 2, 3])], ["text", "h"])
+    (out,) = lm.cut_pieces(iter([batch]))
+    rows = out.to_pylist()
+    assert len(rows) == 5 and rows[0] == rows[0] | {"opens": True, "closes": True, "skip": 0, "words": []}
+    assert all(" ".join(r["words"]) in t for r, t in zip(rows, [*texts[:2], *[texts[2]] * 3], strict=True))
+    c = lm.Chunk(pa.Table.from_batches([out]))
+    begin, size, before = c.windows()
+    ends = (c.symbols == c.end).sum()
+    assert ends == sum(r["closes"] for r in rows) and len(c.words) + ends == len(c.at)
+    assert size.sum() == (np.diff(c.begin) - c.skip).sum() and (before == np.minimum(attention.CONTEXT, begin - np.repeat(c.begin[:-1], -(-(np.diff(c.begin) - c.skip) // attention.STRIDE)))).all()
