@@ -15,62 +15,143 @@ from lectern.llm.common import as_text
 LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def test_gradient():
+def _net(kinds=50):
+    m = attention.Attention(kinds, 5)
     rng = np.random.default_rng(0)
-    m = attention.Attention(50, 9, 4)
+    table = rng.random((kinds, 5)).astype(np.float32)
+    return m, rng, table / table.sum(0)
+
+
+def test_gradient():
+    m, rng, table = _net()
     m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
     first = np.array([0, 5, 5, 70, 133])
-    x, c, w = rng.integers(0, 50, 133), rng.integers(0, 9, 133), rng.integers(-2, 4, 133)
-    b, s, f = attention.windows(first)
-    _, grad = m.gradient(x, c, w, b, s, f)
+    x, c, given = rng.integers(0, 50, 133), rng.integers(0, 50, 133), rng.random(133) * (rng.random(133) < 0.5)
+    at = attention.windows(first)
+    _, grad, symbols, share = m.gradient(x, c, given, lambda s: table[s].astype(float), *at)
+    rows, of = grad.pop("embed")
+    grad["embed"] = np.zeros_like(m.w["embed"])
+    grad["embed"][rows] = of
+    assert sorted(symbols) == sorted(c) and np.allclose(share.sum(1), 1)
     for k, v in m.w.items():
         i = (x[3], 2) if k == "embed" else tuple(rng.integers(0, n) for n in v.shape)
         old, e = v[i], 1e-4
         v[i] = old + e
-        up = m.gradient(x, c, w, b, s, f)[0]
+        up = m.gradient(x, c, given, lambda s: table[s].astype(float), *at)[0]
         v[i] = old - e
-        down = m.gradient(x, c, w, b, s, f)[0]
+        down = m.gradient(x, c, given, lambda s: table[s].astype(float), *at)[0]
         v[i] = old
         assert abs((up - down) / (2 * e) - grad[k][i]) < 1e-4 + 0.01 * abs(grad[k][i])
 
 
 def test_each_symbol_once_and_causal():
-    rng = np.random.default_rng(1)
-    m = attention.Attention(50, 9, 4)
+    m, rng, table = _net()
     first = np.array([0, 1, 40, 140, 140, 300])
-    x, c, w = rng.integers(0, 50, 300), rng.integers(0, 9, 300), rng.integers(-2, 4, 300)
-    lp, _ = m.log_probability(x, c, first, w)
+    x, c, given = rng.integers(0, 50, 300), rng.integers(0, 50, 300), np.zeros(300, np.float32)
+    lp = m.log_probability(x, c, given, table, first)
     b, s, _ = attention.windows(first)
     assert sorted(j for a, n in zip(b, s, strict=True) for j in range(a, a + n)) == list(range(300))
     later = x.copy()
     later[200:] = (later[200:] + 1) % 50
-    changed, _ = m.log_probability(later, c, first, w)
+    changed = m.log_probability(later, c, given, table, first)
     assert np.allclose(lp[:200], changed[:200], atol=1e-5) and not np.allclose(lp[200:], changed[200:], atol=1e-5)
-    total = sum(np.exp(m.log_probability(x, np.full(300, k), first, w)[0]) for k in range(9))
-    assert np.allclose(total, 1, atol=1e-4)
+    other = rng.random(50)
+    other /= other.sum()
+    for part0 in (np.zeros(50), other):  # a distribution over all symbols, with part 0 and without
+        total = sum(np.exp(m.log_probability(x, np.full(300, k), np.full(300, part0[k], np.float32), table, first)) for k in range(50))
+        assert np.allclose(total, 1, atol=1e-4)
+
+
+def test_spelling_is_a_distribution():
+    kind = 9
+    words, n = [[0, 1], [0, 3, 1], [2, 2, 5], [7]], [3, 1, 2, 4]
+    count = {size: collections.Counter() for size in (1, 2, 3)}
+    for w, k in zip(words, n, strict=True):
+        p = [8, 8, *w]
+        for i in range(2, len(p)):
+            count[1][p[i]] += k
+            count[2][p[i - 1] * 9 + p[i]] += k
+            count[3][(p[i - 2] * 9 + p[i - 1]) * 9 + p[i]] += k
+    single = np.array([float(count[1][i]) for i in range(kind)])
+    s = lm.Spelling(kind, single, {k: (np.array(list(count[k])), np.array(list(count[k].values()))) for k in (2, 3)})
+    for two in range(kind):
+        for one in range(kind):
+            assert abs(s.probability(np.full(kind, two), np.full(kind, one), np.arange(kind)).sum() - 1) < 1e-9
+    less = lm.Spelling(kind, single - (np.arange(kind) == 3), {k: (np.array([g for g in count[k] if g not in gone]), np.array([v for g, v in count[k].items() if g not in gone])) for k, gone in ((2, {0 * 9 + 3}), (3, {8 * 81 + 3}))})
+    three = [np.array([x]) for x in (8, 0, 3)]
+    assert abs(s.probability(*three, left_out=True)[0] - less.probability(*three)[0]) < 0.05
+
 
+def _direct(model, text):
+    """Log10 probability of a text, a symbol at a time."""
+    from lectern.llm.tokens import encoder
 
-@pytest.mark.parametrize("head", [lm.HEAD, 300])
-def test_scores(spark, tiny, monkeypatch, head):
+    net, e = model.attention, encoder()
+    sequence, given, bounds = [], [], []
+    for w in [*re.findall(rb"[^\x20\x09-\x0D]+", text.encode().translate(LOW)), None]:
+        ids = e.segments([w.decode()])[0].astype(int) * 2 if w is not None else [len(model.inputs) - 1]
+        ids = [*ids[:-1], ids[-1] + (w is not None)]
+        end = len(model.inputs) - 1
+        before = [end, end]
+        for j, s in enumerate(ids):
+            given.append(float(model.spelling.probability(*[np.array([k]) for k in (before[-2], before[-1], s)])[0]) if j else 0.0)
+            before.append(s)
+        bounds.append(len(sequence))
+        sequence += ids
+    total = 0.0
+    for t, s in enumerate(sequence):
+        start = t // attention.STRIDE * attention.STRIDE
+        low = max(0, start - attention.CONTEXT)
+        seen = [model.inputs[sequence[k - 1]] if k else model.inputs[-1] for k in range(low, t + 1)]
+        h = net.w["embed"][seen].astype(float) + net.w["place"][[k - start + attention.CONTEXT for k in range(low, t + 1)]]
+        a = np.exp((h[-1] @ net.w["q"]) @ (h @ net.w["k"]).T * attention.WIDTH**-0.5)
+        z = (a / a.sum()) @ (h @ net.w["v"]) @ net.w["o"] + h[-1]
+        u = z + np.maximum(z @ net.w["up"], 0) @ net.w["down"]
+        p = u @ net.w["out"] + net.w["bias"]
+        p = np.exp(p - p.max()) * np.append(given[t] > 0, np.ones(attention.PARTS - 1))
+        total += math.log10(p @ np.append(given[t], model.table[s][1:].astype(float)) / p.sum())
+    return total
+
+
+@pytest.mark.parametrize(("head", "chunk"), [(lm.HEAD, lm.CHUNK), (300, 60)])
+def test_scores(spark, tiny, monkeypatch, head, chunk):
     monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "LEAST", 400)
     monkeypatch.setattr(lm, "STEPS", 60)
     docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
-    docs = docs.unionByName(spark.createDataFrame([(5001, None), (None, "the cat"), (7000, " \n"), (7001, "Zzz the\tthe")], docs.schema))
-    tokens = {r.doc_id: [*re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().translate(LOW)), b""] for r in docs.collect()}
+    letters = lambda n: "".join(chr(97 + x) for x in np.random.default_rng(n).integers(0, 26, n))
+    long = [(7002, letters(2_400)), (7003, letters(9_600)), (7004, "only here " * 50)]
+    docs = docs.unionByName(spark.createDataFrame([(5001, None), (None, "the cat"), (7000, " \n"), (7001, "Zzz the\tthe"), (7001, "Zzz the\tthe"), *long], docs.schema))
+    given = docs.collect()
+    tokens = [(r.doc_id, [*re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().translate(LOW)), b""]) for r in given]
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    c = collections.Counter(w for i, t in tokens.items() if not out(i) for w in t)
+    c = collections.Counter(w for i, t in tokens if not out(i) for w in t)
     n, v = sum(c.values()), len(c)
-    rows = lm.scored(docs).collect()
+    plain = lm.columns_of(docs, "doc_id", "text")
+    counts = lm.word_counts(plain)
+    model = lm.fit(counts, plain.where(lm.fold("doc_id", 10) != 0).withColumn("text", lm.F.coalesce("text", lm.F.lit(""))))
+    rows = lm.score(docs.withColumn("TEXT_", lm.F.lit(1)).withColumnRenamed("TEXT_", "TEXT"), model, counts).collect()
     assert len(rows) == len(tokens)
+    texts, by_id = dict((r.doc_id, r.text or "") for r in given), dict(tokens)
     for r in rows:
-        t = tokens[r.doc_id]
+        t = by_id[r.doc_id]
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(r.doc_id), len(t), sum(c[w] > 0 for w in t), n)
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
-    assert sum(r.score for r in rows if not r.held_out) > sum(r.base_score for r in rows if not r.held_out)
+    by = {r.doc_id: r.score for r in rows}
+    for i in [5001, None, 7000, 7001, 7002, 7003, *[r.doc_id for r in rows if r.n_tokens < 120][:8]]:
+        assert abs(by[i] - _direct(model, texts[i])) < 1e-3 * max(1, abs(by[i])), i
+    assert by[7003] < by[7002] < -300  # no floor
     assert lm.scored(docs.limit(0)).count() == 0
 
 
+def test_held_out_rows_are_scored_above_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lm.scored(docs).where("held_out").selectExpr("sum(score) / sum(n_tokens) s", "sum(base_score) / sum(n_tokens) b").first()
+    assert got.s > got.b + 0.02
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     syllables = "th er on an re nd ti es or en at ed".split()
@@ -175,19 +256,13 @@ def test_quality_sample_has_long_and_different_texts(spark):
     assert {(r.kept, r.score == r.posterior) for r in quality_classifier.classify(nothing).collect()} == {(True, True)}
 
 
-def test_attention_learns_from_every_text(spark):
-    from pyspark.sql import functions as F
-
+def test_pieces_are_of_every_text(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("lang = 'en'").limit(400).collect()
     prose = " ".join(r.text for r in docs)
-    rows = [(i, prose[i * 9_000 : i * 9_000 + 21_000]) for i in range(60)]
-    assert min(len(t) for _, t in rows) > 20_000
+    rows = [(i, prose[i * 9_000 : i * 9_000 + 21_000]) for i in range(20)] + [(100, "")]
     long = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    pieces, chunks = lm.chunks_of(long)
-    assert pieces == sum(1 + len(t.split()) // lm.PER for _, t in rows)
-    assert sum(len(c.begin) - 1 for c in chunks()) == pieces
-    got = lm.scored(long).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
+    found = long.select("text", lm.F.xxhash64("doc_id", "text").alias("h")).mapInArrow(lm.cut_pieces, lm.PIECES).collect()
+    assert len(found) == sum(1 + len(t.split()) // lm.PER for _, t in rows)
 
 
 def test_pieces_are_of_the_text(monkeypatch):
@@ -196,10 +271,9 @@ def test_pieces_are_of_the_text(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 2, 3])], ["text", "h"])
     (out,) = lm.cut_pieces(iter([batch]))
     rows = out.to_pylist()
-    assert len(rows) == 5 and rows[0] == rows[0] | {"opens": True, "closes": True, "skip": 0, "words": []}
-    assert all(" ".join(r["words"]) in t for r, t in zip(rows, [*texts[:2], *[texts[2]] * 3], strict=True))
+    assert len(rows) == 5 and rows[0] == rows[0] | {"opens": True, "closes": True, "skip": 0} and len(rows[0]["symbols"]) == 1
     c = lm.Chunk(pa.Table.from_batches([out]))
     begin, size, before = c.windows()
-    ends = (c.symbols == c.end).sum()
-    assert ends == sum(r["closes"] for r in rows) and len(c.words) + ends == len(c.at)
-    assert size.sum() == (np.diff(c.begin) - c.skip).sum() and (before == np.minimum(attention.CONTEXT, begin - np.repeat(c.begin[:-1], -(-(np.diff(c.begin) - c.skip) // attention.STRIDE)))).all()
+    assert (c.symbols == c.end).sum() == sum(r["closes"] for r in rows)
+    size_of = np.diff(c.begin) - c.skip
+    assert size.sum() == size_of.sum() and (before == np.minimum(attention.CONTEXT, begin - np.repeat(c.begin[:-1], -(-size_of // attention.STRIDE)))).all()
