@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import rules as R
-from lectern.functions.rules import apply
-from lectern.functions.segments import explode_lines, reassemble
-from lectern.functions.text import bind, replace_by, trim
+from lectern.functions.rules import apply, bind
+from lectern.functions.segments import explode_lines
+from lectern.functions.text import replace_by, trim
 
 #: A complete tag this close to where one would go keeps it out.
 NEAR = 20
@@ -38,18 +38,25 @@ def pause_tag(seconds: Column) -> Column:
 
 
 def _insert_after(t: Column, pattern: str, inserted: str, skip=None) -> Column:
-    """`inserted` after each match, unless a tag lies within NEAR characters of its end in the original text."""
-    tag = R.PAUSE_TAG.java()
+    """`inserted` after each match, unless a complete tag lies within NEAR characters of its end in the original text.
+
+    The text falls into pieces that end with a match (two characters or more), so what is near a piece's end lies in it
+    and NEAR / 2 pieces to either side: the work is in proportion to the text.
+    """
+    tag, most = R.PAUSE_TAG.java(), NEAR // 2
     parts = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda a, b: F.struct(a.alias("p"), F.coalesce(b, F.lit("")).alias("m")))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["o"] + F.length(x["p"]) + F.length(x["m"])
-        begin = F.greatest(F.lit(0), end - NEAR)
-        none = (x["m"] == "") | t.substr(begin + 1, end + NEAR - begin).rlike(tag)
-        none = none | skip(x["p"], x["m"]) if skip else none
-        return F.struct(end.alias("o"), F.concat(acc["s"], x["p"], x["m"], F.when(none, F.lit("")).otherwise(F.lit(inserted))).alias("s"))
+    def tagged(found: Column, whole: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.right(F.array_join(F.slice(whole, F.greatest(F.lit(1), i + 2 - most), F.least(i + 1, F.lit(most))), ""), F.lit(NEAR))
+            after = F.left(F.array_join(F.slice(whole, i + 2, F.lit(most)), ""), F.lit(NEAR))
+            none = F.concat(before, after).rlike(tag)
+            none = none | skip(x["p"], x["m"]) if skip else none
+            return F.concat(x["p"], x["m"], F.when((x["m"] == "") | none, F.lit("")).otherwise(F.lit(inserted)))
+
+        return F.array_join(F.transform(found, lambda x, i: one(x, i)), "")
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("o"), F.lit("").alias("s")), step, lambda a: a["s"])
+    return bind(parts, lambda found: bind(F.transform(found, lambda x: F.concat(x["p"], x["m"])), lambda whole: tagged(found, whole)))
 
 
 def paragraph_pauses(c: Column, seconds: float = 2.0, space_after: bool = True) -> Column:
@@ -100,13 +107,14 @@ def _number(x: Column) -> Column:
 
 
 def normalize_shortcodes(c: Column) -> Column:
-    """(10 Min), [1,5 Minuten], (Pause: 30 Sek) become tags in seconds; tags stay."""
+    """(10 Min), [1,5 Minuten], (Pause: 30 Sek) become tags in seconds; tags stay, and so do durations of 0."""
     pattern = "(?iu)(?!\\[PAUSE\\s[\\d.]+s\\])" + R.SHORTCODE
 
     def tag(m: Column) -> Column:
         unit = F.lower(F.regexp_extract(m, pattern, 2))
         times = F.when(unit.startswith("m"), 60.0).when(unit.startswith("st") | (unit == "h"), 3600.0).otherwise(1.0)
-        return bind(F.floor(_number(F.regexp_extract(m, pattern, 1)) * times + 0.5), lambda s: F.concat(F.lit(" [PAUSE "), s.cast("string"), F.lit("s] ")))
+        value = _number(F.regexp_extract(m, pattern, 1))
+        return F.when(value > 0, F.concat(F.lit(" [PAUSE "), F.floor(value * times + 0.5).cast("string"), F.lit("s] "))).otherwise(m)
 
     return replace_by(c, pattern, tag)
 
@@ -115,24 +123,30 @@ def pause_seconds(c: Column) -> Column:
     """Seconds that a direction asks for; 15 where it names none."""
     t = F.lower(c)
     number = r"(\d+(?:[.,]\d+)?)\s*(?:reale?\s+)?"
-    found = [F.when(v > 0, v) for p, times in R.NUMBER_UNITS for v in [F.floor(_number(F.nullif(F.regexp_extract(t, number + p, 1), F.lit(""))) * times + 0.5).cast("double")]]
+    found = [F.when(v > 0, F.floor(v * times + 0.5).cast("double")) for p, times in R.NUMBER_UNITS for v in [_number(F.nullif(F.regexp_extract(t, number + p, 1), F.lit("")))]]
     edge, end = r"(?<![\p{L}\p{N}_])", r"\s+(?:reale?\s+)?"
     found += [F.when(t.rlike(f"{edge}(?:{w}){end}{unit}"), F.lit(float(s))) for table, unit in ((R.WORD_MINUTES, "minuten?"), (R.WORD_SECONDS, "sekunden?")) for w, s in table]
-    bare = _number(F.nullif(F.regexp_extract(t, r"(\d+(?:[.,]\d+)?)", 1), F.lit("")))
+    bare = _number(F.nullif(F.regexp_extract(t, edge + r"(\d+(?:[.,]\d+)?)(?![\p{L}\p{N}_])", 1), F.lit("")))
     found.append(F.when((bare > 0) & (bare <= 300), F.floor(bare + 0.5).cast("double")))
     return F.coalesce(*found, F.lit(15.0))
 
 
+def line_seconds(line: Column) -> Column:
+    """Seconds that a trimmed line asks for; null where it asks for no pause."""
+    tagged = F.regexp_extract(line, "(?i)" + R.TAG_VALUE, 1).cast("double")
+    return F.when(line.rlike(R.KEYWORD.java()), pause_seconds(line)).when(line.rlike("(?i)" + R.TAG_VALUE), F.when(tagged == 0, F.lit(15.0)).otherwise(tagged)).when(line.rlike(R.DIRECTION.java()), pause_seconds(line))
+
+
 def scan_pauses(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, original_text, duration and instruction of each line that asks for a pause."""
-    lines = explode_lines(docs.select("doc_id", "text")).withColumn("line", trim(F.col("line")))
+    lines = explode_lines(docs.select("doc_id", "text")).withColumnRenamed("line", "original_text").withColumn("line", trim(F.col("original_text")))
     part = lambda i: F.regexp_extract("line", "(?iu)" + R.KEYWORD_PARTS, i)
-    is_key, has_tag = F.col("line").rlike(R.KEYWORD.java()), F.col("line").rlike("(?i)" + R.TAG_VALUE)
+    is_key = F.col("line").rlike(R.KEYWORD.java())
     rest = F.regexp_replace(part(3), r"^[\s,:–\-]+", "")
-    title = F.concat(F.when(part(1) != "", F.concat(F.upper(part(1)), F.lit(" "))).otherwise(F.lit("")), F.upper(part(2)))
+    title = F.concat(F.when(part(1) != "", F.concat(part(1), F.lit(" "))).otherwise(F.lit("")), part(2))
     said = F.when(is_key, F.when(rest == "", title).otherwise(F.concat(title, F.lit(" – "), rest))).otherwise(F.concat(F.lit("PAUSE – "), F.col("line")))
-    seconds = F.when(is_key, pause_seconds(F.col("line"))).when(has_tag, F.regexp_extract("line", "(?i)" + R.TAG_VALUE, 1).cast("double")).otherwise(pause_seconds(F.col("line")))
-    return lines.where(is_key | has_tag | F.col("line").rlike(R.DIRECTION.java())).select("doc_id", "line_no", F.col("line").alias("original_text"), seconds.alias("duration"), said.alias("instruction"))
+    found = lines.withColumn("duration", line_seconds(F.col("line"))).where("duration is not null")
+    return found.select("doc_id", "line_no", "original_text", "duration", said.alias("instruction"))
 
 
 def has_pause(c: Column) -> Column:
@@ -140,26 +154,51 @@ def has_pause(c: Column) -> Column:
     return F.exists(F.split(c, "\n", -1), lambda x: bind(trim(x), lambda y: y.rlike(R.KEYWORD.java()) | y.rlike("(?i)" + R.TAG_VALUE) | y.rlike(R.DIRECTION.java())))
 
 
-def override_durations(pauses: DataFrame, edits: DataFrame) -> DataFrame:
-    """A reviewer's durations (doc_id, line_no, duration) where there are any."""
-    new = edits.select("doc_id", "line_no", F.col("duration").alias("_new"))
-    return pauses.join(new, ["doc_id", "line_no"], "left").withColumn("duration", F.coalesce("_new", "duration")).drop("_new")
+def tagged_line(line: Column, seconds: Column, allow_double: bool = False) -> Column:
+    """The line with a tag at its end, if seconds are not null; a tag that it has is set instead, unless allow_double."""
+    added = F.concat(line, F.lit(" "), pause_tag(seconds))
+    if not allow_double:
+        added = F.when(line.rlike("(?i)" + R.TAG_VALUE), F.regexp_replace(line, F.lit("(?i)" + R.TAG_VALUE), pause_tag(seconds))).otherwise(added)
+    return F.when(seconds.isNull(), line).otherwise(added)
+
+
+def tag_pauses(c: Column, edits: Column | None = None) -> Column:
+    """The text with a tag on each line that asks for a pause: apply_pauses() of scan_pauses() without leaving the row. edits: a
+    map from line to a reviewer's duration, which counts on lines that ask for a pause."""
+    of = lambda x, i: line_seconds(trim(x)) if edits is None else F.when(line_seconds(trim(x)).isNotNull(), F.coalesce(F.element_at(edits, i + 1), line_seconds(trim(x))))
+    return F.array_join(F.transform(F.split(c, "\n", -1), lambda x, i: bind(of(x, i), lambda s: tagged_line(x, s))), "\n")
+
+
+def by_line(pauses: DataFrame, order: str | None = None) -> DataFrame:
+    """doc_id and a map _at from line to duration."""
+    of_line = _last(pauses.where("doc_id is not null"), order)
+    return of_line.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "duration"))).alias("_at"))
+
+
+def _last(pauses: DataFrame, order: str | None) -> DataFrame:
+    """One row (doc_id, line_no, duration) for each line: the last by `order`, of equals (or without an order) the longest."""
+    by = F.struct(F.col(order) if order else F.lit(0), F.col("duration"))
+    return pauses.where("duration is not null").groupBy("doc_id", "line_no").agg(F.max_by("duration", by).alias("duration"))
+
+
+def override_durations(pauses: DataFrame, edits: DataFrame, order: str | None = None) -> DataFrame:
+    """A reviewer's durations (doc_id, line_no, duration) where there are any; of several for a line the last by `order`."""
+    new = _last(edits, order).withColumnRenamed("duration", "_new")
+    return pauses.join(new, ["doc_id", "line_no"], "left").withColumn("duration", F.coalesce("_new", "duration")).drop("_new").select(*pauses.columns)
 
 
 def set_all(pauses: DataFrame, seconds: float) -> DataFrame:
     return pauses.withColumn("duration", F.lit(float(seconds)))
 
 
-def apply_pauses(docs: DataFrame, pauses: DataFrame, allow_double: bool = False) -> DataFrame:
-    """doc_id and text with each pause's tag at the end of its line; of several for a line the last (by duration) wins.
-    A tag that the line already has is set to the duration instead, unless allow_double."""
-    one = pauses.groupBy("doc_id", "line_no").agg(F.max("duration").alias("duration"))
-    lines = explode_lines(docs.select("doc_id", "text")).join(one, ["doc_id", "line_no"], "left")
-    tag, has = pause_tag(F.col("duration")), F.col("line").rlike("(?i)" + R.TAG_VALUE)
-    added = F.concat("line", F.lit(" "), tag)
-    if not allow_double:
-        added = F.when(has, F.regexp_replace("line", F.lit("(?i)" + R.TAG_VALUE), tag)).otherwise(added)
-    return reassemble(lines.withColumn("line", F.when(F.col("duration").isNull(), F.col("line")).otherwise(added)), "line_no", "line", "\n")
+def apply_pauses(docs: DataFrame, pauses: DataFrame, allow_double: bool = False, order: str | None = None) -> DataFrame:
+    """docs (all columns and rows, whatever their ids) with each pause's tag at the end of its line; of several for a line the last
+    by the column `order` of pauses wins. A tag that the line already has is set to the duration instead, unless allow_double.
+
+    A document's pauses meet its text once, as a map from line to duration; its lines never leave the row."""
+    done = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: bind(F.element_at("_at", i + 1), lambda s: tagged_line(x, s, allow_double))), "\n")
+    joined = docs.join(by_line(pauses, order), "doc_id", "left").withColumn("text", F.when(F.col("_at").isNull(), F.col("text")).otherwise(done))
+    return joined.select(*docs.columns)
 
 
 def pause_warnings(docs: DataFrame, pauses: DataFrame) -> DataFrame:
@@ -176,12 +215,12 @@ def pause_summary(pauses: DataFrame) -> DataFrame:
 
 
 def is_script(c: Column) -> Column:
-    """Whether any line is a direction; shortcodes count unless in hours."""
+    """Whether any line is or begins with a direction; shortcodes count unless in hours."""
     code = "(?iu)" + R.SHORTCODE.replace("|Stunden?|Std\\.?|s|m|h)", "|s|m)")
-    return F.exists(F.split(c, "\n", -1), lambda x: trim(x).rlike(R.KEYWORD.java()) | x.rlike("(?i)" + R.TAG_VALUE) | x.rlike(code) | x.rlike(R.DIRECTION.java()))
+    return F.exists(F.split(c, "\n", -1), lambda x: x.rlike(R.KEYWORD_BEGINS.java()) | x.rlike("(?i)" + R.TAG_VALUE) | x.rlike(code) | x.rlike(R.DIRECTION_BEGINS.java()))
 
 
 def route(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with script lines, and those without (semi and anti join on the lines)."""
-    lines = explode_lines(docs.select("doc_id", "text")).where(is_script(F.col("line"))).select("doc_id")
-    return docs.join(lines, "doc_id", "left_semi"), docs.join(lines, "doc_id", "left_anti")
+    """Documents with script lines, and those without (null texts are among these)."""
+    script = F.coalesce(is_script(F.col("text")), F.lit(False))
+    return docs.where(script), docs.where(~script)

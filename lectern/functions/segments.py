@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import bind, normalize_eol
+from lectern.functions.rules import bind
+from lectern.functions.text import normalize_eol
 
 SENTENCE = r"[^.!?]+[.!?]+(?:\s+|$)|[^.!?]+$"
 
@@ -32,14 +33,15 @@ def smart_split(c: Column, target: int = 4900) -> Column:
     return bind(normalize_eol(c), lambda t: F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(cut(t)))
 
 
-def explode_numbered(df: DataFrame, pieces: Column, number: str, name: str, first: int = 1) -> DataFrame:
-    """df without its text, a row for each piece."""
+def explode_numbered(df: DataFrame, pieces: Column, number: str, name: str, first: int = 1, keep_empty: bool = False) -> DataFrame:
+    """df without its text, a row for each piece. keep_empty: a text without pieces has one row, with nulls."""
     keep = [c for c in df.columns if c != "text"]
-    return df.select(*keep, F.posexplode(pieces).alias("_i", name)).select(*keep, (F.col("_i") + first).alias(number), name)
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    return df.select(*keep, explode(pieces).alias("_i", name)).select(*keep, (F.col("_i") + first).alias(number), name)
 
 
-def explode_chunks(df: DataFrame, target: int = 4900) -> DataFrame:
-    return explode_numbered(df, smart_split(F.col("text"), target), "chunk_no", "chunk")
+def explode_chunks(df: DataFrame, target: int = 4900, keep_empty: bool = False) -> DataFrame:
+    return explode_numbered(df, smart_split(F.col("text"), target), "chunk_no", "chunk", keep_empty=keep_empty)
 
 
 def explode_lines(df: DataFrame) -> DataFrame:
@@ -60,7 +62,8 @@ def slice_fixed(df: DataFrame, n: int = 2000) -> DataFrame:
     return explode_numbered(df.where(F.length("text") > 0), pieces, "slice_no", "slice")
 
 
-def reassemble(pieces: DataFrame, number: str, name: str, separator: str = "") -> DataFrame:
-    """doc_id and text, from pieces in the order of their number."""
-    held = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(name).alias("t"))))
-    return pieces.groupBy("doc_id").agg(F.array_join(F.transform(held, lambda x: x["t"]), separator).alias("text"))
+def reassemble(pieces: DataFrame, number: str, name: str, separator: str = "", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys and text, from pieces in the order of their number. keys must tell the texts apart (a row key beside doc_id
+    where ids repeat). Pieces of one text whose number is null stand for a text without pieces, which is empty."""
+    held = F.array_sort(F.collect_list(F.when(F.col(number).isNotNull(), F.struct(F.col(number).alias("n"), F.col(name).alias("t")))))
+    return pieces.groupBy(*keys).agg(F.array_join(F.transform(held, lambda x: x["t"]), separator).alias("text"))

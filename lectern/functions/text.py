@@ -1,20 +1,22 @@
-"""Text operators as columns: cleaning and sanitizing. No shuffle, and no Python worker but for nfc()."""
+"""Text operators as columns: cleaning and sanitizing. No shuffle, and no Python worker but for nfc().
+
+A rule that looks at its text before it searches it uses it more than once, so rules take a column of a table or a bound
+variable; apply() binds between rules.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from lectern.functions import rules as R
-from lectern.functions.rules import apply
-
-
-def bind(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value computed once."""
-    return F.transform(F.array(value), lambda v: f(v))[0]
+from lectern.functions.rules import apply, bind
 
 
 def replace_by(c: Column, pattern: str, f: Callable[[Column], Column]) -> Column:
@@ -40,7 +42,10 @@ def expand_abbreviations(c: Column) -> Column:
     spoken = F.create_map(*[F.lit(x) for label, to in table for x in ((label.lower() if label in R.ANY_CASE else label), to)])
     any_case = F.array(*[F.lit(x.lower()) for x in R.ANY_CASE])
     of = lambda m: F.when(m.startswith("s.") & (F.length(m) == 3) & ~m.isin("s.u", "s.o"), F.lit("siehe ")).otherwise(F.coalesce(F.element_at(spoken, m), F.when(F.array_contains(any_case, F.lower(m)), F.element_at(spoken, F.lower(m))), m))
-    return F.when(c.rlike(pattern), replace_by(c, pattern, of)).otherwise(c)
+    # the sign of an abbreviation is its first full stop behind its first letters: full stops are few
+    stems = sorted({(label.split(".")[0], label in R.ANY_CASE) for label, _ in table}, key=lambda x: (-len(x[0]), x))
+    stem = "|".join(("(?iu:%s)" if any_case else "%s") % R.quoted(x) for x, any_case in stems)
+    return F.when(c.rlike(f"\\.(?<=(?<![\\p{{L}}\\p{{N}}_])(?:{stem})\\.)"), replace_by(c, pattern, of)).otherwise(c)
 
 
 def phonetic(c: Column, words: dict[str, str] | None = None) -> Column:
@@ -57,7 +62,8 @@ def phonetic(c: Column, words: dict[str, str] | None = None) -> Column:
         first = F.substring(m, 1, 1)
         return F.when(to.isNull(), m).when(first == F.upper(first), F.concat(F.upper(F.substring(to, 1, 1)), to.substr(F.lit(2), F.length(to)))).otherwise(F.lower(to))
 
-    return replace_by(c, pattern, spoken)
+    low = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w.lower())) for w in words])
+    return F.when(bind(F.lower(c), low), replace_by(c, pattern, spoken)).otherwise(c)
 
 
 def normalize_eol(c: Column) -> Column:
@@ -113,7 +119,8 @@ def strip_assistant_boilerplate(c: Column) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return apply(R.TRIM, c)
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(R.BLANKS))
 
 
 def is_stage(line: Column) -> Column:
@@ -160,20 +167,20 @@ _HIGH = r"[^\x{00}-\x{2FF}]"
 LETTERS = {"german": "[a-zA-Z0-9äöüÄÖÜß]", "unicode": r"[\p{L}\p{N}]"}
 
 
-def nfc(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with the column in Unicode NFC. Below U+0300 nothing changes, so only other rows go to Python."""
-    high = F.coalesce(F.col(column).rlike(_HIGH), F.lit(False))
-    at = df.columns.index(column)
+@pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    import unicodedata
+
+    return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import unicodedata
+#: Said to be nondeterministic, so that no filter is pushed below it and it is never worked out twice.
+_composed = _composed.asNondeterministic()
 
-        for batch in batches:
-            columns = list(batch.columns)
-            columns[at] = pa.array([unicodedata.normalize("NFC", x) for x in columns[at].to_pylist()], columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return df.where(~high).unionByName(df.where(high).mapInArrow(run, df.schema))
+def nfc(c: Column) -> Column:
+    """c, a column of a table, in Unicode NFC. Below U+0300 nothing changes, so only other texts go to Python."""
+    return F.coalesce(_composed(F.when(c.rlike(_HIGH), c)), c)
 
 
 def invisible_to_space(c: Column) -> Column:
@@ -186,7 +193,8 @@ def join_hyphenation_strict(c: Column) -> Column:
 
 def drop_ghost_lines(c: Column, letters: str = "german") -> Column:
     """Without page lines, and without lines that are not blank but hold no letter or digit."""
-    keep = lambda x: (trim(x) == "") | (x.rlike(LETTERS[letters]) & ~trim(x).rlike(r"(?i)^(?:Seite|Page)\s+\d+\z"))
+    page = f"(?iu)^{R.SP}*(?:Seite|Page){R.SP}*\\d+{R.SP}*\\z"
+    keep = lambda x: F.when(x.rlike(LETTERS[letters]), ~x.rlike(page)).otherwise(~x.rlike(f"[^{R.SPACES}]"))
     return F.array_join(F.filter(F.split(c, "\n", -1), lambda x: keep(x)), "\n")
 
 
@@ -221,8 +229,13 @@ def split_long_paragraph(p: Column, most: int = 1000, window: int = 300) -> Colu
     return F.when(F.length(p) <= most, F.filter(F.array(p), lambda x: F.length(x) > 0)).otherwise(F.aggregate(F.sequence(F.lit(1), (F.ceil(F.length(p) / least) + 1).cast("int")), start, step, lambda a: a["o"]))
 
 
-def sanitize(c: Column, letters: str = "german") -> Column:
-    """All of this part in order, but for nfc(), which works on tables."""
+def sanitize_composed(c: Column, letters: str = "german") -> Column:
+    """sanitize() of a text that is in NFC."""
     c = drop_ghost_lines(join_hyphenation_strict(normalize_eol(invisible_to_space(c))), letters)
     c = paragraphs(collapse_space(drop_control(c)), letters)
     return F.array_join(F.flatten(F.transform(c, lambda p: split_long_paragraph(p))), "\n\n")
+
+
+def sanitize(c: Column, letters: str = "german") -> Column:
+    """All of this part in order. c: a column of a table."""
+    return bind(nfc(c), lambda t: sanitize_composed(t, letters))

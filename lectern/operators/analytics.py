@@ -35,21 +35,26 @@ def abbreviation_inventory(docs: DataFrame, top: int | None = None) -> DataFrame
     return df if top is None else df.orderBy(F.desc("n"), "label").limit(top)
 
 
-#: issue: pattern for either pattern language.
+#: What counts as an issue.
 ISSUES = {
-    "double_spaces": "  +",
-    "plenken": " +[.,!?;:]",
-    "hyphenation": "[a-zäöüß]-\\n[a-zäöüß]",
-    "urls": "https?://|www\\.",
-    "emails": "[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}",
+    "double_spaces": R.Rule(" {2,}", needs=("  ",)),
+    "plenken": R.Rule(f"{R.SP}+([.,!?;:])", sign=f"[.,!?;:](?<={R.SP}.)"),
+    "hyphenation": R.Rule(f"([a-zäöüß])-{R.SP}*\\n{R.SP}*([a-zäöüß])", "", "i", needs=("-",)),
+    "urls": R.Rule(f"(https?://[^{R.SPACES}]+)|(www\\.[^{R.SPACES}]+)", "", "i", needs=("://",), sign="(?i)www\\."),
+    "emails": R.Rule("[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}", needs=("@",)),
 }
 
 
+def issue_counts(c: Column) -> Column:
+    """struct of a count of each issue, of abbreviations, and their total; c is a column of a table."""
+    hits = sum((F.when(F.contains(c, F.lit(label)) if label not in R.ANY_CASE else F.lit(True), _count(c, abbreviation_pattern(label))).otherwise(F.lit(0)) for label, _ in R.abbreviations()), F.lit(0).cast("bigint"))
+    counts = F.struct(*[r.count(c).alias(k) for k, r in ISSUES.items()], hits.alias("abbreviations"))
+    return R.bind(counts, lambda x: F.struct(*[x[k].alias(k) for k in ISSUES], x["abbreviations"].alias("abbreviations"), sum((x[k] for k in ISSUES), x["abbreviations"]).alias("total")))
+
+
 def issue_profile(docs: DataFrame) -> DataFrame:
     """A count of each issue for each document, abbreviations, and their total."""
-    hits = sum((F.when(F.contains("text", F.lit(label)) if label not in R.ANY_CASE else F.lit(True), _count(F.col("text"), abbreviation_pattern(label))).otherwise(F.lit(0)) for label, _ in R.abbreviations()), F.lit(0).cast("bigint"))
-    df = docs.select("doc_id", "lang", "source", *[_count(F.col("text"), p).alias(k) for k, p in ISSUES.items()], hits.alias("abbreviations"))
-    return df.withColumn("total", sum((F.col(k) for k in ISSUES), F.col("abbreviations")))
+    return docs.select("doc_id", "lang", "source", issue_counts(F.col("text")).alias("_n")).select("doc_id", "lang", "source", "_n.*")
 
 
 def issue_rollup(docs: DataFrame) -> DataFrame:
@@ -97,15 +102,22 @@ def summary_rollup(actions: DataFrame) -> DataFrame:
     return actions.rollup("category", "action").agg(F.sum("n").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-def _tokens(df: DataFrame, name: str) -> DataFrame:
-    return df.select("doc_id", F.explode(F.array_remove(F.split("text", R.SP + "+", -1), "")).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias(name))
+def _tokens(c: Column) -> Column:
+    return F.array_remove(F.split(c, R.SP + "+", -1), "")
+
+
+def token_diff(docs: DataFrame, before: str, after: str, key: str = "doc_id") -> DataFrame:
+    """Words whose number in a document differs between two texts of its row (columns before and after): rows whose texts are
+    equal are passed over, and the words of both meet in one aggregation."""
+    side = lambda c, n: F.transform(_tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("token"), F.lit(n).alias("is_after")))
+    rows = docs.where(~F.col(before).eqNullSafe(F.col(after))).select(key, F.inline(F.concat(side(before, 0), side(after, 1))))
+    n = rows.groupBy(key, "token").agg((F.count("*") - F.sum("is_after")).alias("n_before"), F.sum("is_after").cast("bigint").alias("n_after"))
+    return n.withColumn("delta", F.col("n_after") - F.col("n_before")).where("delta <> 0")
 
 
-def token_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Words whose number in a document changed."""
-    joined = _tokens(before, "b").join(_tokens(after, "a"), ["doc_id", "token"], "full_outer")
-    n = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    return joined.select("doc_id", "token", n("b").alias("n_before"), n("a").alias("n_after"), (n("a") - n("b")).alias("delta")).where("delta <> 0")
+def usage_sums(log: DataFrame, key: str, prompt: str, output: str) -> DataFrame:
+    """Sums of two token columns for each key."""
+    return log.groupBy(key).agg(F.sum(prompt).alias("prompt_total"), F.sum(output).alias("output_total"))
 
 
 def usage_totals(log: DataFrame, key: str, order: list[str], prompt: str, output: str) -> DataFrame:

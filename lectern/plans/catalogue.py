@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import uuid
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from lectern.operators import analytics as A
 from lectern.plans import oracle as O
 from lectern.plans.corpus import DRESSED, documents, dressed
 from lectern.plans.prepare import CleaningOptions, clean, prepare_script, prepare_standard
+from lectern.session import shared_dir
 from lectern.sources import files
 from lectern.streaming import streams
 
@@ -47,8 +52,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned texts, beside the issues they had."""
-    docs = dressed(spark, sf_dir)
-    return docs.select("doc_id", T.bind(F.col("text"), clean).alias("text")).join(A.issue_profile(docs), "doc_id")
+    docs = dressed(spark, sf_dir).withColumn("_n", A.issue_counts(F.col("text")))
+    return docs.select("doc_id", T.bind(F.col("text"), clean).alias("text"), "lang", "source", "_n.*")
 
 
 # ---------------------------------------------------------------- A: sources and sinks
@@ -81,18 +86,66 @@ def _(spark, d):
 
 @query("a05_best_candidate", O.base(f"SELECT doc_id, CAST(cand_no AS INTEGER) AS cand_no, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cand_no) AS r FROM (SELECT doc_id, cand_no, {O.score_german('t')} AS score FROM (SELECT doc_id, 0 AS cand_no, replace(text, 'ü', 'Ã¼') AS t FROM dressed UNION ALL SELECT doc_id, 1, text FROM dressed UNION ALL SELECT doc_id, 2, replace(text, 'ö', '?') FROM dressed))) WHERE r = 1"))
 def _(spark, d):
-    docs = dressed(spark, d)
-    cases = F.array(*[F.struct(F.lit(i).alias("cand_no"), t.alias("text")) for i, t in enumerate((F.replace("text", F.lit("ü"), F.lit("Ã¼")), F.col("text"), F.replace("text", F.lit("ö"), F.lit("?"))))])
-    found = docs.select(F.col("doc_id").alias("path"), F.inline(cases))
-    return files.best_candidate(found).select(F.col("path").alias("doc_id"), "cand_no", "score")
+    cases = F.array(*[F.struct(F.lit(i).alias("cand_no"), F.lit("").alias("charset"), t.alias("text")) for i, t in enumerate((F.replace("text", F.lit("ü"), F.lit("Ã¼")), F.col("text"), F.replace("text", F.lit("ö"), F.lit("?"))))])
+    found = dressed(spark, d).select("doc_id", files.best_candidate(cases).alias("x"))
+    return found.select("doc_id", "x.cand_no", "x.score")
+
+
+def _archives(docs: DataFrame, member: str, xml: Callable[[str], str]) -> DataFrame:
+    """path and content: an archive for each document; by doc_id % 6 of 3 and more damaged, encrypted, or of an old format."""
+
+    def packed(text: str, kind: int) -> bytes:
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(member, xml(text))
+        data = bytearray(b.getvalue())
+        if kind == 3:  # the packed member itself
+            begin = 30 + len(member)
+            data[begin : begin + 8] = b"\xff" * 8
+        elif kind == 4:  # the flag of both heads
+            data[6] |= 1
+            data[data.rindex(b"PK\x01\x02") + 8] |= 1
+        elif kind == 5:
+            data = bytearray(b"\xd0\xcf\x11\xe0") + data
+        return bytes(data)
+
+    def run(batches):
+        for b in batches:
+            rows = zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in b.column("doc_id").to_pylist()]), pa.array([packed(t, i % 6) for i, t in rows], pa.binary())], ["path", "content"])
+
+    return docs.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B-\x1F]", "").alias("text")).mapInArrow(run, "path string, content binary")
+
+
+def _extracted_sql(text: str) -> str:
+    plain = "regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B-\\x1F]', '', 'g')"
+    return f"SELECT doc_id, CASE WHEN doc_id % 6 < 3 THEN {text.format(plain)} END AS text, CASE doc_id % 6 WHEN 3 THEN 'unreadable' WHEN 4 THEN 'unreadable' WHEN 5 THEN 'old Word format' ELSE 'ok' END AS status FROM documents"
+
 
+def _extracted(found: DataFrame) -> DataFrame:
+    return found.select(F.col("path").cast("bigint").alias("doc_id"), "text", F.split("status", ":")[0].alias("status"))
 
-@query("a08_write_corpus")
+
+@query("a06_extract_docx", _extracted_sql("array_to_string(list_filter(string_split({}, chr(10)), lambda x: x <> ''), chr(10) || chr(10))"))
 def _(spark, d):
-    path = tempfile.mkdtemp(prefix="lectern-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/corpus-{spark.sparkContext.applicationId}-{abs(hash(d))}"
-    docs = dressed(spark, d).select(F.concat(F.col("source"), F.lit(".txt")).alias("name"), "text")
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    xml = lambda t: f'<w:document xmlns:w="{space}"><w:body>' + "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in t.split("\n")) + "</w:body></w:document>"
+    return _extracted(files.extract_docx(_archives(documents(spark, d), "word/document.xml", xml)))
+
+
+@query("a07_extract_odt", _extracted_sql("{}"))
+def _(spark, d):
+    space = "urn:oasis:names:tc:opendocument:xmlns:text:1.0"
+    xml = lambda t: f'<o xmlns:text="{space}">' + "".join(f"<text:p>{escape(x)}</text:p>" for x in t.split("\n")) + "</o>"
+    return _extracted(files.extract_odt(_archives(documents(spark, d), "content.xml", xml)))
+
+
+@query("a08_write_corpus", O.base("SELECT d.source || '-' || CAST(d.doc_id AS VARCHAR) || '_bereinigt_2024-01-02T03-04-05' AS file, chr(65279) || s.text AS value FROM dressed d JOIN sane s ON s.doc_id = d.doc_id", True, O.sanitized("dressed")))
+def _(spark, d):
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = dressed(spark, d).select(F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
     files.write_corpus(docs, path, F.lit("2024-01-02 03:04:05").cast("timestamp"))
-    return spark.read.text(path).groupBy("file").agg(F.count("*").alias("n_lines"), F.sum(F.length("value")).alias("n_chars"))
+    return spark.read.parquet(path)
 
 
 @query("a09_safe_file_name", "SELECT page_id, CASE WHEN n = '' THEN 'output' ELSE substring(n, 1, 200) END AS name FROM (SELECT page_id, trim(regexp_replace(regexp_replace(url, '\\.[^/.]+$', ''), '[<>:\"/\\\\|?*]', '_', 'g')) AS n FROM pages)")
@@ -127,16 +180,21 @@ for _name, _f, _rules in (
     ("c02_invisible_to_space", T.invisible_to_space, R.INVISIBLE),
     ("c03_join_hyphenation_strict", T.join_hyphenation_strict, R.HYPHENS_STRICT),
     ("c05_drop_control", T.drop_control, R.CONTROL),
-    ("c06_collapse_space", T.collapse_space, R.COLLAPSE),
-    ("e05_remove_pause_tags", P.remove_pause_tags, R.REMOVE_TAGS),
 ):
     on_text(_name, _f, apply_sql(_rules, "text"))
 on_text("b15_phonetic", T.phonetic, O.phonetic("text"))
+on_text("c06_collapse_space", T.collapse_space, O.collapse("text"))
+on_text("e05_remove_pause_tags", P.remove_pause_tags, O.remove_tags("text"))
+
+
+#: Answers as they come, and with what assistants put around theirs.
+_ANSWERS = "CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'Hier ist der Text:' || chr(10) || '```JSON' || chr(10) || text || chr(10) || '```' WHEN 2 THEN 'ein *wort*spiel, *so* *und* so *' || text ELSE 'Okay, ' || text || ' **fett** __kursiv__' || chr(10) || 'Hinweis: gekürzt' END"
 
 
-@query("b16_strip_assistant_boilerplate", f"SELECT conv_id, turn, {apply_sql(R.BOILERPLATE, 'text')} AS text FROM conversations WHERE role = 'assistant'")
+@query("b16_strip_assistant_boilerplate", f"SELECT conv_id, turn, {O.boilerplate('t')} AS text FROM (SELECT conv_id, turn, {_ANSWERS} AS t FROM conversations WHERE role = 'assistant')")
 def _(spark, d):
-    return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.strip_assistant_boilerplate(F.col("text")).alias("text"))
+    answers = table(spark, d, "conversations").where("role = 'assistant'").selectExpr("conv_id", "turn", f"{_ANSWERS} AS text")
+    return answers.select("conv_id", "turn", T.strip_assistant_boilerplate(F.col("text")).alias("text"))
 
 
 @query("b17_protect_lines", O.base(f"SELECT doc_id, text, CAST(len(list_filter(string_split(text, chr(10)), lambda x: {O.is_stage('x')})) AS INTEGER) AS n_saved FROM dressed"))
@@ -153,7 +211,7 @@ def _(spark, d):
 on_text("b19_clean", clean, O.clean("text"))
 
 
-@query("b19_clean_script")
+@query("b19_clean_script", O.column(O.clean("text", script=True)))
 def _(spark, d):
     return dressed(spark, d).select("doc_id", T.bind(F.col("text"), lambda c: clean(c, CleaningOptions(script=True))).alias("text"))
 
@@ -164,7 +222,7 @@ def _(spark, d):
 @query("c01_nfc", "SELECT doc_id, nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776))) AS text FROM documents")
 def _(spark, d):
     apart = F.replace(F.replace("text", F.lit("é"), F.lit("é")), F.lit("ü"), F.lit("ü"))
-    return T.nfc(documents(spark, d).select("doc_id", apart.alias("text")))
+    return documents(spark, d).select("doc_id", apart.alias("text")).select("doc_id", T.nfc(F.col("text")).alias("text"))
 
 
 on_text("c04_drop_ghost_lines", T.drop_ghost_lines, O.ghost("text"))
@@ -177,8 +235,13 @@ def _(spark, d):
     return p.select("doc_id", F.array_join(T.split_long_paragraph(F.col("p")), "\n\n").alias("text"))
 
 
-on_text("c09_sanitize", T.sanitize, None)
-ORACLE_SQL["c09_sanitize"] = O.pieces("dressed", O.paragraph_list(O.before_paragraphs("text")))
+
+
+@query("c09_sanitize", O.base("SELECT doc_id, text FROM sane", True, O.sanitized("dressed")))
+def _(spark, d):
+    return dressed(spark, d).select("doc_id", T.sanitize(F.col("text")).alias("text"))
+
+
 
 # ---------------------------------------------------------------- D: segmentation
 
@@ -236,7 +299,7 @@ def _(spark, d):
     return dressed(spark, d).select("doc_id", P.count_pause_tags(F.col("text")).alias("n"))
 
 
-@query("e07_sum_pause_seconds", O.base(f"SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, {sql_text('(?i)' + R.TAG_VALUE)}, 1), lambda x: CAST(x AS DOUBLE))), 0.0) AS seconds FROM dressed"))
+@query("e07_sum_pause_seconds", O.base(f"SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, {sql_text(O.TAG)}, 1), lambda x: CAST(x AS DOUBLE))), 0.0) AS seconds FROM dressed"))
 def _(spark, d):
     return dressed(spark, d).select("doc_id", P.sum_pause_seconds(F.col("text")).alias("seconds"))
 
@@ -261,13 +324,15 @@ def _(spark, d):
     return P.scan_pauses(dressed(spark, d))
 
 
-_TAGGED = f"CASE WHEN duration IS NULL THEN line WHEN regexp_matches(line, {sql_text('(?i)' + R.TAG_VALUE)}) THEN regexp_replace(line, {sql_text('(?i)' + R.TAG_VALUE)}, {O.tag('duration')}, 'g') ELSE line || ' ' || {O.tag('duration')} END"
+@query("e12_apply_pauses", O.base(f"SELECT doc_id, text FROM ({O.tagged()})", more=O.pauses()))
+def _(spark, d):
+    docs = dressed(spark, d).select("doc_id", "text")
+    return P.apply_pauses(docs, P.scan_pauses(docs))
 
 
-@query("e12_apply_pauses", O.base(f"SELECT doc_id, string_agg({_TAGGED}, chr(10) ORDER BY line_no) AS text FROM (SELECT l.doc_id, l.line_no, l.line, p.duration FROM {O.lines()} l LEFT JOIN (SELECT doc_id, line_no, max(duration) AS duration FROM pauses GROUP BY ALL) p ON p.doc_id = l.doc_id AND p.line_no = l.line_no) GROUP BY doc_id", more=O.pauses()))
+@query("e12_tag_pauses", O.base(f"SELECT doc_id, text FROM ({O.tagged()})", more=O.pauses()))
 def _(spark, d):
-    docs = dressed(spark, d)
-    return P.apply_pauses(docs, P.scan_pauses(docs))
+    return dressed(spark, d).select("doc_id", P.tag_pauses(F.col("text")).alias("text"))
 
 
 @query("e13_override_durations", O.base("SELECT doc_id, line_no, CASE WHEN doc_id % 2 = 0 THEN 5.0 ELSE duration END AS duration FROM pauses", more=O.pauses()))
@@ -322,7 +387,7 @@ def _(spark, d):
     return A.issue_profile(dressed(spark, d))
 
 
-@query("f02_issue_rollup", O.base("SELECT lang, source, count(*) AS n_docs, " + ", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}" for k in [*A.ISSUES, "abbreviations", "total"]) + f" FROM ({O.issues()}) GROUP BY lang, source"))
+@query("f02_issue_rollup", O.base("SELECT lang, source, count(*) AS n_docs, " + ", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}" for k in [*O.ISSUES, "abbreviations", "total"]) + f" FROM ({O.issues()}) GROUP BY lang, source"))
 def _(spark, d):
     return A.issue_rollup(dressed(spark, d))
 
@@ -363,8 +428,8 @@ def _tokens_sql(e: str, name: str) -> str:
 
 @query("f07_token_diff", O.base(f"SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.token, a.token) AS token, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM {_tokens_sql('text', 'n')} b FULL OUTER JOIN {_tokens_sql(O.clean('text'), 'n')} a ON a.doc_id = b.doc_id AND a.token = b.token WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)"))
 def _(spark, d):
-    docs = dressed(spark, d)
-    return A.token_diff(docs, docs.withColumn("text", T.bind(F.col("text"), clean)))
+    docs = dressed(spark, d).withColumn("cleaned", T.bind(F.col("text"), clean))
+    return A.token_diff(docs, "text", "cleaned")
 
 
 @query("f08_usage_totals", "SELECT user_id, ts, event_id, CAST(sum(event_id % 100) OVER w AS BIGINT) AS prompt_total, CAST(sum(event_id % 7) OVER w AS BIGINT) AS output_total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
@@ -373,6 +438,11 @@ def _(spark, d):
     return A.usage_totals(log, "user_id", ["ts", "event_id"], "p", "o")
 
 
+@query("f08_usage_sums", "SELECT user_id, CAST(sum(event_id % 100) AS BIGINT) AS prompt_total, CAST(sum(event_id % 7) AS BIGINT) AS output_total FROM events GROUP BY user_id")
+def _(spark, d):
+    return A.usage_sums(table(spark, d, "events").selectExpr("user_id", "event_id % 100 AS p", "event_id % 7 AS o"), "user_id", "p", "o")
+
+
 @query("f09_recent_chunk_avg", "SELECT user_id, ts, event_id, round(a, 6) AS recent_avg, remaining, round(a * remaining, 6) AS eta FROM (SELECT user_id, ts, event_id, avg(round(value)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a, count(*) OVER (PARTITION BY user_id) - row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS remaining FROM events)")
 def _(spark, d):
     log = table(spark, d, "events").withColumn("value", F.round("value"))
@@ -397,25 +467,21 @@ def _(spark, d):
 # ---------------------------------------------------------------- chains and streams
 
 
-@query("p01_prepare_standard")
+@query("p01_prepare_standard", O.prepared_standard())
 def _(spark, d):
     return prepare_standard(dressed(spark, d)).select("doc_id", "text")
 
 
-@query("p02_prepare_script")
+@query("p02_prepare_script", O.prepared_script())
 def _(spark, d):
-    done, without = prepare_script(dressed(spark, d))
-    return done.withColumn("kind", F.lit("script")).unionByName(without.select("doc_id", "text", F.lit("no pause").alias("kind")))
+    return prepare_script(dressed(spark, d)).select("doc_id", "text", F.when(F.col("has_pause"), "script").otherwise("no pause").alias("kind"))
 
 
 def _folder(spark: SparkSession) -> str:
-    import uuid
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named}/stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="lectern-")
 
-
-@query("g01_clean_stream")
+@query("g01_clean_stream", O.cleaned_and_sanitized())
 def _(spark, d):
     home = _folder(spark)
     docs = dressed(spark, d).select("doc_id", "text")
@@ -430,10 +496,19 @@ def _(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.concat("event_type", F.col("event_id").cast("string")).alias("text"), F.col("ts").alias("saved_at"))
     e.write.parquet(f"{home}/in")
     streams.session_stream(spark.readStream.schema(e.schema).parquet(f"{home}/in"), f"{home}/table", f"{home}/state").awaitTermination()
-    return streams.latest(spark, f"{home}/table")
+    return streams.latest(spark, f"{home}/table").select("key", "text", "saved_at")
 
 
 @query("h01_load_rules", O.column("regexp_replace(regexp_replace(text, '(?i)ende', 'Schluss', 'g'), '(?i)regime', 'Regierung', 'g')"))
 def _(spark, d):
     rules = files.load_rules('[{"search": "Ende", "replace": "Schluss"}, {"search": ""}, {"search": "Regime", "replace": "Regierung"}]')
     return dressed(spark, d).select("doc_id", T.custom_replacements(F.col("text"), rules).alias("text"))
+
+
+@query("h01_rule_table", O.base("SELECT doc_id, string_agg(p || coalesce(CASE WHEN regexp_matches(lower(m), '^(?:of|the|und|de)$') THEN '<' || lower(m) || '>' ELSE m END, ''), '' ORDER BY i) AS text FROM (SELECT doc_id, unnest(string_split_regex(text, '[\\p{L}\\p{N}_]+')) AS p, generate_subscripts(string_split_regex(text, '[\\p{L}\\p{N}_]+'), 1) AS i, regexp_extract_all(text, '[\\p{L}\\p{N}_]+')[generate_subscripts(string_split_regex(text, '[\\p{L}\\p{N}_]+'), 1)] AS m FROM dressed) GROUP BY doc_id"))
+def _(spark, d):
+    """Rules from a table that is joined rather than folded into the plan."""
+    words = table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("search")).distinct()
+    to = F.when(F.col("search").isin("of", "the", "und", "de"), F.concat(F.lit("<"), F.col("search"), F.lit(">"))).otherwise(F.col("search"))
+    rules = words.where("search in ('of', 'the', 'und', 'de')").select(F.lit(1).alias("rule_no"), "search", to.alias("replace"))
+    return files.apply_rule_table(dressed(spark, d).select("doc_id", "text"), rules, fold=0)

@@ -18,7 +18,9 @@ select d.doc_id, d.lang, d.source,
 (8, 'Manche Regie nennt das Chakra ein Regime.'||chr(10)||'Prof. Dr. Weber kam, z.B. heute.'),
 (9, 'Seite 12'||chr(10)||'***'||chr(10)||'Ein'||chr(9)||'Tab( innen ) hier'),
 (10, '[PAUSE 2s] Schon getaggt. Noch ein Satz! Und noch einer?'),
-(11, 'Hinweis: nichts zu tun.')) v(k, snip)) s on s.k = d.doc_id % 12
+(11, 'Hinweis: nichts zu tun. Im Cafe\u0301 gibt es Mu\u0308sli.'),
+(12, 'PAUSE Teil2'||chr(10)||'PAUSE 3x tief'||chr(10)||'pause 12.5, dann'||chr(10)||'[PAUSE 0s]'||chr(10)||'Kurze Stille: 0,3 Sekunden'||chr(10)||'(0 Min) und [PAUSE 2 s] und (Pause hier) dann'),
+(13, 'Seite12'||chr(10)||'  eingerückt  '||chr(10)||'(Pause hier) dann weiter'||chr(10)||'Siehe HTTP://X.ORG/A und WWW.Y.ORG'||chr(9)||'.'||chr(10)||'VER-  '||chr(10)||'  BINDUNG')) v(k, snip)) s on s.k = d.doc_id % 14
 """
 
 

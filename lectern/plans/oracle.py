@@ -1,16 +1,39 @@
-"""SQL of the text operators, from the same catalogue of rules as the Spark columns."""
+"""SQL of the text operators. Patterns that are long and alike in Java and RE2 come from the catalogue of rules; those of scripts,
+issues, sanitizing and boilerplate, where a wrong pattern would otherwise pass unseen, are written out here."""
 
 from __future__ import annotations
 
 from lectern.functions import rules as R
 from lectern.functions.rules import apply_sql, sql_text
-from lectern.operators.analytics import ISSUES, PRICE_IN, PRICE_OUT, WORDS_PER_MINUTE
+from lectern.operators.analytics import PRICE_IN, PRICE_OUT, WORDS_PER_MINUTE
 from lectern.plans.corpus import DRESSED
 
 EDGE = "[^\\p{L}\\p{N}_]"
 LETTERS = "[a-zA-Z0-9äöüÄÖÜß]"
 
 
+#: Written out, not taken from the rules.
+KEY = "(?i)^(?:(?:KURZE|LANGE|KLEINE|GROSSE)\\s+)?(?:PAUSE|STILLE|NACHSPÜREN)(?:[^\\p{L}\\p{N}_].*)?$"
+KEY_PARTS = "(?i)^(?:(KURZE|LANGE|KLEINE|GROSSE)\\s+)?(PAUSE|STILLE|NACHSPÜREN)((?:[^\\p{L}\\p{N}_].*)?)$"
+KEY_BEGINS = f"(?i)^{R.SP}*(?:(?:KURZE|LANGE|KLEINE|GROSSE){R.SP}+)?(?:PAUSE|STILLE|NACHSPÜREN)(?:[^\\p{{L}}\\p{{N}}_]|$)"
+TAG = "(?i)\\[PAUSE\\s+(\\d+(?:\\.\\d+)?)s\\]"
+WHOLE_DIRECTION = "(?i)^\\s*[(\\[]\\s*(?:pause|stille|nachspüren)[^)\\]]*[)\\]]\\s*$"
+DIRECTION_BEGINS = "(?i)^\\s*[(\\[]\\s*(?:pause|stille|nachspüren)"
+CODE = "(?i)[(\\[]\\s*(?:Pause:?\\s*)?(\\d+(?:[.,]\\d+)?)\\s*(Minuten?|Min\\.?|Sekunden?|Sek\\.?|Stunden?|Std\\.?|s|m|h)\\s*[)\\]]"
+CODE_BUT_HOURS = "(?i)[(\\[]\\s*(?:Pause:?\\s*)?\\d+(?:[.,]\\d+)?\\s*(?:Minuten?|Min\\.?|Sekunden?|Sek\\.?|s|m)\\s*[)\\]]"
+UNITS = [("(?:minuten?|min\\.?)", 60.0), ("(?:sekunden?|sek\\.?|s(?:[^\\p{L}\\p{N}_]|$))", 1.0), ("(?:stunden?|std\\.?|h(?:[^\\p{L}\\p{N}_]|$))", 3600.0)]
+MINUTES = {"eine?|eins": 60, "zwei": 120, "drei": 180, "vier": 240, "fünf": 300, "zehn": 600, "fünfzehn": 900, "zwanzig": 1200, "dreißig": 1800}
+SECONDS = {"eine?|eins": 1, "zwei": 2, "drei": 3, "fünf": 5, "zehn": 10, "zwanzig": 20, "dreißig": 30}
+ISSUES = {
+    "double_spaces": " {2,}",
+    "plenken": f"{R.SP}+[.,!?;:]",
+    "hyphenation": f"(?i)[a-zäöüß]-{R.SP}*\\n{R.SP}*[a-zäöüß]",
+    "urls": f"(?i)https?://[^{R.SPACES}]+|www\\.[^{R.SPACES}]+",
+    "emails": "[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}",
+}
+GERMAN = "und der die das ist nicht ein eine zu in".split()
+
+
 def base(select: str, recursive: bool = False, more: str = "") -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}dressed AS ({DRESSED}){more} {select}"
 
@@ -35,15 +58,21 @@ def phonetic(e: str) -> str:
     return e
 
 
-def clean(e: str) -> str:
+def clean(e: str, script: bool = False) -> str:
     e = expand_abbreviations(e)
-    for rules in (R.END_OF_LINES, R.PAGE_NUMBERS, R.RULE_LINES, R.CONTENTS, R.CHAPTERS, R.LISTS, R.HYPHENS, R.URLS, R.EMAILS, R.REFERENCES, R.TYPOGRAPHY, R.DECIMALS):
+    for rules in (R.END_OF_LINES, R.PAGE_NUMBERS, R.RULE_LINES):
+        e = apply_sql(rules, e)
+    for rules in () if script else (R.CONTENTS, R.CHAPTERS):
+        e = apply_sql(rules, e)
+    for rules in (R.LISTS, R.HYPHENS):
         e = apply_sql(rules, e)
-    return phonetic(e)
+    for rules in () if script else (R.URLS, R.EMAILS, R.REFERENCES):
+        e = apply_sql(rules, e)
+    return phonetic(apply_sql(R.DECIMALS, apply_sql(R.TYPOGRAPHY, e)))
 
 
 def ghost(e: str) -> str:
-    return f"array_to_string(list_filter(string_split({e}, chr(10)), lambda x: {trim('x')} = '' OR (regexp_matches(x, '{LETTERS}') AND NOT regexp_matches({trim('x')}, '(?i)^(Seite|Page)\\s+\\d+$'))), chr(10))"
+    return f"array_to_string(list_filter(string_split({e}, chr(10)), lambda x: {trim('x')} = '' OR (regexp_matches(x, '{LETTERS}') AND NOT regexp_matches({trim('x')}, '(?i)^(Seite|Page)\\s*\\d+$'))), chr(10))"
 
 
 def paragraph_list(e: str) -> str:
@@ -52,11 +81,34 @@ def paragraph_list(e: str) -> str:
 
 def before_paragraphs(e: str) -> str:
     e = apply_sql(R.HYPHENS_STRICT, apply_sql(R.END_OF_LINES, apply_sql(R.INVISIBLE, f"nfc_normalize({e})")))
-    return apply_sql(R.COLLAPSE, apply_sql(R.CONTROL, ghost(e)))
+    return collapse(apply_sql(R.CONTROL, ghost(e)))
 
 
-def pieces(source: str, listed: str) -> str:
-    """Paragraphs of `source`, cut to 1000 characters, joined by blank lines."""
+def collapse(e: str) -> str:
+    return f"regexp_replace(regexp_replace({e}, '[ \\t]+', ' ', 'g'), '(?m)[ \\t]+$', '', 'g')"
+
+
+def remove_tags(e: str) -> str:
+    return f"regexp_replace(regexp_replace({e}, '(?i){R.SP}*\\[PAUSE{R.SP}+[\\d.]+s\\]{R.SP}*', ' ', 'g'), '{R.SP}{{2,}}', ' ', 'g')"
+
+
+def boilerplate(e: str) -> str:
+    """Emphasis by single stars twice over, as one match takes the blank that the next one begins with."""
+    for pattern in ("(?i)```(?:json|text|markdown|plaintext|xml|html)?S*", "S*```"):
+        e = f"regexp_replace({e}, '{pattern.replace('S', R.SP)}', '', 'g')"
+    e = f"regexp_replace({e}, '(?m)^[\"'']([\\x{{0}}-\\x{{10FFFF}}]*)[\"'']$', '\\1')"
+    for pattern in ("(?:Hier ist|Here is)[^:\\n]*:?", "(?:Der bereinigte Text|The cleaned text)[^:\\n]*:?", "(?:Gerne|Sure|Of course|Certainly)[^.:\\n]*[.:]?", "(?:Hier|Here)[^:\\n]*(?:der|the)[^:\\n]*:?", "(?:Natürlich|Selbstverständlich)[^.:\\n]*[.:]?", "(?:Okay|OK)[,.]?", "(?:Ich habe|I have)[^:\\n]*:?", "(?:Der Text|The text)[^:\\n]*:?"):
+        e = f"regexp_replace({e}, '(?i)^{pattern}{R.SP}*\\n*', '')"
+    e = f"regexp_replace({e}, '(?i)\\n*(?:Hinweis|Note|Anmerkung)[:{R.SPACES}][^\\n]*$', '')"
+    e = f"regexp_replace({e}, '(?i)\\n*(?:Ich habe|I have)[^.]*\\.?{R.SP}*$', '')"
+    e = f"regexp_replace(regexp_replace({e}, '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '__([^_]+)__', '\\1', 'g')"
+    for _ in range(2):
+        e = f"regexp_replace({e}, '({R.SP})\\*([^*\\n]+)\\*({R.SP}|$)', '\\1\\2\\3', 'g')"
+    return trim(e)
+
+
+def cut_tables(source: str, listed: str) -> str:
+    """Tables that end in `sane` (doc_id, text): paragraphs of `source`, cut to 1000 characters, joined by blank lines."""
     w = "substring(rest, 701, 300)"
     lazy = lambda marks: f"length(regexp_extract({w}, '(?s)^(.*?[{marks}])\\s', 1))"
     cut = f"CASE WHEN length(rest) <= 1000 THEN length(rest) WHEN {lazy('.!?')} > 0 THEN 700 + {lazy('.!?')} WHEN {lazy(';:')} > 0 THEN 700 + {lazy(';:')} WHEN contains({w}, ' ') THEN 700 + length(regexp_extract({w}, '(?s)^(.*) ', 1)) ELSE 1000 END"
@@ -66,7 +118,15 @@ para AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM list
 rec AS (SELECT doc_id, i, 0 AS k, CAST(NULL AS VARCHAR) AS piece, p AS rest FROM para WHERE length(p) > 0
 UNION ALL SELECT doc_id, i, k + 1, CASE WHEN length(rest) <= 1000 THEN rest ELSE {strip('substring(rest, 1, cut)')} END, CASE WHEN length(rest) <= 1000 THEN '' ELSE {strip('substring(rest, cut + 1)')} END
 FROM (SELECT *, {cut} AS cut FROM rec WHERE length(rest) > 0))"""
-    return base("SELECT d.doc_id, coalesce(string_agg(r.piece, chr(10) || chr(10) ORDER BY r.i, r.k), '') AS text FROM dressed d LEFT JOIN rec r ON r.doc_id = d.doc_id AND r.piece IS NOT NULL GROUP BY d.doc_id", True, more)
+    return more + f""", sane AS (SELECT d.doc_id, coalesce(string_agg(r.piece, chr(10) || chr(10) ORDER BY r.i, r.k), '') AS text FROM {source} d LEFT JOIN rec r ON r.doc_id = d.doc_id AND r.piece IS NOT NULL GROUP BY d.doc_id)"""
+
+
+def pieces(source: str, listed: str) -> str:
+    return base("SELECT doc_id, text FROM sane", True, cut_tables(source, listed))
+
+
+def sanitized(source: str) -> str:
+    return cut_tables(source, paragraph_list(before_paragraphs("text")))
 
 
 def smart_split(target: int) -> str:
@@ -106,51 +166,61 @@ def pause_seconds(e: str) -> str:
     t = f"lower({e})"
     num = "(\\d+(?:[.,]\\d+)?)\\s*(?:reale?\\s+)?"
     cases = []
-    for p, times in R.NUMBER_UNITS:
-        v = f"floor({number(f'nullif(regexp_extract({t}, {sql_text(num + p)}, 1), {sql_text(str())})')} * {times} + 0.5)"
-        cases.append(f"CASE WHEN {v} > 0 THEN {v} END")
-    for table, unit in ((R.WORD_MINUTES, "minuten?"), (R.WORD_SECONDS, "sekunden?")):
-        for w, s in table:
+    for p, times in UNITS:
+        v = number(f"nullif(regexp_extract({t}, {sql_text(num + p)}, 1), '')")
+        cases.append(f"CASE WHEN {v} > 0 THEN floor({v} * {times} + 0.5) END")
+    for table, unit in ((MINUTES, "minuten?"), (SECONDS, "sekunden?")):
+        for w, s in table.items():
             cases.append(f"CASE WHEN regexp_matches({t}, {sql_text(f'(^|{EDGE})(?:{w})' + chr(92) + 's+(?:reale?' + chr(92) + f's+)?{unit}')}) THEN {float(s)} END")
-    bare = number(f"nullif(regexp_extract({t}, '(\\d+(?:[.,]\\d+)?)', 1), '')")
+    bare = number(f"nullif(regexp_extract({t}, '(?:^|{EDGE})(\\d+(?:[.,]\\d+)?)(?:{EDGE}|$)', 1), '')")
     cases.append(f"CASE WHEN {bare} > 0 AND {bare} <= 300 THEN floor({bare} + 0.5) END")
     return f"CAST(coalesce({', '.join(cases)}, 15.0) AS DOUBLE)"
 
 
-def pauses() -> str:
+def pauses(source: str = "dressed") -> str:
     """Tables up to `pauses` (doc_id, line_no, original_text, duration, instruction)."""
-    key, tag, whole = (sql_text(x) for x in (R.KEYWORD.re2(), "(?i)" + R.TAG_VALUE, R.DIRECTION.re2()))
-    part = lambda i: f"regexp_extract(line, {sql_text('(?i)' + R.KEYWORD_PARTS)}, {i})"
+    key, tag, whole = (sql_text(x) for x in (KEY, TAG, WHOLE_DIRECTION))
+    part = lambda i: f"regexp_extract(line, {sql_text(KEY_PARTS)}, {i})"
     rest = f"regexp_replace({part(3)}, '^[\\s,:–\\-]+', '')"
-    title = f"(CASE WHEN {part(1)} <> '' THEN upper({part(1)}) || ' ' ELSE '' END || upper({part(2)}))"
-    return f""", trimmed AS (SELECT doc_id, line_no, {trim('line')} AS line FROM {lines()}),
-pauses AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line AS original_text,
-CASE WHEN regexp_matches(line, {key}) THEN {pause_seconds('line')} WHEN regexp_matches(line, {tag}) THEN CAST(regexp_extract(line, {tag}, 1) AS DOUBLE) ELSE {pause_seconds('line')} END AS duration,
+    title = f"(CASE WHEN {part(1)} <> '' THEN {part(1)} || ' ' ELSE '' END || {part(2)})"
+    return f""", trimmed AS (SELECT doc_id, line_no, line AS original_text, {trim('line')} AS line FROM {lines(source)}),
+pauses AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, original_text,
+CASE WHEN regexp_matches(line, {key}) THEN {pause_seconds('line')} WHEN regexp_matches(line, {tag}) THEN coalesce(nullif(CAST(regexp_extract(line, {tag}, 1) AS DOUBLE), 0), 15.0) ELSE {pause_seconds('line')} END AS duration,
 CASE WHEN regexp_matches(line, {key}) THEN CASE WHEN {rest} = '' THEN {title} ELSE {title} || ' – ' || {rest} END ELSE 'PAUSE – ' || line END AS instruction
 FROM trimmed WHERE regexp_matches(line, {key}) OR regexp_matches(line, {tag}) OR regexp_matches(line, {whole}))"""
 
 
+def tagged(source: str = "dressed") -> str:
+    """doc_id, text with tags, and whether there are any, from `source` and the tables of pauses(source)."""
+    line = f"CASE WHEN duration IS NULL THEN line WHEN regexp_matches(line, {sql_text(TAG)}) THEN regexp_replace(line, {sql_text(TAG)}, {tag('duration')}, 'g') ELSE line || ' ' || {tag('duration')} END"
+    return f"SELECT doc_id, string_agg({line}, chr(10) ORDER BY line_no) AS text, count(duration) > 0 AS has FROM (SELECT l.doc_id, l.line_no, l.line, p.duration FROM {lines(source)} l LEFT JOIN (SELECT doc_id, line_no, max(duration) AS duration FROM pauses GROUP BY ALL) p ON p.doc_id = l.doc_id AND p.line_no = l.line_no) GROUP BY doc_id"
+
+
 def tag(e: str) -> str:
     x = f"greatest(0.1, floor(({e}) * 10 + 0.5) / 10)"
     return f"('[PAUSE ' || CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END || 's]')"
 
 
-def shortcodes(source: str = "dressed") -> str:
-    p = sql_text("(?i)" + R.SHORTCODE)
+def coded(source: str = "dressed") -> str:
+    """doc_id and text, shortcodes turned into tags."""
+    p = sql_text(CODE)
     unit = f"lower(regexp_extract(m, {p}, 2))"
     times = f"(CASE WHEN {unit} LIKE 'm%' THEN 60.0 WHEN {unit} LIKE 'st%' OR {unit} = 'h' THEN 3600.0 ELSE 1.0 END)"
     value = number(f"regexp_extract(m, {p}, 1)")
-    return base(f"""SELECT doc_id, string_agg(p || CASE WHEN m = '' OR regexp_matches(m, '(?i)^\\[PAUSE\\s[\\d.]+s\\]$') THEN m ELSE ' [PAUSE ' || CAST(CAST(floor({value} * {times} + 0.5) AS BIGINT) AS VARCHAR) || 's] ' END, '' ORDER BY i) AS text
-FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i, coalesce(ms[generate_subscripts(ps, 1)], '') AS m FROM (SELECT doc_id, string_split_regex(text, {p}) AS ps, regexp_extract_all(text, {p}) AS ms FROM {source})) GROUP BY doc_id""")
+    return f"""SELECT doc_id, string_agg(p || CASE WHEN m = '' OR {value} <= 0 OR regexp_matches(m, '(?i)^\\[PAUSE\\s[\\d.]+s\\]$') THEN m ELSE ' [PAUSE ' || CAST(CAST(floor({value} * {times} + 0.5) AS BIGINT) AS VARCHAR) || 's] ' END, '' ORDER BY i) AS text
+FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i, coalesce(ms[generate_subscripts(ps, 1)], '') AS m FROM (SELECT doc_id, string_split_regex(text, {p}) AS ps, regexp_extract_all(text, {p}) AS ms FROM {source})) GROUP BY doc_id"""
+
+
+def shortcodes() -> str:
+    return base(coded())
 
 
 def is_stage(line: str) -> str:
-    return f"(regexp_matches({trim(line)}, {sql_text(R.KEYWORD.re2())}) OR regexp_matches({line}, {sql_text('(?i)' + R.TAG_VALUE)}) OR regexp_matches({line}, {sql_text(R.DIRECTION_IN.re2())}))"
+    return f"(regexp_matches({trim(line)}, {sql_text(KEY)}) OR regexp_matches({line}, {sql_text(TAG)}) OR regexp_matches({line}, '(?i)[(\\[]\\s*(?:pause|stille|nachspüren)[^)\\]]*[)\\]]'))"
 
 
 def is_script(e: str) -> str:
-    code = "(?i)" + R.SHORTCODE.replace("|Stunden?|Std\\.?|s|m|h)", "|s|m)")
-    one = f"(regexp_matches({trim('x')}, {sql_text(R.KEYWORD.re2())}) OR regexp_matches(x, {sql_text('(?i)' + R.TAG_VALUE)}) OR regexp_matches(x, {sql_text(code)}) OR regexp_matches(x, {sql_text(R.DIRECTION.re2())}))"
+    one = " OR ".join(f"regexp_matches(x, {sql_text(p)})" for p in (KEY_BEGINS, TAG, CODE_BUT_HOURS, DIRECTION_BEGINS))
     return f"(len(list_filter(string_split({e}, chr(10)), lambda x: {one})) > 0)"
 
 
@@ -196,9 +266,31 @@ def actions() -> str:
 
 
 def german_words() -> str:
-    return "(" + ", ".join(sql_text(w) for w in "der die das und ist nicht ein eine zu mit".split()) + ")"
+    return "(" + ", ".join(sql_text(w) for w in GERMAN) + ")"
 
 
 def score_german(e: str) -> str:
     n = lambda p: f"len(regexp_extract_all({e}, {sql_text(p)}))"
     return f"CAST(10 * {n('[äöüÄÖÜß]')} + 2 * len(list_filter(string_split_regex(lower({e}), '{EDGE}+'), lambda w: w IN {german_words()})) - 50 * {n('�')} - 20 * {n('Ã[¼¶¤¦©]')} AS BIGINT)"
+
+
+def prepared_standard() -> str:
+    cleaned = f", cleaned AS (SELECT doc_id, {clean('text')} AS text FROM dressed)"
+    return base("SELECT doc_id, text FROM tagged", True, cleaned + sanitized("cleaned") + insert_after("sane", r"\n\s*\n+", " [PAUSE 2s] "))
+
+
+def cleaned_and_sanitized() -> str:
+    return base("SELECT doc_id, text FROM sane", True, f", cleaned AS (SELECT doc_id, {clean('text')} AS text FROM dressed)" + sanitized("cleaned"))
+
+
+def prepared_script() -> str:
+    """Stage lines give way to marks while the rest is cleaned, and come back before sanitizing."""
+    mark = r"\[\[PROTECTED_\d+\]\]"
+    more = f""", coded AS ({coded()}),
+flagged AS (SELECT doc_id, line_no, line, {is_stage('line')} AS st FROM {lines('coded')}),
+counted AS (SELECT *, sum(CAST(st AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS k FROM flagged),
+marked AS (SELECT doc_id, string_agg(CASE WHEN st THEN '[[PROTECTED_' || CAST(k AS VARCHAR) || ']]' ELSE line END, chr(10) ORDER BY line_no) AS t, coalesce(list(line ORDER BY line_no) FILTER (WHERE st), []) AS saved FROM counted GROUP BY doc_id),
+done AS (SELECT doc_id, saved, {clean('t', script=True)} AS t FROM marked),
+cut AS (SELECT doc_id, saved, unnest(string_split_regex(t, '{mark}')) AS p, generate_subscripts(string_split_regex(t, '{mark}'), 1) AS i, regexp_extract_all(t, '{mark}') AS ms FROM done),
+restored AS (SELECT doc_id, string_agg(p || CASE WHEN ms[i] IS NULL THEN '' ELSE saved[CAST(regexp_extract(ms[i], '([0-9]+)', 1) AS BIGINT) + 1] END, '' ORDER BY i) AS text FROM cut GROUP BY doc_id)"""
+    return base(f"SELECT doc_id, text, CASE WHEN has THEN 'script' ELSE 'no pause' END AS kind FROM ({tagged('sane')})", True, more + sanitized("restored") + pauses("sane"))

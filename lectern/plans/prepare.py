@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import pauses as P
 from lectern.functions import text as T
+from lectern.functions.rules import bind
 
 
 @dataclass(frozen=True)
@@ -53,21 +54,23 @@ def clean(c: Column, o: CleaningOptions = CleaningOptions()) -> Column:
     ]
     for on, step in steps:
         # each step's input is bound, as a step may use it more than once
-        c = T.bind(c, step) if on else c
+        c = bind(c, step) if on else c
     return c
 
 
 def prepare_standard(docs: DataFrame, o: CleaningOptions = CleaningOptions()) -> DataFrame:
-    """docs with texts cleaned, sanitized and given pauses: one narrow stage."""
+    """docs with texts cleaned, sanitized and given pauses: one narrow stage, in which only texts that may not be in NFC go
+    to Python between cleaning and sanitizing."""
     cleaned = docs.withColumn("text", clean(F.col("text"), o))
-    return T.nfc(cleaned).withColumn("text", T.bind(F.col("text"), T.sanitize)).withColumn("text", P.inject_pauses(F.col("text"), o.pauses))
+    return cleaned.withColumn("text", bind(T.nfc(F.col("text")), lambda t: P.inject_pauses(T.sanitize_composed(t), o.pauses)))
 
 
-def prepare_script(docs: DataFrame, edits: DataFrame | None = None, o: CleaningOptions = CleaningOptions(script=True)) -> tuple[DataFrame, DataFrame]:
-    """Script texts with tags on their pause lines, and the documents without any pause."""
-    step = lambda c: T.bind(T.bind(P.normalize_shortcodes(c), T.protect_lines), lambda p: T.bind(clean(p["text"], o), lambda x: T.restore_lines(x, p["saved"])))
-    # read three times below, so kept (in memory or on the executors' disks; what is lost is computed again)
-    sane = T.nfc(docs.withColumn("text", step(F.col("text")))).withColumn("text", T.bind(F.col("text"), T.sanitize)).persist()
-    with_pauses, without = sane.where(P.has_pause(F.col("text"))), sane.where(~P.has_pause(F.col("text")))
-    found = P.scan_pauses(with_pauses)
-    return P.apply_pauses(with_pauses, P.override_durations(found, edits) if edits is not None else found), without
+def prepare_script(docs: DataFrame, edits: DataFrame | None = None, o: CleaningOptions = CleaningOptions(script=True)) -> DataFrame:
+    """docs with script texts cleaned, sanitized and tagged on their pause lines, and has_pause. One narrow stage; a
+    reviewer's edits (doc_id, line_no, duration) join as a map for each document."""
+    step = lambda c: bind(bind(P.normalize_shortcodes(c), T.protect_lines), lambda p: bind(clean(p["text"], o), lambda x: T.restore_lines(x, p["saved"])))
+    df = docs if edits is None else docs.join(P.by_line(edits), "doc_id", "left")
+    df = df.withColumn("text", step(F.col("text")))
+    at = None if edits is None else F.col("_at")
+    done = df.withColumn("_done", bind(T.nfc(F.col("text")), lambda t: bind(T.sanitize_composed(t), lambda x: F.struct(P.tag_pauses(x, at).alias("text"), F.coalesce(P.has_pause(x), F.lit(False)).alias("has")))))
+    return done.withColumn("text", F.col("_done.text")).withColumn("has_pause", F.col("_done.has")).select(*docs.columns, "has_pause")

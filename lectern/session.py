@@ -24,6 +24,18 @@ def ship(spark: SparkSession) -> None:
     context._lectern_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where none is named a temporary one does for a
+    session in one process, as in tests; on a cluster executors would not see it, so that is an error."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context = spark.sparkContext
+        named = context._lectern_dir = getattr(context, "_lectern_dir", None) or tempfile.mkdtemp(prefix="lectern-")
+    return named.rstrip("/")
+
+
 def shipped(f):
     """f(spark, ...), with the package sent first."""
 

@@ -7,18 +7,23 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import sanitize
+from lectern.functions.rules import bind
+from lectern.functions.text import custom_replacements, replace_by, sanitize
 
 MAX_BYTES = 50 * 1024 * 1024
+#: Rules that a plan holds; more are joined.
+FOLD = 200
 KINDS = ("pdf", "docx", "odt", "txt", "rtf")
 #: Charsets that are tried in this order where a text is not UTF-8.
 CHARSETS = ("cp1252", "iso8859_15")
 #: Words that a German text has.
-GERMAN = r"(?iu)(?<![\p{L}\p{N}_])(?:der|die|das|und|ist|nicht|ein|eine|zu|mit)(?![\p{L}\p{N}_])"
+GERMAN = r"(?iu)(?<![\p{L}\p{N}_])(?:und|der|die|das|ist|nicht|ein|eine|zu|in)(?![\p{L}\p{N}_])"
+#: An archive member may unpack to this many bytes.
+MAX_UNPACKED = 4 * MAX_BYTES
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -47,63 +52,76 @@ def score_german(c: Column) -> Column:
     return 10 * n("[äöüÄÖÜß]") + 2 * n(GERMAN) - 50 * n(r"\x{FFFD}") - 20 * n("Ã[¼¶¤¦©]")
 
 
-def candidates(files: DataFrame) -> DataFrame:
-    """path, cand_no, charset and text: files that are no UTF-8, decoded in each charset."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(p, i, c, x.decode(c, errors="replace")) for p, x in zip(b["path"], b["content"], strict=True) for i, c in enumerate(CHARSETS)], columns=["path", "cand_no", "charset", "text"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, cand_no int, charset string, text string")
+def best_candidate(found: Column) -> Column:
+    """Of an array of struct(cand_no, charset, text) the one whose text has the highest score, the first of equals, with its score."""
+    scored = F.transform(found, lambda x: F.struct(score_german(x["text"]).alias("score"), (-x["cand_no"]).alias("order"), x["charset"].alias("charset"), x["text"].alias("text")))
+    return bind(F.array_max(scored), lambda x: F.struct((-x["order"]).alias("cand_no"), x["charset"].alias("charset"), x["text"].alias("text"), x["score"].alias("score")))
 
 
-def best_candidate(found: DataFrame) -> DataFrame:
-    """For each path the text with the highest score, the first of equals."""
-    w = Window.partitionBy("path").orderBy(F.desc("score"), "cand_no")
-    return found.withColumn("score", score_german(F.col("text"))).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def decode_text(files: DataFrame) -> DataFrame:
+    """path, charset and text, each file read once. What is no UTF-8 is decoded in each charset, and the best kept; without
+    content both are null."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("cand_no", pa.int32()), ("charset", pa.string()), ("text", pa.string())]))
+        for b in batches:
+            out = []
+            for x in b.column("content").to_pylist():
+                try:
+                    out.append(None if x is None else [{"cand_no": 0, "charset": "utf-8", "text": x.decode()}])
+                except UnicodeDecodeError:
+                    out.append([{"cand_no": i, "charset": c, "text": x.decode(c, errors="replace")} for i, c in enumerate(CHARSETS)])
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, kind)], ["path", "found"])
 
-def decode_text(files: DataFrame) -> DataFrame:
-    """path, charset and text; only what is no UTF-8 goes to Python."""
-    whole = F.is_valid_utf8(F.col("content").cast("string"))
-    bom = lambda c: F.regexp_replace(c, r"\A\x{FEFF}", "")
-    good = files.where(whole).select("path", F.lit("utf-8").alias("charset"), bom(F.col("content").cast("string")).alias("text"))
-    return good.unionByName(best_candidate(candidates(files.where(~whole))).select("path", "charset", bom(F.col("text")).alias("text")))
+    decoded = files.select("path", "content").mapInArrow(run, "path string, found array<struct<cand_no:int,charset:string,text:string>>")
+    best = F.when(F.size("found") > 1, best_candidate(F.col("found"))["cand_no"]).otherwise(F.lit(0))
+    at = decoded.withColumn("_x", F.get("found", best))
+    return at.select("path", F.col("_x.charset").alias("charset"), F.regexp_replace("_x.text", r"\A\x{FEFF}", "").alias("text"))
 
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _ODT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
 
 
-def _docx(content: bytes) -> tuple[str | None, str]:
-    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+def _member(content: bytes, name: str) -> bytes:
+    """A member of an archive, unless it is larger than a document can be."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(name) as f:
+        data = f.read(MAX_UNPACKED + 1)
+    if len(data) > MAX_UNPACKED:
+        raise ValueError("too large unpacked")
+    return data
+
+
+def _docx(content: bytes) -> str:
+    root = ElementTree.fromstring(_member(content, "word/document.xml"))
     paragraphs = ["".join(t.text or "" for t in p.iter(_WORD + "t")) for p in root.iter(_WORD + "p")]
-    text = "\n\n".join(x for x in paragraphs if x) or " ".join(t.text or "" for t in root.iter(_WORD + "t"))
-    return text, "ok"
+    return "\n\n".join(x for x in paragraphs if x) or " ".join(t.text or "" for t in root.iter(_WORD + "t"))
 
 
-def _odt(content: bytes) -> tuple[str | None, str]:
-    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("content.xml"))
-    return "\n".join("".join(p.itertext()) for p in root.iter(_ODT + "p")), "ok"
+def _odt(content: bytes) -> str:
+    return "\n".join("".join(p.itertext()) for p in ElementTree.fromstring(_member(content, "content.xml")).iter(_ODT + "p"))
 
 
 def _extract(files: DataFrame, read) -> DataFrame:
-    """path, text and status; the first bytes are looked at before Python sees a file."""
+    """path, text and status, a row for each file: what can't be read, whatever is wrong with it, has a status that says so
+    and no text. The first bytes are looked at before Python sees a file."""
     head = F.hex(F.substring("content", 1, 4))
-    status = F.when(head == "D0CF11E0", "old Word format").when(~head.startswith("504B"), "no archive")
+    status = F.when(F.col("content").isNull(), "no content").when(head == "D0CF11E0", "old Word format").when(~head.startswith("504B"), "no archive")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
+            texts, states = [], []
+            for content, known in zip(b.column("content").to_pylist(), b.column("status").to_pylist(), strict=True):
                 try:
-                    rows.append((path, *read(content)))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
-                    rows.append((path, None, f"unreadable: {type(e).__name__}"))
-            yield pd.DataFrame(rows, columns=["path", "text", "status"])
+                    texts.append(None if known else read(content))
+                    states.append(known or "ok")
+                except Exception as e:  # noqa: BLE001  damaged, encrypted, missing or malformed: one file must not end the job
+                    texts.append(None)
+                    states.append(f"unreadable: {type(e).__name__}")
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(texts, pa.string()), pa.array(states, pa.string())], ["path", "text", "status"])
 
-    bad = files.where(status.isNotNull()).select("path", F.lit(None).cast("string").alias("text"), status.alias("status"))
-    return files.where(status.isNull()).select("path", "content").mapInPandas(run, "path string, text string, status string").unionByName(bad)
+    rows = files.select("path", F.when(status.isNull(), F.col("content")).alias("content"), status.alias("status"))
+    return rows.mapInArrow(run, "path string, text string, status string")
 
 
 def extract_docx(files: DataFrame) -> DataFrame:
@@ -119,20 +137,26 @@ def safe_file_name(c: Column) -> Column:
     return F.when(name == "", "output").otherwise(F.substring(name, 1, 200))
 
 
-def write_corpus(df: DataFrame, path: str, stamp: Column | None = None) -> None:
-    """Sanitized texts, with a byte order mark, in a folder for each safe name and time."""
+def write_corpus(df: DataFrame, path: str, stamp: Column | None = None, as_files: bool = False) -> None:
+    """Sanitized texts (value) with a byte order mark, beside the file name (safe, with the time) that each would have: as
+    Parquet, or as_files as text in a folder for each name, which is for few documents."""
     at = F.date_format(F.current_timestamp() if stamp is None else stamp, "yyyy-MM-dd'T'HH-mm-ss")
     out = df.select(F.concat(safe_file_name(F.col("name")), F.lit("_bereinigt_"), at).alias("file"), F.concat(F.lit("\ufeff"), sanitize(F.col("text"))).alias("value"))
-    out.write.partitionBy("file").mode("overwrite").text(path)
+    if as_files:
+        out.write.partitionBy("file").mode("overwrite").text(path)
+    else:
+        out.write.mode("overwrite").parquet(path)
 
 
 def upsert_sessions(new: DataFrame, existing: DataFrame, drop_prefix: str | None = None) -> DataFrame:
-    """The latest row of each key, without keys of a prefix; of rows saved at one time the new one."""
+    """The latest row of each key, without keys of a prefix; of rows saved at one time the new one. No sort: the latest is an
+    aggregate, taken where the rows are before they are shuffled."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     if drop_prefix:
         both = both.where(~F.col("key").startswith(drop_prefix))
-    w = Window.partitionBy("key").orderBy(F.desc("saved_at"), F.desc("_new"), F.desc("text"))
-    return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_new")
+    rest = [c for c in new.columns if c != "key"]
+    latest = F.max_by(F.struct(*rest), F.struct("saved_at", "_new", "text"))
+    return both.groupBy("key").agg(latest.alias("_r")).select(*[F.col(c) if c == "key" else F.col(f"_r.{c}").alias(c) for c in new.columns])
 
 
 def load_rules(text: str) -> list[tuple[str, str]]:
@@ -146,3 +170,23 @@ def load_rules(text: str) -> list[tuple[str, str]]:
     return [(r["search"], r.get("replace", "")) for r in rows if isinstance(r, dict) and r.get("search")] if isinstance(rows, list) else []
 
 
+def apply_rule_table(docs: DataFrame, rules: DataFrame, fold: int = FOLD) -> DataFrame:
+    """docs with the rules of a table (rule_no, search, replace) applied to text.
+
+    Up to `fold` rules enter the plan, in order of rule_no, and replace strings wherever they stand (custom_replacements).
+    Beyond that a search is a word, of letters, digits and _: each document's different words meet the rules in a join, which
+    Spark broadcasts or shuffles as their sizes are, and what is found goes back to the text as a map. Of rules for one word (case
+    ignored) the first counts. Rules without a search are passed over; rows without a text stay.
+    """
+    used = rules.where("search is not null and search <> ''").select("rule_no", "search", F.coalesce("replace", F.lit("")).alias("replace"))
+    few = used.orderBy("rule_no").limit(fold + 1).collect()
+    if len(few) <= fold:
+        return docs.withColumn("text", custom_replacements(F.col("text"), [(r["search"], r["replace"]) for r in few]))
+    word = r"[\p{L}\p{N}_]+"
+    of_word = used.groupBy(F.lower("search").alias("_w")).agg(F.min_by("replace", "rule_no").alias("_to"))
+    id_of = F.xxhash64("doc_id", "text")  # rows equal in both have the same words
+    words = docs.where("text is not null").select("doc_id", id_of.alias("_h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("_w")).distinct()
+    found = words.join(of_word, "_w").groupBy("doc_id", "_h").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_to"))).alias("_rules")).withColumnRenamed("doc_id", "_id")
+    joined = docs.withColumn("_g", id_of).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_g") == F.col("_h")), "left")
+    done = replace_by(F.col("text"), word, lambda m: F.coalesce(F.element_at("_rules", F.lower(m)), m))
+    return joined.withColumn("text", F.when(F.col("_rules").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lectern.functions.text import bind, sanitize
+from lectern.functions.text import sanitize
 from lectern.plans.prepare import CleaningOptions, clean
 from lectern.sources.files import upsert_sessions
 
@@ -15,30 +16,39 @@ from lectern.sources.files import upsert_sessions
 def clean_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: StructType, options: CleaningOptions = CleaningOptions()) -> StreamingQuery:
     """Cleans what arrives as Parquet in a folder, to another; without state, so it needs no watermark."""
     docs = spark.readStream.schema(schema).parquet(in_dir)
-    cleaned = docs.withColumn("text", clean(F.col("text"), options)).withColumn("text", bind(F.col("text"), sanitize))
+    cleaned = docs.withColumn("text", clean(F.col("text"), options)).withColumn("text", sanitize(F.col("text")))
     return cleaned.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def session_stream(sessions: DataFrame, table_dir: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest row of each key in a table: each batch writes a new version, named by its number, so a
-    batch that is run again writes the same one."""
+BUCKETS = 64
+
+
+def session_stream(sessions: DataFrame, table_dir: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keeps the latest row of each key in a table of buckets by key.
+
+    A batch rewrites the buckets that its keys fall into and no others: their new rows are first written beside the table, then
+    put in place of the old ones. A batch that is run again leaves the same table, as the latest row wins either way.
+    """
     spark = sessions.sparkSession
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = latest(spark, table_dir, before=number)
-        merged = upsert_sessions(batch, old if old is not None else batch.limit(0))
-        merged.write.mode("overwrite").parquet(f"{table_dir}/version={number}")
+        new = batch.withColumn("bucket", bucket)
+        old = latest(spark, table_dir, new.schema)
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+        rows = upsert_sessions(new, old.where(F.col("bucket").isin(touched)) if old is not None else new.limit(0))
+        staged = f"{table_dir}-staged"
+        rows.write.mode("overwrite").parquet(staged)
+        spark.read.schema(new.schema).parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table_dir)
 
     return sessions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version (below `before`) of the table, None if there is none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    versions = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
-    versions = [v for v in versions if (before is None or v < before) and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_dir}/version={v}/_SUCCESS"))]
-    return spark.read.parquet(f"{table_dir}/version={max(versions)}") if versions else None
+def latest(spark: SparkSession, table_dir: str, schema: StructType | None = None) -> DataFrame | None:
+    """The table as it is, None if there is none."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(table_dir)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -34,7 +34,18 @@ CASES = [
     (T.drop_ghost_lines, "a\nSeite 12\n***\n\nb", "a\n\nb"),
     (T.drop_control, "a\tb\x07c\n", "abc\n"),
     (T.invisible_to_space, "a​b­c d", "a b c d"),
-    (T.collapse_space, " a \t b \n c", "a b\nc"),
+    (T.collapse_space, " a \t b \n c", " a b\n c"),
+    (T.collapse_space, "  eingerückt  ", " eingerückt"),
+    (T.drop_ghost_lines, "Seite12\nseite  3\nSeite x\n  \nPage 4 a", "Seite x\n  \nPage 4 a"),
+    (T.strip_assistant_boilerplate, "ein *wort*spiel, *so* *und* so *", "ein *wort*spiel, so und so *"),
+    (T.strip_assistant_boilerplate, "a ```JSON b``` c", "a bc"),
+    (T.sanitize, "Cafe\u0301 mu\u0308de", "Café müde"),
+    (T.trim, "\u00a0 a b\u2003\n", "a b"),
+    (P.remove_pause_tags, "Text [PAUSE 2 s] mehr", "Text [PAUSE 2 s] mehr"),
+    (P.normalize_shortcodes, "(0 Min) und [0,0 s]", "(0 Min) und [0,0 s]"),
+    (lambda c: P.is_script(c).cast("string"), "Text\n(Pause hier) dann weiter", "true"),
+    (lambda c: P.is_script(c).cast("string"), "Text\nein (Pause hier) dann (2 Std)", "false"),
+    (lambda c: P.tag_pauses(c), "Eins\nPAUSE 30\n[PAUSE 0s]", "Eins\nPAUSE 30 [PAUSE 30s]\n[PAUSE 15s]"),
     (T.paragraph_filter, "a\n\n---\n\n\n b ", "a\n\nb"),
     (lambda c: T.custom_replacements(c, [("A.b", "$1\\"), ("", "x")]), "a.B axb", "$1\\ axb"),
     (lambda c: T.search_replace(c, "a", "x")["text"], "aAbA", "xxbx"),
@@ -64,6 +75,7 @@ PAUSES = [
     ("Pause für 14 reale Minuten", 840.0), ("STILLE: fünf Minuten genießen", 300.0), ("(Pause: 10 Sekunden)", 10.0), ("PAUSE 30", 30.0), ("PAUSE, um tief einzuatmen", 15.0),
     ("Langer Text [PAUSE 7.5s] weiter", 7.5), ("PAUSE 1,5 Minuten", 90.0), ("STILLE 2.5 Stunden", 9000.0), ("PAUSE 1 Stunde 5 Minuten", 300.0),
     ("Mache eine PAUSE", None), ("SEHR LANGE PAUSE", None), ("PAUSEN machen", None),
+    ("PAUSE Teil2", 15.0), ("PAUSE 3x tief", 15.0), ("PAUSE 12.5, dann", 13.0), ("[PAUSE 0s]", 15.0), ("PAUSE 0,3 Sekunden", 0.0),
 ]
 
 
@@ -117,10 +129,53 @@ def test_split_and_sanitize_properties(spark, tiny):
     assert tagged.where(P.count_pause_tags(F.col("text")) > 0).count() == 0
 
 
-def test_columns_need_no_shuffle_and_no_python(spark, tiny):
+def test_scan_keeps_lines_and_case(spark):
+    docs = spark.createDataFrame([(1, "x\n  Kurze Pause: Atmen \nende")], "doc_id long, text string")
+    row = P.scan_pauses(docs).first()
+    assert (row.original_text, row.instruction, row.duration, row.line_no) == ("  Kurze Pause: Atmen ", "Kurze Pause – Atmen", 15.0, 2)
+
+
+def test_rows_stay_whatever_their_ids(spark):
+    docs = spark.createDataFrame([(1, "a\nPAUSE"), (1, "PAUSE\nb"), (None, "PAUSE"), (2, None), (3, "")], "doc_id long, text string")
+    pauses = spark.createDataFrame([(1, 2, 3.0, 1), (1, 2, 1.0, 2), (3, 7, 1.0, 1)], "doc_id long, line_no int, duration double, n int")
+    got = sorted(((r.doc_id, r.text) for r in P.apply_pauses(docs, pauses, order="n").collect()), key=str)
+    assert got == sorted([(1, "a\nPAUSE [PAUSE 1s]"), (1, "PAUSE\nb [PAUSE 1s]"), (None, "PAUSE"), (2, None), (3, "")], key=str)
+    edits = spark.createDataFrame([(1, 2, 5.0), (1, 2, 9.0)], "doc_id long, line_no int, duration double")
+    assert [r.duration for r in P.override_durations(pauses.where("n = 1 and doc_id = 1"), edits).collect()] == [9.0]
+    keyed = docs.withColumn("key", F.monotonically_increasing_id())
+    back = S.reassemble(S.explode_chunks(keyed, 3, keep_empty=True), "chunk_no", "chunk", keys=("doc_id", "key"))
+    assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+    script, other = P.route(docs)
+    assert (script.count(), other.count()) == (3, 2)
+
+
+def test_pauses_near_tags(spark):
+    """Beside a plain search of the 20 characters to either side."""
+    import re
+
+    texts = ["A. [PAUSE 1s] B. " + "x" * k + ". C! [PAUSE 2.5s]  D? E. F. G. H." for k in range(0, 30, 3)] + ["a! " * 30 + "[PAUSE 1s]" + " b?" * 30]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(P.sentence_pauses(F.col("t"), guard=False)).collect()]
+    for t, out in zip(texts, got, strict=True):
+        near = lambda e: re.search(r"\[PAUSE\s+[\d.]+s\]", t[max(0, e - 20) : e + 20])  # noqa: B023, E731
+        assert out == re.sub(r"[.!?]\s+", lambda m: m[0] + ("" if near(m.end()) else "[PAUSE 0.8s] "), t)
+
+
+def test_rule_tables(spark):
+    from lectern.sources import files
+
+    docs = spark.createDataFrame([(1, "Der Hund, der Hof; derb"), (1, None), (None, "hof")], "doc_id long, text string")
+    rules = spark.createDataFrame([(2, "DER", "x"), (1, "der", "dé"), (3, "Hof", "$1"), (4, "", "y"), (5, None, "z")], "rule_no int, search string, replace string")
+    out = lambda fold: sorted(str(r.text) for r in files.apply_rule_table(docs, rules, fold).collect())
+    assert out(0) == sorted(["dé Hund, dé $1; derb", "None", "$1"])
+    assert out(200) == sorted(["dé Hund, dé $1; déb", "None", "$1"])
+
+
+def test_one_narrow_stage_and_each_step_once(spark, tiny):
+    from lectern.functions import rules as R
     from lectern.plans.corpus import documents
-    from lectern.plans.prepare import clean
+    from lectern.plans.prepare import prepare_script, prepare_standard
 
-    df = documents(spark, tiny).select(T.bind(F.col("text"), clean).alias("text")).select(T.bind(F.col("text"), T.sanitize).alias("text"))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+    for df in (prepare_standard(documents(spark, tiny)), prepare_script(documents(spark, tiny))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("FileScan parquet") == 1 and plan.count("ArrowEvalPython") == 1
+        assert plan.count(R.DECIMALS[0].replacement) == 1

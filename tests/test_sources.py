@@ -47,9 +47,36 @@ def test_extract(spark, folder):
     assert files.extract_odt(files.scan_files(spark, folder, "*.odt")).first().text == "Eins\nZwei"
 
 
+def test_bad_archives(spark):
+    broken, locked = bytearray(archive("content.xml", "x" * 500)), bytearray(ODT)
+    with zipfile.ZipFile(b := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("content.xml", "text " * 500)
+    torn = bytearray(b.getvalue())
+    torn[41:49] = b"\xff" * 8
+    locked[6] |= 1
+    locked[locked.rindex(b"PK\x01\x02") + 8] |= 1
+    rows = [("xml", bytes(broken)), ("torn", bytes(torn)), ("locked", bytes(locked)), ("other", archive("x", "y")), ("cut", ODT[:60]), ("none", None), ("good", ODT)]
+    got = {r.path: r.status for r in files.extract_odt(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert {k: v.split(":")[0] for k, v in got.items()} == {"xml": "unreadable", "torn": "unreadable", "locked": "unreadable", "other": "unreadable", "cut": "unreadable", "none": "no content", "good": "ok"}
+
+
+def test_members_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(files, "MAX_UNPACKED", 100)
+    with pytest.raises(ValueError, match="unpacked"):
+        files._member(ODT, "content.xml")
+
+
+def test_decode_keeps_rows_without_content(spark):
+    rows = files.decode_text(spark.createDataFrame([("a", None), ("b", b"")], "path string, content binary")).collect()
+    assert {(r.path, r.charset, r.text) for r in rows} == {("a", None, None), ("b", "utf-8", "")}
+
+
 def test_write_corpus(spark, tmp_path):
     df = spark.createDataFrame([("a/b:c.txt", "Ein Text.")], "name string, text string")
-    files.write_corpus(df, str(tmp_path / "out"), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    files.write_corpus(df, str(tmp_path / "rows"), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    row = spark.read.parquet(str(tmp_path / "rows")).first()
+    assert (row.file, row.value) == ("a_b_c_bereinigt_2024-01-02T03-04-05", "\ufeffEin Text.")
+    files.write_corpus(df, str(tmp_path / "out"), F.lit("2024-01-02 03:04:05").cast("timestamp"), as_files=True)
     (file,) = (tmp_path / "out" / "file=a_b_c_bereinigt_2024-01-02T03-04-05").glob("part-*.txt")
     assert file.read_bytes() == b"\xef\xbb\xbfEin Text.\n"
 
@@ -60,7 +87,8 @@ def test_load_rules():
 
 
 def test_streams(spark, tiny, tmp_path):
-    from lectern.functions.text import bind, sanitize
+    from lectern.functions.rules import bind
+    from lectern.functions.text import sanitize
     from lectern.plans.corpus import dressed
     from lectern.plans.prepare import clean
 
@@ -71,7 +99,7 @@ def test_streams(spark, tiny, tmp_path):
     run()
     docs.where("doc_id >= 100").write.mode("append").parquet(f"{home}/in")
     run()  # from its checkpoint: only what is new
-    batch = docs.withColumn("text", bind(F.col("text"), clean)).withColumn("text", bind(F.col("text"), sanitize))
+    batch = docs.withColumn("text", bind(F.col("text"), clean)).withColumn("text", sanitize(F.col("text")))
     streamed = spark.read.parquet(f"{home}/out")
     assert streamed.count() == docs.count() and streamed.exceptAll(batch).count() == 0
 
@@ -83,3 +111,4 @@ def test_session_stream(spark, tmp_path):
         batch.coalesce(1).write.mode("append").parquet(f"{home}/in")
         streams.session_stream(spark.readStream.schema(schema).parquet(f"{home}/in"), f"{home}/t", f"{home}/s").awaitTermination()
     assert {(r.key, r.text) for r in streams.latest(spark, f"{home}/t").collect()} == {("a", "new"), ("b", "b")}
+    assert streams.latest(spark, f"{home}/nothing") is None
