@@ -42,10 +42,15 @@ def expand_abbreviations(c: Column) -> Column:
     spoken = F.create_map(*[F.lit(x) for label, to in table for x in ((label.lower() if label in R.ANY_CASE else label), to)])
     any_case = F.array(*[F.lit(x.lower()) for x in R.ANY_CASE])
     of = lambda m: F.when(m.startswith("s.") & (F.length(m) == 3) & ~m.isin("s.u", "s.o"), F.lit("siehe ")).otherwise(F.coalesce(F.element_at(spoken, m), F.when(F.array_contains(any_case, F.lower(m)), F.element_at(spoken, F.lower(m))), m))
-    # the sign of an abbreviation is its first full stop behind its first letters: full stops are few
-    stems = sorted({(label.split(".")[0], label in R.ANY_CASE) for label, _ in table}, key=lambda x: (-len(x[0]), x))
+    return F.when(c.rlike(abbreviation_sign()), replace_by(c, pattern, of)).otherwise(c)
+
+
+def abbreviation_sign() -> str:
+    """A pattern that every text with an abbreviation matches: a first full stop behind first letters. Full stops are few, so it
+    is a cheap look."""
+    stems = sorted({(label.split(".")[0], label in R.ANY_CASE) for label, _ in R.abbreviations()}, key=lambda x: (-len(x[0]), x))
     stem = "|".join(("(?iu:%s)" if any_case else "%s") % R.quoted(x) for x, any_case in stems)
-    return F.when(c.rlike(f"\\.(?<=(?<![\\p{{L}}\\p{{N}}_])(?:{stem})\\.)"), replace_by(c, pattern, of)).otherwise(c)
+    return f"\\.(?<=(?<![\\p{{L}}\\p{{N}}_])(?:{stem})\\.)"
 
 
 def phonetic(c: Column, words: dict[str, str] | None = None) -> Column:

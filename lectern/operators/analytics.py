@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import rules as R
-from lectern.functions.text import trim
+from lectern.functions.text import abbreviation_sign, trim
 
 PRICE_IN, PRICE_OUT = 0.075, 0.30  # $ for a million tokens
 WORDS_PER_MINUTE = 150
@@ -21,11 +21,18 @@ def abbreviation_pattern(label: str) -> str:
     return R.abbreviation_rule(label, "").java()
 
 
+def _abbreviation_counts(c: Column) -> list[Column]:
+    """How often each abbreviation occurs: looked for only where its string is, and this only where any is."""
+    low = F.lower(c)
+    one = lambda label: F.when(F.contains(c, F.lit(label)) if label not in R.ANY_CASE else F.contains(low, F.lit(label.lower())), _count(c, abbreviation_pattern(label))).otherwise(F.lit(0).cast("bigint"))
+    return [one(label) for label, _ in R.abbreviations()]
+
+
 def abbreviation_hits(docs: DataFrame) -> DataFrame:
     """doc_id, label and n for each abbreviation in each document that holds it: one column for each rule, then unpivoted."""
     table = R.abbreviations()
-    counts = [F.when(F.contains("text", F.lit(label)) if label not in R.ANY_CASE else F.lit(True), _count(F.col("text"), abbreviation_pattern(label))).otherwise(F.lit(0).cast("bigint")).alias(f"_{i}") for i, (label, _) in enumerate(table)]
-    wide = docs.select("doc_id", F.array(*[F.struct(F.lit(label).alias("label"), F.lit(to).alias("replacement"), c.alias("n")) for (label, to), c in zip(table, counts, strict=True)]).alias("_r"))
+    counts = _abbreviation_counts(F.col("text"))
+    wide = docs.where(F.col("text").rlike(abbreviation_sign())).select("doc_id", F.array(*[F.struct(F.lit(label).alias("label"), F.lit(to).alias("replacement"), c.alias("n")) for (label, to), c in zip(table, counts, strict=True)]).alias("_r"))
     return wide.select("doc_id", F.inline(F.filter("_r", lambda x: x["n"] > 0)))
 
 
@@ -47,7 +54,7 @@ ISSUES = {
 
 def issue_counts(c: Column) -> Column:
     """struct of a count of each issue, of abbreviations, and their total; c is a column of a table."""
-    hits = sum((F.when(F.contains(c, F.lit(label)) if label not in R.ANY_CASE else F.lit(True), _count(c, abbreviation_pattern(label))).otherwise(F.lit(0)) for label, _ in R.abbreviations()), F.lit(0).cast("bigint"))
+    hits = F.when(c.rlike(abbreviation_sign()), sum(_abbreviation_counts(c), F.lit(0).cast("bigint"))).when(c.isNotNull(), F.lit(0).cast("bigint"))
     counts = F.struct(*[r.count(c).alias(k) for k, r in ISSUES.items()], hits.alias("abbreviations"))
     return R.bind(counts, lambda x: F.struct(*[x[k].alias(k) for k in ISSUES], x["abbreviations"].alias("abbreviations"), sum((x[k] for k in ISSUES), x["abbreviations"]).alias("total")))
 
@@ -110,7 +117,9 @@ def token_diff(docs: DataFrame, before: str, after: str, key: str = "doc_id") ->
     """Words whose number in a document differs between two texts of its row (columns before and after): rows whose texts are
     equal are passed over, and the words of both meet in one aggregation."""
     side = lambda c, n: F.transform(_tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("token"), F.lit(n).alias("is_after")))
-    rows = docs.where(~F.col(before).eqNullSafe(F.col(after))).select(key, F.inline(F.concat(side(before, 0), side(after, 1))))
+    # not a filter, which would be pushed below the column `after` and work it out twice
+    both = F.when(~F.col(before).eqNullSafe(F.col(after)), F.concat(side(before, 0), side(after, 1)))
+    rows = docs.select(key, F.inline(both))
     n = rows.groupBy(key, "token").agg((F.count("*") - F.sum("is_after")).alias("n_before"), F.sum("is_after").cast("bigint").alias("n_after"))
     return n.withColumn("delta", F.col("n_after") - F.col("n_before")).where("delta <> 0")
 
