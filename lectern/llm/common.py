@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,21 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import shared_dir
+
 #: White space of every word rule here: blank, and tab to carriage return.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 2_500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -47,10 +39,16 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """Where a column stands: that of the exact name, or else the first whose name differs in case alone."""
+    have = df.columns
+    return have.index(name) if name in have else [c.lower() for c in have].index(name.lower())
+
+
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, found by exact name first, so that further columns (also `TEXT` beside `text`) can't clash."""
     have = df.columns
-    at = [have.index(n) if n in have else [c.lower() for c in have].index(n.lower()) for n in names]
+    at = [place_of(df, n) for n in names]
     plain = df.toDF(*[f"c{i}" for i in range(len(have))])
     return plain.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
 

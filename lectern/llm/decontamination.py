@@ -10,7 +10,12 @@ row as the shortest window has, whose neighbours also follow each other in some
 word for word.
 
 The items are taken in blocks of at most BLOCK_WORDS words, so that an automaton's size is bounded however many
-items there are; the documents pass all blocks in one chain of narrow steps.
+items there are; each block is read from its own partition's rows and broadcast, and the documents pass all blocks in one
+chain of narrow steps. A benchmark is a set of test items, so there are few blocks; a table as large as a corpus is none.
+
+clean() cuts hit words until no window is left: a cut brings the words around it together, so a text that was cut is matched
+again, in the task that holds it. What was hit in all passes together counts for the coverage, against the words of the text
+as it came.
 
 Nulls: null texts have no words; items with a null id hit words but are not listed. An item or document without
 words does nothing. Repeated items count once by their id. Empty tables give empty results, or no hits. Further
@@ -21,13 +26,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Words, as_text, byte_table, columns_of, slices, tidy
+from lectern.llm.common import Words, as_text, byte_table, columns_of, place_of, slices, tidy
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -241,11 +248,11 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple
 SPANS = "array<struct<first:int,stop:int>>"
 
 
-def _step(items: list[tuple[str | None, list[bytes]]], window: int, text: int, spans: int, found: int, words: int):
-    """Adds one block's hits to the columns _spans and _items, given by place."""
+def _step(block, window: int, text: int, spans: int, found: int, words: int):
+    """Adds the hits of one block (a broadcast list of items) to the columns _spans and _items, given by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(key, items, window)
+        matcher = _matcher(key, block.value, window)
         for batch in slices(batches, batch_text):
             w = Words(as_text(batch.column(text)), TABLE)
             hits = matcher.match(w)
@@ -259,7 +266,7 @@ def _step(items: list[tuple[str | None, list[bytes]]], window: int, text: int, s
                 columns[spans], columns[found] = pa.array(old, columns[spans].type), pa.array(ids, columns[found].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    batch_text, key = f"c{text}", uuid.uuid4().hex
+    batch_text, key = f"c{text}", block.key
     return run
 
 
@@ -275,14 +282,31 @@ def _matcher(key: str, items: list[tuple[str | None, list[bytes]]], window: int)
     return _built[key]
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+@dataclass
+class Block:
+    """A broadcast block of items, and a key for its matcher in a worker."""
+
+    items: Broadcast
+    key: str
+
+    @property
+    def value(self) -> list[tuple[str | None, list[bytes]]]:
+        return self.items.value
+
+
+def shared_blocks(benchmark: DataFrame) -> list[Block]:
+    context = benchmark.sparkSession.sparkContext
+    return [Block(context.broadcast(b), uuid.uuid4().hex) for b in blocks(benchmark)] or [Block(context.broadcast([]), uuid.uuid4().hex)]
+
+
+def matched(docs: DataFrame, all_blocks: list[Block], window: int = WINDOW) -> DataFrame:
     """docs, columns renamed c0, c1, ..., with _n (words), _spans (of hit words, unmerged) and _items (ids as strings)."""
     names = docs.columns
-    text = names.index("text")
+    text = place_of(docs, "text")
     df = docs.toDF(*[f"c{i}" for i in range(len(names))])
     df = df.select("*", F.lit(0).cast("bigint").alias("_n"), F.array().cast(SPANS).alias("_spans"), F.array().cast("array<string>").alias("_items"))
     k = len(names)
-    for block in [*blocks(benchmark)] or [[]]:
+    for block in all_blocks:
         df = df.mapInArrow(tidy(_step(block, window, text, k + 1, k + 2, k)), df.schema)
     return df
 
@@ -299,7 +323,7 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and hit_spans of each document."""
-    df = matched(columns_of(docs, "doc_id", "text"), benchmark, window)
+    df = matched(columns_of(docs, "doc_id", "text"), shared_blocks(benchmark), window)
     spans = F.sort_array("_spans")
     start = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("bigint").alias("n"))
     n_hit = F.aggregate(spans, start, lambda a, x: F.struct(F.greatest(a["upto"], x["stop"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(a["upto"], x["first"]))).alias("n")), lambda a: a["n"])
@@ -307,8 +331,20 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     return df.select(F.col("c0").alias("doc_id"), F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"), spans.alias("hit_spans"))
 
 
-def _removed(text: int, n_chars: int | None, max_coverage: float):
-    """Cuts the hit words and what stands between them out of the texts; drops documents beyond the coverage."""
+def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and what stands between them."""
+    raw, w = text.encode(), Words(as_text(pa.array([text])), TABLE)
+    for a, b in reversed(spans):
+        raw = raw[: w.start[a]] + raw[w.end[b - 1] :]
+    return raw.decode()
+
+
+def _removed(text: int, n_chars: int | None, all_blocks: list[Block], window: int, max_coverage: float):
+    """Cuts the hit words out of the texts until none is hit; drops documents beyond the coverage."""
+
+    def again(cut: str) -> list[tuple[int, int]]:
+        w = Words(as_text(pa.array([cut])), TABLE)
+        return _merged([{"first": a, "stop": b} for block in all_blocks for s, _ in _matcher(block.key, block.value, window).match(w).values() for a, b in s])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,13 +356,14 @@ def _removed(text: int, n_chars: int | None, max_coverage: float):
             texts, keep = batch.column(text).to_pylist(), np.ones(batch.num_rows, bool)
             counts = batch.column("_n").to_pylist()
             for i in dirty:
-                merged = _merged(spans[i])
-                keep[i] = sum(b - a for a, b in merged) <= max_coverage * counts[i]
-                raw = texts[i].encode()
-                w = Words(as_text(pa.array([texts[i]])), TABLE)
-                for a, b in reversed(merged):
-                    raw = raw[: w.start[a]] + raw[w.end[b - 1] :]
-                texts[i] = raw.decode()
+                found, hit = _merged(spans[i]), 0
+                while found:
+                    hit += sum(b - a for a, b in found)
+                    keep[i] = hit <= max_coverage * counts[i]
+                    if not keep[i]:
+                        break
+                    texts[i] = cut_out(texts[i], found)
+                    found = again(texts[i])
             columns = list(batch.columns)
             columns[text] = pa.array(texts, columns[text].type)
             if n_chars is not None:
@@ -337,12 +374,10 @@ def _removed(text: int, n_chars: int | None, max_coverage: float):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, rounds: int = 2) -> DataFrame:
-    """The documents with the hit spans cut out (and n_chars, where there is one, set anew), without those beyond
-    max_coverage. A cut can bring words together that are hit then, so the texts pass again."""
-    names = docs.columns
-    for _ in range(rounds):
-        df = matched(docs, benchmark, window)
-        df = df.mapInArrow(_removed(names.index("text"), names.index("n_chars") if "n_chars" in names else None, max_coverage), df.schema)
-        docs = df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
-    return docs
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+    """The documents with all hit words cut out (and n_chars, where there is one, set anew), without those of whose words more
+    than max_coverage are hit."""
+    names, all_blocks = docs.columns, shared_blocks(benchmark)
+    df = matched(docs, all_blocks, window)
+    df = df.mapInArrow(_removed(place_of(docs, "text"), names.index("n_chars") if "n_chars" in names else None, all_blocks, window, max_coverage), df.schema)
+    return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

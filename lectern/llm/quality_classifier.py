@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Words, as_text, byte_table, columns_of, release, slices, tidy, written
+from lectern.llm.common import Words, as_text, byte_table, columns_of, place_of, release, slices, tidy, written
 from lectern.llm.decontamination import hashes
 
 FIT_TEXTS, FIT_FEATURES = 5_000, 6_000_000
@@ -272,7 +272,7 @@ def fit(docs: DataFrame) -> Model:
 
 def judged(docs: DataFrame, model: Model) -> DataFrame:
     """docs, columns renamed c0, c1, ..., with _posterior, _score and _kept."""
-    text = f"c{docs.columns.index('text')}"
+    text = f"c{place_of(docs, 'text')}"
     df = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

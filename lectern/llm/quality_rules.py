@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import columns_of, written
+from lectern.llm.common import columns_of, place_of, written
 
 MIN_WORDS = 50
 #: Of all documents of a host.
@@ -136,11 +136,15 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def filtered(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The documents that are kept, with their columns. Hosts are summed in a pass of their own, so that no text is
-    written or shuffled on the way."""
+    """The documents that are kept, with their columns.
+
+    The counts are worked out once: the rows are written with them, hosts are summed from there, and the rows that pass are
+    read back.
+    """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = {n: F.col(f"c{names.index(n)}").alias(f"_{n}") for n in ("doc_id", "text", "source")}
-    hosts = host_rates(features(plain.select(at["text"].alias("text"), at["source"]), ["_source"]), "_source")
+    at = {n: F.col(f"c{place_of(docs, n)}").alias(f"_{n}") for n in ("doc_id", "text", "source")}
     rows = features(plain.select("*", at["doc_id"].alias("doc_id"), at["text"].alias("text"), at["source"]), [*plain.columns, "doc_id", "_source"])
-    return with_verdict(rows, hosts, "_source", host_limit).where("kept").select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])
+    counted = written(rows, "counted")
+    hosts = host_rates(counted, "_source")
+    return with_verdict(counted, hosts, "_source", host_limit).where("kept").select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import columns_of
+from lectern.llm.common import columns_of, written
 
 SHARDS = 40
 ROUNDS = 6
@@ -106,13 +106,13 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     rows = columns_of(docs, "doc_id", "text").select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_h"))
     keys = ["doc_id", "size", "text_crc32", "_h"]
     groups = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
-    sums = groups.groupBy("_bucket").agg(F.sum("_n").alias("_total"))
+    sums = written(groups.groupBy("_bucket").agg(F.sum("_n").alias("_total")), "bucket-sums")
     before = sums.select("_bucket", (F.sum("_total").over(Window.orderBy("_bucket")) - F.col("_total")).alias("_before"))
     in_bucket = Window.partitionBy("_bucket").orderBy(*[F.col(k).asc_nulls_first() for k in keys]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = groups.withColumn("_upto", F.sum("_n").over(in_bucket)).join(F.broadcast(before), "_bucket")
     first = F.col("_before") + F.col("_upto") - F.col("_n")
     out = placed.select("doc_id", "size", "text_crc32", F.explode(F.sequence(first, first + F.col("_n") - 1)).alias("row_number"))
-    return out, docs.count()
+    return out, sums.agg(F.coalesce(F.sum("_total"), F.lit(0))).first()[0]
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Words, as_text, byte_table, columns_of, join_hot, parts, ragged, slices, tidy, written
+from lectern.llm.common import Words, as_text, byte_table, columns_of, join_hot, parts, place_of, ragged, slices, tidy, written
 from lectern.llm.components import connected_components
 
 SHINGLE = 4
@@ -74,7 +74,7 @@ def fingerprints(words: Words) -> np.ndarray:
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """docs, columns renamed c0, c1, ..., with _fp (its 64 bits as a signed number)."""
     names = docs.columns
-    text = f"c{names.index('text')}"
+    text = f"c{place_of(docs, 'text')}"
     df = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +250,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its columns."""
     names = docs.columns
     table = written(fingerprinted(docs).withColumn("_key", F.monotonically_increasing_id()), "fingerprinted")
-    rows = table.select(F.col(f"c{names.index('doc_id')}").alias("doc_id"), "_fp", "_key")
+    rows = table.select(F.col(f"c{place_of(docs, 'doc_id')}").alias("doc_id"), "_fp", "_key")
     kept = components(rows).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_fp")).alias("_alone")).agg(F.min_by("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_key"))
     return table.join(kept.select("_key"), "_key", "left_semi").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

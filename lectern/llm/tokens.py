@@ -9,7 +9,7 @@ special token go through the tokenizers library, which defines the ids.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -49,7 +49,7 @@ class Encoder:
             self.size[i] = len(piece)
         self.blank = table[b" "]
 
-    @property
+    @cached_property
     def exact(self):
         from tokenizers import Tokenizer
 

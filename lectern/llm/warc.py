@@ -11,7 +11,8 @@ RECORDS_PER_FILE records of at most a segment each. Reading parses whole files;
 by origin, ordered, checked against the total length and joined, and the chunks are undone.
 
 Nulls: a null html is an empty payload, a null url an empty target, a null page_id is written as empty and read
-back as null. It counts as larger than any id; pages equal in id and payload are all responses. Empty tables
+back as null. It counts as larger than any id; pages equal in id and payload are all responses, under ids of their own, and
+then revisits name their page alone. Empty tables
 give an archive without records. Further columns are not read.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +39,12 @@ END = b"\r\n\r\n"
 #: Of the WARC standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_DATE = "1970-01-01T00:00:00Z"
+HTTP = "application/http;msgtype=response"
+
+
+def record_id(*of: object) -> str:
+    """A record id that follows from what it is given; with the id of a run among it no two archives share one."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, '|'.join(map(str, of)))}>"
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -64,7 +72,7 @@ def unchunked(body: bytes) -> bytes:
 
 def record(kind: str, uid: str, block: bytes, **more: str | int | None) -> bytes:
     """A record without its two closing line ends."""
-    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:lectern:{uid}>", "WARC-Date": NO_DATE, **{f"WARC-{k.replace('_', '-')}": v for k, v in more.items()}, "Content-Length": len(block)}
+    head = {"WARC-Type": kind, "WARC-Record-ID": uid, "WARC-Date": NO_DATE, **{f"WARC-{k.replace('_', '-')}": v for k, v in more.items()}, **({} if kind == "continuation" else {"Content-Type": HTTP}), "Content-Length": len(block)}
     return VERSION + b"".join(f"\r\n{k}: {v}".encode() for k, v in head.items() if v is not None) + END + block
 
 
@@ -76,7 +84,7 @@ def segments(kind: str, uid: str, block: bytes, size: int = SEGMENT_BYTES, **mor
     out = [record(kind, uid, cut[0], Segment_Number=1, **more)]
     for i, part in enumerate(cut[1:], 2):
         last = {"Segment_Total_Length": len(block)} if i == len(cut) else {}
-        out.append(record("continuation", f"{uid}-{i}", part, Segment_Origin_ID=f"<urn:lectern:{uid}>", Segment_Number=i, **last))
+        out.append(record("continuation", record_id(uid, i), part, Segment_Origin_ID=uid, Segment_Number=i, **last))
     return out
 
 
@@ -105,26 +113,32 @@ def _as_uri(url: str | None, page_id: int | None) -> str:
 
 
 def plan(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, first: the page_id of the response that a revisit refers to, else null."""
+    """page_id, url, payload, digest; first: the page_id of the response that a revisit refers to, else null; named: whether the
+    record is such a response, and the only row of its page."""
     rows = columns_of(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     digest = F.sha2("payload", 256)
-    keys = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy(digest.alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    by_page = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy(digest.alias("digest"), "page_id").agg(F.count("*").alias("n"))
+    keys = by_page.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("n", F.coalesce("page_id", F.lit((1 << 63) - 1))).alias("same"), F.sum("n").alias("n")).where("n > 1")
     groups = written(keys, "equal-pages")
-    out = join_hot(rows.withColumn("digest", digest), groups.select("digest", "first"), "digest", groups)
-    return out.withColumn("first", F.when(~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), F.col("first")))
+    out = join_hot(rows.withColumn("digest", digest), groups.select("digest", "first", "same"), "digest", groups)
+    is_first = F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
+    return out.withColumn("named", is_first & (F.col("same") == 1)).withColumn("first", F.when(~is_first, F.col("first"))).drop("same")
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Archives of all pages under the path."""
+    """Archives of all pages under the path. Record ids hold the id of this run, so archives of several runs can be read
+    together."""
+    identity = uuid.uuid4().hex
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, n = TaskContext.get().partitionId(), 0
+        part, n, run = TaskContext.get().partitionId(), 0, identity
         for batch in slices(batches, "payload"):
             out: list[bytes] = []
             for row in batch.to_pylist():
-                uid, payload, first = f"{part}-{n}", row["payload"], row["first"]
+                payload, first = row["payload"], row["first"]
+                uid = record_id(run, row["digest"]) if row["named"] else record_id(run, part, n, row["digest"])
                 n += 1
                 more = {"Target_URI": _as_uri(row["url"], row["page_id"]), "Payload_Digest": f"sha256:{row['digest']}", "Page_ID": "" if row["page_id"] is None else row["page_id"]}
                 if first is None:
@@ -132,7 +146,7 @@ def write(pages: DataFrame, path: str) -> None:
                     out += segments("response", uid, block, **more)
                 else:
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-                    out.append(record("revisit", uid, block, Profile=PROFILE, Refers_To=f"page:{first}", **more))
+                    out.append(record("revisit", uid, block, Profile=PROFILE, Refers_To=record_id(run, row["digest"]), Refers_To_Page_ID=first, **more))
             for i in range(0, len(out), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 500], pa.binary())], ["value"])
 
@@ -154,7 +168,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for head, block in records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 digest = head.get("warc-payload-digest", "").removeprefix("sha256:") or None
                 segmented = "warc-segment-number" in head
-                rows.append((head.get("warc-segment-origin-id", head["warc-record-id"]), int(head["warc-segment-number"]) if segmented else None, number(head.get("warc-segment-total-length")), head["warc-type"], number(head.get("warc-page-id")), digest, number(head.get("warc-refers-to", "").removeprefix("page:")), block))
+                rows.append((head.get("warc-segment-origin-id", head["warc-record-id"]), int(head["warc-segment-number"]) if segmented else None, number(head.get("warc-segment-total-length")), head["warc-type"], number(head.get("warc-page-id")), digest, number(head.get("warc-refers-to-page-id")), block))
                 if len(rows) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []

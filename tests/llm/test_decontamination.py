@@ -78,3 +78,19 @@ def test_clean(spark, tiny):
     rows = {r.doc_id: r for r in done.collect()}
     assert 9001 not in rows and rows[9002].text.startswith("Some words before.") and rows[9002].n_chars == len(rows[9002].text)
     assert all(rows[i] == r for i, r in before.items() if i not in found)
+
+
+def test_clean_until_nothing_is_hit(spark):
+    """Passages inside passages, and cuts that bring new windows together."""
+    item = [f"w{i}" for i in range(10)]
+    inner = " ".join(item)
+    text = "start " + " ".join(item[:5]) + " " + " ".join(item[:3]) + f" {inner} " + " ".join(item[3:]) + " " + " ".join(item[5:]) + " end of it " + "filler " * 40
+    rows = [(1, text), (2, "a a a b b b " + "clean " * 20), (3, None), (4, ""), (5, "nothing " * 30), (5, "nothing " * 30), (6, inner + " " + inner[:20])]
+    docs = spark.createDataFrame([(i, t, "x", t) for i, t in rows], "doc_id long, Text string, source string, more string")
+    bench = spark.createDataFrame([("i", inner), ("j", "a b"), (None, None)], "item_id string, text string")
+    done = D.clean(docs, bench)
+    assert done.columns == docs.columns
+    got = sorted((r.doc_id, r.Text) for r in done.collect())
+    assert [i for i, _ in got] == [1, 2, 3, 4, 5, 5]
+    assert dict(got)[1].split() == "start end of it".split() + ["filler"] * 40 and dict(got)[2].split() == ["clean"] * 20
+    assert D.report(done, bench).where("contaminated").count() == 0

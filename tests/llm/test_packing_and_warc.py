@@ -109,3 +109,20 @@ def test_lost_segment(spark, tmp_path):
     parts = warc.segments("response", "1", b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 50, 20, Payload_Digest="sha256:0")
     (tmp_path / "a.warc").write_bytes(b"".join(p + warc.END for p in [parts[0], *parts[2:]]))
     assert warc.read(spark, str(tmp_path)).first().error == "segments missing"
+
+
+def test_archives_of_several_runs_are_read_together(spark, tmp_path):
+    page = lambda i, html: (i, f"http://a/{i}", html)
+    long = "<p>" + "lorem " * 9000 + "</p>"
+    runs = [[page(1, long), page(2, long), page(3, "x" * 200), page(3, "x" * 200), page(4, "x" * 200)], [page(11, long), page(12, long)]]
+    for k, rows in enumerate(runs):
+        warc.write(spark.createDataFrame(rows, "page_id long, URL string, html string").coalesce(1), str(tmp_path / f"run{k}"))
+    got = warc.read(spark, str(tmp_path / "*")).collect()
+    assert all(r.error is None for r in got)
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == sorted([(1, "response", None), (2, "revisit", 1), (3, "response", None), (3, "response", None), (4, "revisit", 3), (11, "response", None), (12, "revisit", 11)], key=lambda x: (x[0], x[1]))
+    heads = [h for f in tmp_path.glob("run*/part*") for h, _ in warc.records(__import__("gzip").decompress(f.read_bytes()))]
+    ids = {h["warc-record-id"]: h for h in heads}
+    assert len(ids) == len(heads) and all(h["content-type"] == warc.HTTP for h in heads if h["warc-type"] != "continuation")
+    for h in heads:
+        if h["warc-type"] == "revisit" and h["warc-refers-to-page-id"] != "3":
+            assert ids[h["warc-refers-to"]]["warc-page-id"] == h["warc-refers-to-page-id"]

@@ -81,3 +81,56 @@ def test_walk():
             assert steps <= most
             out.append(y)
         assert sorted(out) == list(range(n))
+
+
+def test_permuted_is_the_walk(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.llm import sharding
+
+    for n, seed in ((1, 1), (7, 3), (1000, 1), (1023, 5)):
+        grid = sharding._grid(n)
+
+        def walk(x):
+            while (x := sharding._once(x, grid, seed, sharding.ROUNDS)) >= n:  # noqa: B023
+                pass
+            return x
+
+        got = {r.i: r.p for r in spark.range(n).select(F.col("id").alias("i"), sharding.permuted(F.col("id"), n, seed).alias("p")).collect()}
+        assert got == {i: walk(i) for i in range(n)} and sorted(got.values()) == list(range(n))
+
+
+def test_host_verdicts_by_hand(spark):
+    """Shrunken rates and kept beside plain Python, with a null host, repeated rows and clashing columns."""
+    import numpy as np
+
+    from lectern.llm import quality_rules as Q
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(600):
+        host = [None, "bad", "small", "good"][i % 4 if i % 4 != 2 or i < 60 else 3]
+        w = [f"w{rng.integers(10_000)}" for _ in range(60)]
+        kind = rng.random()
+        w += ["####"] * (0 if kind > (0.7 if host == "bad" else 0.02) else int(rng.integers(20, 200)))
+        rows.append((i, " ".join(w), host))
+    rows += [rows[1]] * 3 + [(None, None, "good"), (900, "", None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, Text string, source string, TEXT2 string").withColumnRenamed("TEXT2", "host")
+    feats = [(sum(c in "[#*$%&|<>]"[1:-1] for c in (t or "")), len((t or "").split()), h) for _, t, h in rows]
+    fails = [s > n for s, n, _ in feats]
+    hosts = {h for *_, h in feats}
+    size = {h: sum(x[2] == h for x in feats) for h in hosts}
+    bad = {h: sum(f for f, x in zip(fails, feats, strict=True) if x[2] == h) for h in hosts}
+    m = sum(fails) / len(rows)
+    v = sum(size[h] * (bad[h] / size[h] - m) ** 2 - m * (1 - m) for h in hosts) / max(1, sum(size[h] - 1 for h in hosts))
+    k = min(1e6, max(2.0, m * (1 - m) / v - 1)) if v > 0 else 1e6
+    rate = {h: (bad[h] + m * k) / (size[h] + k) for h in hosts}
+    plain = Q.columns_of(docs, "doc_id", "text", "source")
+    found = Q.host_rates(Q.written(Q.features(plain, ["doc_id", "source"]), "f"))
+    assert {r.host: round(r.p_symbols, 9) for r in found.collect()} == {h: round(r, 9) for h, r in rate.items()}
+    assert rate["bad"] > Q.HOST_LIMIT > max(rate["good"], rate[None])
+    kept = lambda s, n, h: n >= 50 and not (s > n or (rate[h] > Q.HOST_LIMIT and 4 * s > n))
+    expected = sorted((str(i), kept(*x)) for (i, *_), x in zip(rows, feats, strict=True))
+    assert sorted((str(r.doc_id), r.kept) for r in Q.judge(docs).collect()) == expected
+    done = Q.filtered(docs)
+    assert done.columns == docs.columns and sorted(str(r.doc_id) for r in done.collect()) == sorted(i for i, k in expected if k)
