@@ -46,17 +46,17 @@ def _insert_after(t: Column, pattern: str, inserted: str, skip=None) -> Column:
     tag, most = R.PAUSE_TAG.java(), NEAR // 2
     parts = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda a, b: F.struct(a.alias("p"), F.coalesce(b, F.lit("")).alias("m")))
 
-    def tagged(found: Column, whole: Column) -> Column:
+    def tagged(found: Column, whole: Column, has: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
             before = F.right(F.array_join(F.slice(whole, F.greatest(F.lit(1), i + 2 - most), F.least(i + 1, F.lit(most))), ""), F.lit(NEAR))
             after = F.left(F.array_join(F.slice(whole, i + 2, F.lit(most)), ""), F.lit(NEAR))
-            none = F.concat(before, after).rlike(tag)
+            none = F.when(has, F.concat(before, after).rlike(tag)).otherwise(F.lit(False))
             none = none | skip(x["p"], x["m"]) if skip else none
             return F.concat(x["p"], x["m"], F.when((x["m"] == "") | none, F.lit("")).otherwise(F.lit(inserted)))
 
         return F.array_join(F.transform(found, lambda x, i: one(x, i)), "")
 
-    return bind(parts, lambda found: bind(F.transform(found, lambda x: F.concat(x["p"], x["m"])), lambda whole: tagged(found, whole)))
+    return bind(parts, lambda found: bind(F.transform(found, lambda x: F.concat(x["p"], x["m"])), lambda whole: bind(F.contains(t, F.lit("[")), lambda has: tagged(found, whole, has))))
 
 
 def paragraph_pauses(c: Column, seconds: float = 2.0, space_after: bool = True) -> Column:

@@ -17,8 +17,9 @@ def _count(c: Column, pattern: str) -> Column:
 
 
 def abbreviation_pattern(label: str) -> str:
-    """For Spark; a match holds what stands before."""
-    return R.abbreviation_rule(label, "").java()
+    """For Spark: the abbreviation itself first, which is quick to find, then what may not stand before it."""
+    body = R.quoted(label) + (R.SP if label == "s." else "")
+    return f"{'(?iu)' if label in R.ANY_CASE else ''}{body}(?<=(?<![\\p{{L}}\\p{{N}}_]){body})"
 
 
 def _abbreviation_counts(c: Column) -> list[Column]:
