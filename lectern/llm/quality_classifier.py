@@ -61,6 +61,13 @@ def _per_text(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
+def _again(words: Words, lower: np.ndarray) -> np.ndarray:
+    """Whether each word is the one before it in its text."""
+    again = np.append(False, lower[1:] == lower[:-1]) if len(lower) else np.zeros(0, bool)
+    again[words.first[:-1][words.first[:-1] < len(again)]] = False
+    return again
+
+
 def measures(words: Words, lower: np.ndarray, raw: np.ndarray) -> dict[str, np.ndarray]:
     """What the labellers look at, for each text; nan: nothing to go by. raw: bytes as they came."""
     n = words.counts()
@@ -68,8 +75,7 @@ def measures(words: Words, lower: np.ndarray, raw: np.ndarray) -> dict[str, np.n
     of = lambda table: _per_text(table[raw], words.off)
     table = lambda chars: np.isin(np.arange(256), list(chars))
     upper, letters = of(table(range(65, 91))), of(table([*range(65, 91), *range(97, 123)]))
-    again = np.append(False, lower[1:] == lower[:-1]) if len(lower) else np.zeros(0, bool)
-    again[words.first[:-1][words.first[:-1] < len(again)]] = False
+    again = _again(words, lower)
     text = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((lower, text))
     fresh = np.append(True, (lower[order][1:] != lower[order][:-1]) | (text[order][1:] != text[order][:-1])) if len(lower) else np.zeros(0, bool)
@@ -126,7 +132,7 @@ def features(words: Words, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     shape.buf = words.buf.translate(_SHAPES)
     shape.start, shape.end, shape.first, shape.off = np.maximum(words.start, words.end - 6), words.end, words.first, words.off
     h = hashes(shape)
-    again = np.append(False, lower[1:] == lower[:-1]) if len(lower) else np.zeros(0, bool)
+    again = _again(words, lower)
     with np.errstate(over="ignore"):
         h = h * np.uint64(3) + again.astype(np.uint64)
         place = np.concatenate([lower >> np.uint64(48), (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)]).astype(np.int64) % BUCKETS

@@ -200,6 +200,36 @@ def test_quality_classifier(spark):
     assert quality_classifier.classify(docs.limit(0)).count() == 0
 
 
+def test_quality_score_by_hand(spark, tiny):
+    """Posterior and score of each text, beside plain Python on the same model."""
+    from lectern.llm.decontamination import _hash
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(7000, "the"), (7001, "The the THE!! fox"), (7001, "The the THE!! fox"), (7002, None)], docs.schema))
+    model = quality_classifier.fit(docs)
+
+    def features(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+        out, before = collections.Counter(), None
+        for w in words:
+            low = w.translate(LOW)
+            out[_hash(low) >> 48] += 1
+            shape = (_hash(w[-6:].translate(quality_classifier._SHAPES)) * 3 + (low == before)) % (1 << 64)
+            out[(shape * 0x9E3779B97F4A7C15) % (1 << 64) >> 48] += 1
+            before = low
+        return {k: math.sqrt(n) for k, n in out.items()}
+
+    texts = dict((r.doc_id, r.text) for r in docs.collect())
+    for r in quality_classifier.judged(docs, model).collect():
+        f = features(texts[r.c0])
+        norm = math.sqrt(sum(v * v for v in f.values())) or 1
+        score = 1 / (1 + math.exp(-(sum(model.weights[k] * v for k, v in f.items()) / norm + model.bias)))
+        votes = quality_classifier.Texts(as_text(pa.array([texts[r.c0] or ""]))).calls[0].astype(int)
+        odds = [math.prod(model.likely[j, y, v + 1] for j, v in enumerate(votes) if v != quality_classifier.MISSING) * p for y, p in ((0, 1 - model.prior), (1, model.prior))]
+        assert abs(r._score - score) < 1e-6 and abs(r._posterior - odds[1] / sum(odds)) < 1e-6
+        assert r._kept == (score >= quality_classifier.CUT or not f)
+
+
 def test_expectation_maximisation():
     rng = np.random.default_rng(0)
     k = len(quality_classifier.LABELLERS)
