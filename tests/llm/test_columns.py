@@ -2,7 +2,7 @@
 
 import pytest
 
-from lectern.llm import counting, decontamination, lm, packing, quality_classifier, quality_rules, sharding, simhash, toxicity, warc
+from lectern.llm import counting, decontamination, lm, packing, quality_classifier, quality_rules, runs, sharding, simhash, toxicity, warc
 
 WORDS = "the quick brown fox jumps over a lazy dog and then it sleeps for long hours in its warm den".split()
 TEXT = " ".join(WORDS[i % len(WORDS)] + (str(i % 7) if i % 3 else ".") for i in range(80))
@@ -31,6 +31,7 @@ WHOLE = {
     "op7": lambda d, t: sharding.shard(d),
     "op8": lambda d, t: quality_rules.judge(d),
     "op10": lambda d, t: packing.pack(d),
+    "op13": lambda d, t: runs.report(d),
 }
 STAGES = {
     "rules": lambda d, t: quality_rules.filtered(d),
