@@ -6,31 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import bind
-from lectern.functions.text import normalize_eol
+from lectern.functions.text import cut_up, normalize_eol
 
 SENTENCE = r"[^.!?]+[.!?]+(?:\s+|$)|[^.!?]+$"
 
 
-def split_points(t: Column, target: int = 4900) -> Column:
-    """Where a text is cut so that no chunk is longer than target: looking back up to a fifth of it, after the last
-    blank line, else the last sentence end, line end or blank, else hard."""
+def smart_split(c: Column, target: int = 4900) -> Column:
+    """Chunks of the text, in order, none longer than target; joined they are the text with normal line ends. An empty text has
+    none. A cut looks back up to a fifth of target: after the last blank line, else the last sentence end, line end or blank, else
+    hard."""
     w = int(min(2000, 0.2 * target))
     at = lambda x, p: F.nullif(F.length(F.regexp_extract(x, p, 1)), F.lit(0))
-
-    def step(a: Column, _: Column) -> Column:
-        back = t.substr(a["pos"] + (target - w + 1), F.lit(w))
-        cut = lambda x: F.coalesce(at(x, r"^([\s\S]*\n\n)"), at(x, r"^([\s\S]*[.!?])\s"), at(x, r"^([\s\S]*\n)"), at(x, r"^([\s\S]* )"), F.lit(w))
-        place = lambda k: F.struct((a["pos"] + (target - w) + k).alias("pos"), F.array_append(a["cuts"], a["pos"] + (target - w) + k).alias("cuts"))
-        return F.when(F.length(t) - a["pos"] <= target, a).otherwise(bind(bind(back, cut), place))
-
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("cuts"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(t) / (target - w)).cast("int"))), start, step, lambda a: a["cuts"])
-
-
-def smart_split(c: Column, target: int = 4900) -> Column:
-    """Chunks of the text, in order; joined they are the text with normal line ends. An empty text has none."""
-    cut = lambda t: bind(split_points(t, target), lambda k: F.transform(F.sequence(F.lit(0), F.size(k)), lambda i: bind(F.coalesce(F.get(k, i - 1), F.lit(0)), lambda b: t.substr(b + 1, F.coalesce(F.get(k, i), F.length(t)) - b))))
-    return bind(normalize_eol(c), lambda t: F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(cut(t)))
+    back = lambda x: F.coalesce(at(x, r"^([\s\S]*\n\n)"), at(x, r"^([\s\S]*[.!?])\s"), at(x, r"^([\s\S]*\n)"), at(x, r"^([\s\S]* )"), F.lit(w))
+    cut = lambda rest: F.lit(target - w) + bind(F.substring(rest, target - w + 1, w), back)
+    few = lambda t: F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= target, F.array(t))
+    return bind(normalize_eol(c), lambda t: few(t).otherwise(cut_up(t, target, target - w, cut)))
 
 
 def explode_numbered(df: DataFrame, pieces: Column, number: str, name: str, first: int = 1, keep_empty: bool = False) -> DataFrame:

@@ -220,6 +220,40 @@ def paragraph_filter(c: Column, letters: str = "german") -> Column:
     return F.array_join(paragraphs(c, letters), "\n\n")
 
 
+#: What a strip takes off at the ends of pieces.
+_BLANK = " \t\n\x0b\f\r"
+#: Steps of a fold within which its pieces are held apart.
+_STEPS = 64
+
+
+def cut_up(t: Column, most: int, least: int, cut: Callable[[Column], Column], strip: bool = False) -> Column:
+    """Pieces of t: while what is left has more than `most` characters, its first cut(it), more than `least`, are one. cut looks at
+    the first `most` alone. strip: without blanks at both ends of each piece, where t itself has none at its own.
+
+    The text is dealt out once, by patterns, in parts of `least` characters; a fold adds one part to what is left and then has
+    one piece to cut at most. No step looks at more than most + least characters, so the work is in proportion to the text.
+    """
+    size, blank = max(1, least), F.lit(_BLANK)
+    none = F.array().cast("array<string>")
+    parts = lambda x, n: F.regexp_extract_all(x, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
+
+    def one(rest: Column, pieces: Column) -> Column:
+        piece, after = (lambda k: F.left(rest, k)), (lambda k: F.substr(rest, k + 1))
+        cut_one = lambda k: F.struct((F.ltrim(after(k), blank) if strip else after(k)).alias("r"), F.array_append(pieces, F.btrim(piece(k), blank) if strip else piece(k)).alias("o"))
+        return F.when(F.length(rest) > most, bind(cut(rest), cut_one)).otherwise(F.struct(rest.alias("r"), pieces.alias("o")))
+
+    def add(a: Column, part: Column) -> Column:
+        longer = F.concat(a["r"], part)
+        return bind(F.ltrim(longer, blank) if strip else longer, lambda rest: one(rest, a["o"]))
+
+    def some(a: Column, block: Column) -> Column:
+        done = F.aggregate(parts(block, size), F.struct(a["r"].alias("r"), none.alias("o")), add)
+        return bind(done, lambda x: F.struct(x["r"].alias("r"), F.array_append(a["o"], x["o"]).alias("o")))
+
+    start = F.struct(F.lit("").alias("r"), F.array().cast("array<array<string>>").alias("o"))
+    return F.aggregate(parts(t, size * _STEPS), start, some, lambda a: F.flatten(F.array_append(a["o"], F.when(F.length(a["r"]) > 0, F.array(a["r"])).otherwise(none))))
+
+
 def split_long_paragraph(p: Column, most: int = 1000, window: int = 300) -> Column:
     """Pieces of a paragraph: cut at the first sentence end in the last `window` characters allowed, else the first
     clause end, else the last blank, else hard."""
@@ -228,10 +262,10 @@ def split_long_paragraph(p: Column, most: int = 1000, window: int = 300) -> Colu
     def cut(r: Column) -> Column:
         return bind(F.substring(r, least + 1, window), lambda w: F.when(F.regexp_instr(w, F.lit(r"[.!?]\s")) > 0, least + F.regexp_instr(w, F.lit(r"[.!?]\s"))).when(F.regexp_instr(w, F.lit(r"[;:]\s")) > 0, least + F.regexp_instr(w, F.lit(r"[;:]\s"))).when(F.contains(w, F.lit(" ")), least + F.length(F.regexp_extract(w, r"^([\s\S]*) ", 1))).otherwise(F.lit(most)))
 
-    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    start = F.struct(p.alias("r"), F.array().cast("array<string>").alias("o"))
-    step = lambda a, _: F.when(F.length(a["r"]) == 0, a).when(F.length(a["r"]) <= most, F.struct(F.lit("").alias("r"), F.array_append(a["o"], a["r"]).alias("o"))).otherwise(bind(cut(a["r"]), lambda k: F.struct(strip(a["r"].substr(k + 1, F.length(a["r"]))).alias("r"), F.array_append(a["o"], strip(a["r"].substr(F.lit(1), k))).alias("o"))))
-    return F.when(F.length(p) <= most, F.filter(F.array(p), lambda x: F.length(x) > 0)).otherwise(F.aggregate(F.sequence(F.lit(1), (F.ceil(F.length(p) / least) + 1).cast("int")), start, step, lambda a: a["o"]))
+    strip = lambda x: F.btrim(x, F.lit(_BLANK))
+    # what follows the first cut has no blanks at its ends
+    many = lambda k: F.concat(F.array(strip(F.left(p, k))), bind(strip(F.substr(p, k + 1)), lambda rest: cut_up(rest, most, least, cut, strip=True)))
+    return F.when(F.length(p) <= most, F.filter(F.array(p), lambda x: F.length(x) > 0)).otherwise(bind(cut(p), many))
 
 
 def sanitize_composed(c: Column, letters: str = "german") -> Column:
