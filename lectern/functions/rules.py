@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +20,34 @@ def quoted(text: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}\-/&~#])", r"\\\1", text)
 
 
+@cache
+def folds() -> dict[int, str]:
+    """Characters whose case is ignored, and what they are compared as: the lower case of their upper case, one for one, which is how
+    the JVM's patterns compare."""
+    out = {}
+    for i in range(0x20000):
+        if not 0xD800 <= i < 0xE000:
+            up = chr(i).upper()
+            low = (up if len(up) == 1 else chr(i)).lower()[0]
+            if low != chr(i):
+                out[i] = low
+    return out
+
+
+def folded(text: str) -> str:
+    """As many characters, without case."""
+    return text.lower() if text.isascii() else text.translate(folds())
+
+
+def any_case(text: str) -> str:
+    """A Java pattern, with (?iu), for the text itself. The engine treats single characters otherwise than those in words, so these are
+    listed with all that are the same without case."""
+    if len(text) != 1:
+        return quoted(text)
+    low = folded(text)
+    return "[" + "".join(quoted(x) for x in sorted({low, *(chr(i) for i, to in folds().items() if to == low)})) + "]"
+
+
 def sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

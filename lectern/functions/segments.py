@@ -34,17 +34,18 @@ def explode_chunks(df: DataFrame, target: int = 4900, keep_empty: bool = False)
     return explode_numbered(df, smart_split(F.col("text"), target), "chunk_no", "chunk", keep_empty=keep_empty)
 
 
-def explode_lines(df: DataFrame) -> DataFrame:
-    return explode_numbered(df, F.split("text", "\n", -1), "line_no", "line")
+def explode_lines(df: DataFrame, keep_empty: bool = False) -> DataFrame:
+    return explode_numbered(df, F.split("text", "\n", -1), "line_no", "line", keep_empty=keep_empty)
 
 
-def explode_paragraphs(df: DataFrame) -> DataFrame:
-    return explode_numbered(df, F.split("text", r"\n{2,}", -1), "para_no", "paragraph")
+def explode_paragraphs(df: DataFrame, keep_empty: bool = False) -> DataFrame:
+    return explode_numbered(df, F.split("text", r"\n{2,}", -1), "para_no", "paragraph", keep_empty=keep_empty)
 
 
-def explode_sentences(df: DataFrame) -> DataFrame:
+def explode_sentences(df: DataFrame, keep_empty: bool = False) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))
-    return explode_numbered(df, F.when(F.size(found) > 0, found).otherwise(F.array("text")), "sentence_no", "sentence")
+    pieces = F.when(F.size(found) > 0, found).when(F.col("text").isNotNull(), F.array("text"))
+    return explode_numbered(df, pieces, "sentence_no", "sentence", keep_empty=keep_empty)
 
 
 def slice_fixed(df: DataFrame, n: int = 2000) -> DataFrame:

@@ -6,6 +6,7 @@ variable; apply() binds between rules.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -30,7 +31,7 @@ def custom_replacements(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     """Literal, case-insensitive replacements, one after another; empty searches are skipped."""
     for search, replacement in pairs:
         if search:
-            c = F.regexp_replace(c, F.lit("(?iu)" + R.quoted(search)), F.lit(replacement.replace("\\", "\\\\").replace("$", "\\$")))
+            c = F.regexp_replace(c, F.lit("(?iu)" + R.any_case(search)), F.lit(replacement.replace("\\", "\\\\").replace("$", "\\$")))
     return c
 
 
@@ -148,24 +149,49 @@ def restore_lines(c: Column, saved: Column) -> Column:
 
 
 def search_replace(c: Column, search: str, replacement: str, regex: bool = False) -> Column:
-    """struct(text, n_hits), ignoring case. A pattern that is none, or nothing to search, has no hits."""
+    """struct(text, n_hits), ignoring case. A pattern that is none for the JVM, or nothing to search, has no hits. In the
+    replacement of a pattern $1, $<name> and $& stand for what was found, $$ for a sign; what names no group is text."""
     pattern = "(?iu)" + (search if regex else R.quoted(search))
-    to = replacement if regex else replacement.replace("\\", "\\\\").replace("$", "\\$")
-    if not search or (regex and not _is_pattern(search)):
+    if not search or (regex and not _is_pattern(pattern)):
         return F.struct(c.alias("text"), F.lit(0).cast("bigint").alias("n_hits"))
+    to = _groups_put(search, replacement) if regex else replacement.replace("\\", "\\\\").replace("$", "\\$")
     return F.struct(F.regexp_replace(c, F.lit(pattern), F.lit(to)).alias("text"), F.regexp_count(c, F.lit(pattern)).cast("bigint").alias("n_hits"))
 
 
-def _is_pattern(search: str) -> bool:
-    import re
+def _is_pattern(pattern: str) -> bool:
+    """Whether the engine that will run it takes the pattern: it is tried on no text, in a plan of one row."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import SparkSession
 
     try:
-        re.compile(search)
-    except re.error:
+        SparkSession.active().range(1).select(F.regexp_count(F.lit(""), F.lit(pattern))).collect()
+    except PySparkException:
         return False
     return True
 
 
+def _groups_put(search: str, replacement: str) -> str:
+    """The replacement in the JVM's terms."""
+    groups = re.findall(r"\\.|\[(?:\\.|[^\]\\])*\]|(\((?!\?)|\(\?<(?![=!])([A-Za-z][A-Za-z0-9]*)>)", search, re.S)
+    count, names = sum(bool(g) for g, _ in groups), {n for _, n in groups if n}
+
+    def put(m: re.Match) -> str:
+        x = m[0]
+        if x == "$$":
+            return "\\$"
+        if x == "$&":
+            return "$0"
+        if m[1]:
+            for k in (len(m[1]), 1):
+                if 1 <= int(m[1][:k]) <= count:
+                    return f"${int(m[1][:k])}" + "".join("\\" + d for d in m[1][k:])
+        if m[2] and m[2] in names:
+            return f"${{{m[2]}}}"
+        return "".join("\\" + ch if ch in "\\$" else ch for ch in x)
+
+    return re.sub(r"\$\$|\$&|\$(\d{1,2})|\$<([A-Za-z][A-Za-z0-9]*)>|[\\$]", put, replacement)
+
+
 # ---------------------------------------------------------------- sanitizing
 
 _HIGH = r"[^\x{00}-\x{2FF}]"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import rules as R
 from lectern.functions.text import abbreviation_sign, trim
+from lectern.operators.running import BLOCK, moving_average, running
 
 PRICE_IN, PRICE_OUT = 0.075, 0.30  # $ for a million tokens
 WORDS_PER_MINUTE = 150
@@ -131,17 +132,17 @@ def usage_sums(log: DataFrame, key: str, prompt: str, output: str) -> DataFrame:
 
 
 def usage_totals(log: DataFrame, key: str, order: list[str], prompt: str, output: str) -> DataFrame:
-    """Running sums of two token columns for each key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.select(key, *order, F.sum(prompt).over(w).alias("prompt_total"), F.sum(output).over(w).alias("output_total"))
+    """Running sums of two token columns for each key, also where one key has most of the rows."""
+    rows = running(log.select(key, *order, prompt, output), [key], order, {"prompt_total": F.col(prompt), "output_total": F.col(output)}, number="_n")
+    return rows.select(key, *order, "prompt_total", "output_total")
 
 
-def recent_chunk_avg(log: DataFrame, key: str, order: list[str], duration: str, n: int = 5) -> DataFrame:
-    """Mean of the last n durations, and that times the chunks left."""
-    w = Window.partitionBy(key).orderBy(*order)
-    recent = F.avg(duration).over(w.rowsBetween(1 - n, Window.currentRow))
-    left = F.count("*").over(Window.partitionBy(key)) - F.row_number().over(w)
-    return log.select(key, *order, F.round(recent, 6).alias("recent_avg"), left.cast("bigint").alias("remaining"), F.round(recent * left, 6).alias("eta"))
+def recent_chunk_avg(log: DataFrame, key: str, order: list[str], duration: str, n: int = 5, block: int = BLOCK) -> DataFrame:
+    """Mean of the last n durations, and that times the chunks left; a large key is worked out in blocks."""
+    numbered = running(log.select(key, *order, duration), [key], order, {}, number="_n", total="_all")
+    rows = moving_average(numbered, [key], duration, n, "_recent", "_n", block)
+    left = F.col("_all") - F.col("_n")
+    return rows.select(key, *order, F.round("_recent", 6).alias("recent_avg"), left.cast("bigint").alias("remaining"), F.round(F.col("_recent") * left, 6).alias("eta"))
 
 
 def preview(docs: DataFrame, n: int = 100_000) -> DataFrame:

@@ -18,11 +18,12 @@ from lectern.functions import segments as S
 from lectern.functions import text as T
 from lectern.functions.rules import apply_sql, sql_text
 from lectern.operators import analytics as A
+from lectern.operators import rule_tables
 from lectern.plans import oracle as O
 from lectern.plans.corpus import DRESSED, documents, dressed
 from lectern.plans.prepare import CleaningOptions, clean, prepare_script, prepare_standard
 from lectern.session import shared_dir
-from lectern.sources import files
+from lectern.sources import files, text_files
 from lectern.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +80,42 @@ def _(spark, d):
     return files.decode_text(as_bytes).select(F.regexp_extract("path", r"/(\d+)\z", 1).cast("bigint").alias("doc_id"), "text")
 
 
+#: Bytes that are no UTF-8, by doc_id % 4 of 2 and 3: with an open byte of cp1252, and one that only cp1252 takes for a torn umlaut.
+_LATIN = "regexp_replace(text, '[^\\x{00}-\\x{7F}\\x{A0}-\\x{FF}]', '?', 'g')"
+_SIGNS_15 = ("¤¦¨´¸¼½¾", "€ŠšŽžŒœŸ")
+
+
+@query("a03_decode_legacy", f"SELECT doc_id, CASE WHEN a IS NULL OR a >= b THEN CASE WHEN a IS NULL THEN 'utf-8' ELSE 'cp1252' END ELSE 'iso8859_15' END AS charset, CASE WHEN a IS NULL THEN text WHEN a >= b THEN one ELSE other END AS text FROM (SELECT *, {O.score_german('one')} AS a, {O.score_german('other')} AS b FROM (SELECT doc_id, text, CASE doc_id % 4 WHEN 2 THEN l || ' „ja“ für 5 €' || chr(129) WHEN 3 THEN l || ' Ã¼ und ä' END AS one, CASE doc_id % 4 WHEN 2 THEN translate(l, '{_SIGNS_15[0]}', '{_SIGNS_15[1]}') || ' ' || chr(132) || 'ja' || chr(147) || ' für 5 ' || chr(128) || chr(129) WHEN 3 THEN translate(l, '{_SIGNS_15[0]}', '{_SIGNS_15[1]}') || ' ÃŒ und ä' END AS other FROM (SELECT doc_id, text, {_LATIN} AS l FROM documents)))")
+def _(spark, d):
+    """Files in UTF-8, with and without a mark, and in charsets of one byte."""
+    latin = F.encode(F.regexp_replace("text", r"[^\x{00}-\x{7F}\x{A0}-\x{FF}]", "?"), "ISO-8859-1")
+    kind, mark = F.col("doc_id") % 4, F.lit(bytearray(b"\xef\xbb\xbf"))
+    more = lambda x: F.lit(bytearray(x))
+    utf = F.col("text").cast("binary")
+    content = F.when(kind == 0, utf).when(kind == 1, F.concat(mark, utf)).when(kind == 2, F.concat(latin, more(" „ja“ für 5 €".encode("cp1252") + b"\x81"))).otherwise(F.concat(latin, more(b" \xc3\xbc und \xe4")))
+    found = files.decode_text(documents(spark, d).select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
+    return found.select(F.col("path").cast("bigint").alias("doc_id"), "charset", "text")
+
+
+def _as_files(spark: SparkSession, d: str) -> str:
+    """A folder of files: each document as text, by doc_id % 5 of 3 and 4 as a kind without reader or blank."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    kind = F.when(F.col("doc_id") % 5 == 3, ".rtf").when(F.col("doc_id") % 2 == 0, ".TXT").otherwise(".txt")
+    rows = documents(spark, d).select(F.concat(F.col("doc_id").cast("string"), kind).alias("file"), F.when(F.col("doc_id") % 5 == 4, F.lit(" \n\t")).otherwise(F.col("text")).alias("value"))
+    text_files.write_files(rows, path)
+    return path
+
+
+_FILE_ROWS = f"SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'no reader for this kind' WHEN encode_size > 6000 THEN 'too large' WHEN {O.trim('t')} = '' THEN 'no text' ELSE 'ok' END AS status, t FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN ' ' || chr(10) || chr(9) ELSE text END AS t, strlen(CASE WHEN doc_id % 5 = 4 THEN ' ' || chr(10) || chr(9) ELSE text END) AS encode_size FROM documents) WHERE encode_size > 0"
+
+
+@query("a02_read_files", f"SELECT doc_id, CASE WHEN status = 'no reader for this kind' AND strlen(t) > 6000 THEN 'too large' ELSE status END AS status, CASE WHEN status = 'ok' THEN t END AS text FROM ({_FILE_ROWS})")
+def _(spark, d):
+    """Files written to the shared folder and read from there."""
+    found = files.read_files(spark, _as_files(spark, d), 6000)
+    return found.select(F.regexp_extract("path", r"(\d+)\.\w+\z", 1).cast("bigint").alias("doc_id"), "status", "text")
+
+
 @query("a04_score_german", O.base(f"SELECT doc_id, {O.score_german('text')} AS score FROM dressed"))
 def _(spark, d):
     return dressed(spark, d).select("doc_id", files.score_german(F.col("text")).alias("score"))
@@ -148,6 +185,14 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
+@query("a08_write_files", O.base("SELECT d.source || CASE WHEN d.no > 1 THEN '_bereinigt_2024-01-02T03-04-05_' || CAST(d.no AS VARCHAR) ELSE '_bereinigt_2024-01-02T03-04-05' END || '.txt' AS file, d.text AS value FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY text) AS no FROM (SELECT d.source, s.text FROM dressed d JOIN sane s ON s.doc_id = d.doc_id)) d", True, O.sanitized("dressed")))
+def _(spark, d):
+    """A file for each document, named by its source, so that most names clash."""
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    files.write_corpus(dressed(spark, d).select(F.col("source").alias("name"), "text"), path, F.lit("2024-01-02 03:04:05").cast("timestamp"), as_files=True)
+    return text_files.read_back(spark, path).select("file", F.regexp_replace("value", r"\A\x{FEFF}", "").alias("value"))
+
+
 @query("a09_safe_file_name", "SELECT page_id, CASE WHEN n = '' THEN 'output' ELSE substring(n, 1, 200) END AS name FROM (SELECT page_id, trim(regexp_replace(regexp_replace(url, '\\.[^/.]+$', ''), '[<>:\"/\\\\|?*]', '_', 'g')) AS n FROM pages)")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", files.safe_file_name(F.col("url")).alias("name"))
@@ -490,6 +535,15 @@ def _(spark, d):
     return spark.read.parquet(f"{home}/out")
 
 
+@query("g01_file_stream", O.base("SELECT f.doc_id, s.text FROM (SELECT doc_id FROM documents WHERE strlen(text) BETWEEN 1 AND 6000) f JOIN sane s ON s.doc_id = f.doc_id", True, f", cleaned AS (SELECT doc_id, {O.clean('text')} AS text FROM documents)" + O.sanitized("cleaned")))
+def _(spark, d):
+    """Documents that arrive as text files."""
+    home = _folder(spark)
+    text_files.write_files(documents(spark, d).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.col("text").alias("value")), f"{home}/in")
+    streams.file_stream(spark, f"{home}/in", f"{home}/out", f"{home}/state", max_bytes=6000).awaitTermination()
+    return spark.read.parquet(f"{home}/out").select(F.regexp_extract("path", r"(\d+)\.\w+\z", 1).cast("bigint").alias("doc_id"), "text")
+
+
 @query("g02_session_stream", "SELECT key, text, saved_at FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY saved_at DESC, text DESC) AS r FROM (SELECT CAST(user_id AS VARCHAR) AS key, event_type || CAST(event_id AS VARCHAR) AS text, ts AS saved_at FROM events)) WHERE r = 1")
 def _(spark, d):
     home = _folder(spark)
@@ -501,14 +555,29 @@ def _(spark, d):
 
 @query("h01_load_rules", O.column("regexp_replace(regexp_replace(text, '(?i)ende', 'Schluss', 'g'), '(?i)regime', 'Regierung', 'g')"))
 def _(spark, d):
-    rules = files.load_rules('[{"search": "Ende", "replace": "Schluss"}, {"search": ""}, {"search": "Regime", "replace": "Regierung"}]')
+    rules = rule_tables.load_rules('[{"search": "Ende", "replace": "Schluss"}, {"search": ""}, {"search": "Regime", "replace": "Regierung"}]')
     return dressed(spark, d).select("doc_id", T.custom_replacements(F.col("text"), rules).alias("text"))
 
 
-@query("h01_rule_table", O.base("SELECT doc_id, string_agg(p || coalesce(CASE WHEN regexp_matches(lower(m), '^(?:of|the|und|de)$') THEN '<' || lower(m) || '>' ELSE m END, ''), '' ORDER BY i) AS text FROM (SELECT doc_id, unnest(string_split_regex(text, '[\\p{L}\\p{N}_]+')) AS p, generate_subscripts(string_split_regex(text, '[\\p{L}\\p{N}_]+'), 1) AS i, regexp_extract_all(text, '[\\p{L}\\p{N}_]+')[generate_subscripts(string_split_regex(text, '[\\p{L}\\p{N}_]+'), 1)] AS m FROM dressed) GROUP BY doc_id"))
+#: 500 rules: words and pairs of words of the texts by their number, with replacements that hold signs, are empty, or make what later
+#: rules look for. One text for every engine, but for the name of unnest.
+_RULES = """
+select row_number() over (order by n desc, s) as rule_no, s as search,
+ case row_number() over (order by n desc, s) % 4 when 0 then '' when 1 then upper(substring(s, 1, 3)) when 2 then '$1' || chr(92) || s else lower(s) || '.' end as replace
+from (select s, count(*) as n from (
+ select unnest(regexp_extract_all(lower(text), '[a-zA-Zäöüéß]+')) as s from documents union all select unnest(regexp_extract_all(lower(text), '[a-zA-Zäöüéß]+ [a-zA-Zäöüéß]+')) from documents)
+ where length(s) > 3 group by s order by n desc, s limit 500)
+"""
+
+
+def _ruled_sql() -> str:
+    """Rules one after another, by recursion."""
+    step = "regexp_replace(d.text, '(?i)' || regexp_escape(r.search), replace(r.replace, chr(92), chr(92) || chr(92)), 'g')"
+    return O.base("SELECT doc_id, text FROM done WHERE k = 500", True, f", rules AS MATERIALIZED ({_RULES}), done AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, text FROM dressed UNION ALL SELECT d.doc_id, d.k + 1, CASE WHEN contains(lower(d.text), r.search) THEN {step} ELSE d.text END FROM done d JOIN rules r ON r.rule_no = d.k + 1)")
+
+
+@query("h01_rule_table", _ruled_sql())
 def _(spark, d):
-    """Rules from a table that is joined rather than folded into the plan."""
-    words = table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("search")).distinct()
-    to = F.when(F.col("search").isin("of", "the", "und", "de"), F.concat(F.lit("<"), F.col("search"), F.lit(">"))).otherwise(F.col("search"))
-    rules = words.where("search in ('of', 'the', 'und', 'de')").select(F.lit(1).alias("rule_no"), "search", to.alias("replace"))
-    return files.apply_rule_table(dressed(spark, d).select("doc_id", "text"), rules, fold=0)
+    """500 rules that come from the data."""
+    rules = spark.sql(_RULES.replace("unnest(", "explode(").replace("]+'))", "]+', 0))").replace("from documents", "from {documents}"), documents=documents(spark, d))
+    return rule_tables.apply_rule_table(dressed(spark, d).select("doc_id", "text"), rules)

@@ -58,7 +58,7 @@ def phonetic(e: str) -> str:
     return e
 
 
-def clean(e: str, script: bool = False) -> str:
+def clean(e: str, script: bool = False, spoken: bool = True) -> str:
     e = expand_abbreviations(e)
     for rules in (R.END_OF_LINES, R.PAGE_NUMBERS, R.RULE_LINES):
         e = apply_sql(rules, e)
@@ -68,7 +68,8 @@ def clean(e: str, script: bool = False) -> str:
         e = apply_sql(rules, e)
     for rules in () if script else (R.URLS, R.EMAILS, R.REFERENCES):
         e = apply_sql(rules, e)
-    return phonetic(apply_sql(R.DECIMALS, apply_sql(R.TYPOGRAPHY, e)))
+    e = apply_sql(R.DECIMALS, apply_sql(R.TYPOGRAPHY, e))
+    return phonetic(e) if spoken else e
 
 
 def ghost(e: str) -> str:
@@ -284,13 +285,14 @@ def cleaned_and_sanitized() -> str:
 
 
 def prepared_script() -> str:
-    """Stage lines give way to marks while the rest is cleaned, and come back before sanitizing."""
+    """Stage lines give way to marks while the rest is cleaned, and come back before all is spelled as spoken and sanitized."""
     mark = r"\[\[PROTECTED_\d+\]\]"
     more = f""", coded AS ({coded()}),
 flagged AS (SELECT doc_id, line_no, line, {is_stage('line')} AS st FROM {lines('coded')}),
 counted AS (SELECT *, sum(CAST(st AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS k FROM flagged),
 marked AS (SELECT doc_id, string_agg(CASE WHEN st THEN '[[PROTECTED_' || CAST(k AS VARCHAR) || ']]' ELSE line END, chr(10) ORDER BY line_no) AS t, coalesce(list(line ORDER BY line_no) FILTER (WHERE st), []) AS saved FROM counted GROUP BY doc_id),
-done AS (SELECT doc_id, saved, {clean('t', script=True)} AS t FROM marked),
+done AS (SELECT doc_id, saved, {clean('t', script=True, spoken=False)} AS t FROM marked),
 cut AS (SELECT doc_id, saved, unnest(string_split_regex(t, '{mark}')) AS p, generate_subscripts(string_split_regex(t, '{mark}'), 1) AS i, regexp_extract_all(t, '{mark}') AS ms FROM done),
-restored AS (SELECT doc_id, string_agg(p || CASE WHEN ms[i] IS NULL THEN '' ELSE saved[CAST(regexp_extract(ms[i], '([0-9]+)', 1) AS BIGINT) + 1] END, '' ORDER BY i) AS text FROM cut GROUP BY doc_id)"""
+whole AS (SELECT doc_id, string_agg(p || CASE WHEN ms[i] IS NULL THEN '' ELSE saved[CAST(regexp_extract(ms[i], '([0-9]+)', 1) AS BIGINT) + 1] END, '' ORDER BY i) AS t FROM cut GROUP BY doc_id),
+restored AS (SELECT doc_id, {phonetic('t')} AS text FROM whole)"""
     return base(f"SELECT doc_id, text, CASE WHEN has THEN 'script' ELSE 'no pause' END AS kind FROM ({tagged('sane')})", True, more + sanitized("restored") + pauses("sane"))

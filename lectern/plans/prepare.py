@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,9 +66,12 @@ def prepare_standard(docs: DataFrame, o: CleaningOptions = CleaningOptions()) ->
 
 
 def prepare_script(docs: DataFrame, edits: DataFrame | None = None, o: CleaningOptions = CleaningOptions(script=True)) -> DataFrame:
-    """docs with script texts cleaned, sanitized and tagged on their pause lines, and has_pause. One narrow stage; a
-    reviewer's edits (doc_id, line_no, duration) join as a map for each document."""
-    step = lambda c: bind(bind(P.normalize_shortcodes(c), T.protect_lines), lambda p: bind(clean(p["text"], o), lambda x: T.restore_lines(x, p["saved"])))
+    """docs with script texts cleaned, sanitized and tagged on their pause lines, and has_pause. Stage lines are cleaned by no rule, but
+    are spelled as they are spoken like the rest. One narrow stage; a reviewer's edits (doc_id, line_no, duration) join as a map for
+    each document."""
+    written, spoken = replace(o, phonetic=False), (lambda x: T.phonetic(x, o.words)) if o.phonetic else (lambda x: x)
+    restored = lambda p: bind(clean(p["text"], written), lambda x: T.restore_lines(x, p["saved"]))
+    step = lambda c: bind(bind(bind(P.normalize_shortcodes(c), T.protect_lines), restored), spoken)
     df = docs if edits is None else docs.join(P.by_line(edits), "doc_id", "left")
     df = df.withColumn("text", step(F.col("text")))
     at = None if edits is None else F.col("_at")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from functools import wraps
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and read again if an executor is lost."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shipped(f):
     """f(spark, ...), with the package sent first."""
 

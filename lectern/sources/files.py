@@ -5,20 +5,19 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
+from functools import reduce
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import bind
-from lectern.functions.text import custom_replacements, replace_by, sanitize
+from lectern.functions.text import sanitize, trim
 
 MAX_BYTES = 50 * 1024 * 1024
-#: Rules that a plan holds; more are joined.
-FOLD = 200
 KINDS = ("pdf", "docx", "odt", "txt", "rtf")
-#: Charsets that are tried in this order where a text is not UTF-8.
+#: Charsets that are tried in this order where a text is not UTF-8. Bytes that one leaves open are control characters.
 CHARSETS = ("cp1252", "iso8859_15")
 #: Words that a German text has.
 GERMAN = r"(?iu)(?<![\p{L}\p{N}_])(?:und|der|die|das|ist|nicht|ein|eine|zu|in)(?![\p{L}\p{N}_])"
@@ -46,6 +45,31 @@ def admit(files: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, Data
     return files.where(reason.isNull()), files.where(reason.isNotNull()).select("path", "length", reason.alias("reason"))
 
 
+#: Kinds that are read here.
+READ = ("txt", "docx", "odt")
+
+
+def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """path, length, text and status of all files in a folder: `ok`, or why there is no text (also where it is blank).
+
+    Sizes and kinds are decided by the source: the scan that reads content opens the files of one kind, by its glob, and asks for
+    sizes that can be read (pushed to the source); the others are only listed.
+    """
+    of_kind = {"txt": lambda df: df.select("path", "length", F.regexp_replace(decoded(F.col("content"))["text"], r"\A\x{FEFF}", "").alias("text"), F.lit("ok").alias("status"))}
+    of_kind |= {kind: (lambda df, read=read: _extract(df, read, "length").select("path", "length", "text", "status")) for kind, read in (("docx", _docx), ("odt", _odt))}
+    rows = [of_kind[kind](scan_files(spark, path, any_case(kind)).where((F.col("length") > 0) & (F.col("length") <= max_bytes))) for kind in READ]
+    text = reduce(DataFrame.unionByName, rows)
+    blank = (F.col("status") == "ok") & (trim(F.col("text")) == "")
+    text = text.select("path", "length", F.when(~blank, F.col("text")).alias("text"), F.when(blank, "no text").otherwise(F.col("status")).alias("status"))
+    listed = admit(scan_files(spark, path).select("path", "length"), max_bytes)[1]
+    return text.unionByName(listed.select("path", "length", F.lit(None).cast("string").alias("text"), F.col("reason").alias("status")))
+
+
+def any_case(kind: str) -> str:
+    """A glob for the files of a kind, whatever the case of their extension."""
+    return "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in kind)
+
+
 def score_german(c: Column) -> Column:
     """How much a decoded text looks like German that was decoded rightly."""
     n = lambda p: F.regexp_count(c, F.lit(p)).cast("bigint")
@@ -58,52 +82,125 @@ def best_candidate(found: Column) -> Column:
     return bind(F.array_max(scored), lambda x: F.struct((-x["order"]).alias("cand_no"), x["charset"].alias("charset"), x["text"].alias("text"), x["score"].alias("score")))
 
 
-def decode_text(files: DataFrame) -> DataFrame:
-    """path, charset and text, each file read once. What is no UTF-8 is decoded in each charset, and the best kept; without
+def single_bytes(content: Column, charset: str) -> Column:
+    """Bytes decoded in a charset of one byte a character, as browsers do: a byte that it leaves open is the character of its number."""
+    of = {chr(i): bytes([i]).decode(charset, errors="ignore") or chr(i) for i in range(128, 256)}
+    other = {x: to for x, to in of.items() if x != to}
+    return F.translate(F.decode(content, "ISO-8859-1"), "".join(other), "".join(other.values()))
+
+
+def decoded(content: Column) -> Column:
+    """struct(charset, text) of a file's bytes, in the JVM. What is no UTF-8 is decoded in each charset, and the best kept; without
     content both are null."""
+    candidates = F.array(*[F.struct(F.lit(i).alias("cand_no"), F.lit(c).alias("charset"), single_bytes(content, c).alias("text")) for i, c in enumerate(CHARSETS)])
+    pair = lambda charset, text: F.struct(charset.alias("charset"), text.alias("text"))
+    best = bind(best_candidate(candidates), lambda x: pair(x["charset"], x["text"]))
+    whole = content.cast("string")
+    none = F.lit(None).cast("string")
+    return F.when(content.isNull(), pair(none, none)).when(F.is_valid_utf8(whole), pair(F.lit("utf-8"), whole)).otherwise(best)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("cand_no", pa.int32()), ("charset", pa.string()), ("text", pa.string())]))
-        for b in batches:
-            out = []
-            for x in b.column("content").to_pylist():
-                try:
-                    out.append(None if x is None else [{"cand_no": 0, "charset": "utf-8", "text": x.decode()}])
-                except UnicodeDecodeError:
-                    out.append([{"cand_no": i, "charset": c, "text": x.decode(c, errors="replace")} for i, c in enumerate(CHARSETS)])
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, kind)], ["path", "found"])
-
-    decoded = files.select("path", "content").mapInArrow(run, "path string, found array<struct<cand_no:int,charset:string,text:string>>")
-    best = F.when(F.size("found") > 1, best_candidate(F.col("found"))["cand_no"]).otherwise(F.lit(0))
-    at = decoded.withColumn("_x", F.get("found", best))
+
+def decode_text(files: DataFrame) -> DataFrame:
+    """path, charset and text, each file read once."""
+    at = files.select("path", decoded(F.col("content")).alias("_x"))
     return at.select("path", F.col("_x.charset").alias("charset"), F.regexp_replace("_x.text", r"\A\x{FEFF}", "").alias("text"))
 
 
-_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_ODT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
+_WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main "
+_OTHER = "http://schemas.openxmlformats.org/markup-compatibility/2006 "
+_ODT = "urn:oasis:names:tc:opendocument:xmlns:text:1.0 "
+#: What stands for signs inside a run.
+_SIGNS = {_WORD + "tab": "\t", _WORD + "br": "\n", _WORD + "cr": "\n", _WORD + "noBreakHyphen": "-"}
 
 
-def _member(content: bytes, name: str) -> bytes:
-    """A member of an archive, unless it is larger than a document can be."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(name) as f:
-        data = f.read(MAX_UNPACKED + 1)
-    if len(data) > MAX_UNPACKED:
-        raise ValueError("too large unpacked")
-    return data
+class _Paragraphs:
+    """The paragraphs of an XML text that is fed piece by piece: of each the text, then those that lie in it (text boxes), once.
+
+    text: the element whose characters count, None for all of a paragraph's; signs: elements that stand for text, in `run`. Of
+    alternatives the second is passed over where the first had text.
+    """
+
+    def __init__(self, paragraph: str, text: str | None = None, run: str | None = None):
+        self.paragraph, self.text, self.run = paragraph, text, run
+        self.path: list[str] = []
+        self.open: list[tuple[list[str], list[str]]] = []
+        self.done: list[str] = []
+        self.outside: list[str] = []
+        self.inside = self.skipped = 0
+        self.chosen: list[bool] = []
+        self.parser = expat.ParserCreate(namespace_separator=" ")
+        self.parser.buffer_text = True
+        self.parser.StartElementHandler, self.parser.EndElementHandler, self.parser.CharacterDataHandler = self.start, self.end, self.characters
+        self.parser.EntityDeclHandler = self.entity
+
+    def entity(self, *_) -> None:
+        raise ValueError("declares entities")
+
+    def start(self, name: str, _) -> None:
+        parent = self.path[-1] if self.path else ""
+        self.path.append(name)
+        if name == _OTHER + "AlternateContent":
+            self.chosen.append(False)
+        elif self.skipped or (name == _OTHER + "Fallback" and self.chosen and self.chosen[-1]):
+            self.skipped += 1
+        elif name == self.paragraph:
+            self.open.append(([], []))
+        elif name == self.text:
+            self.inside += 1
+            self.outside += [] if self.open else [""]
+        elif parent == self.run and name in _SIGNS:
+            self.add(_SIGNS[name])
+
+    def end(self, name: str) -> None:
+        self.path.pop()
+        if name == _OTHER + "AlternateContent":
+            self.chosen.pop()
+        elif self.skipped:
+            self.skipped -= 1
+        elif name == self.paragraph:
+            own, within = self.open.pop()
+            (self.open[-1][1] if self.open else self.done).extend(["".join(own), *within])
+        elif name == self.text:
+            self.inside -= 1
+
+    def characters(self, data: str) -> None:
+        if not self.skipped and (self.inside or self.text is None):
+            self.add(data)
+
+    def add(self, data: str) -> None:
+        if self.open:
+            self.open[-1][0].append(data)
+        elif self.inside:
+            self.outside[-1] += data
+        if self.chosen:
+            self.chosen = [True] * len(self.chosen)
+
+
+def _paragraphs(content: bytes, member: str, found: _Paragraphs) -> _Paragraphs:
+    """A member of an archive, read to found, unless it is larger than a document can be; it is never held whole."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as f:
+        size = 0
+        while data := f.read(1 << 16):
+            size += len(data)
+            if size > MAX_UNPACKED:
+                raise ValueError("too large unpacked")
+            found.parser.Parse(data)
+        found.parser.Parse(b"", True)
+    return found
 
 
 def _docx(content: bytes) -> str:
-    root = ElementTree.fromstring(_member(content, "word/document.xml"))
-    paragraphs = ["".join(t.text or "" for t in p.iter(_WORD + "t")) for p in root.iter(_WORD + "p")]
-    return "\n\n".join(x for x in paragraphs if x) or " ".join(t.text or "" for t in root.iter(_WORD + "t"))
+    """Paragraphs that hold something, or else all texts outside of any, joined by blanks."""
+    found = _paragraphs(content, "word/document.xml", _Paragraphs(_WORD + "p", _WORD + "t", _WORD + "r"))
+    return "\n\n".join(x for x in found.done if x) or " ".join(found.outside)
 
 
 def _odt(content: bytes) -> str:
-    return "\n".join("".join(p.itertext()) for p in ElementTree.fromstring(_member(content, "content.xml")).iter(_ODT + "p"))
+    return "\n".join(_paragraphs(content, "content.xml", _Paragraphs(_ODT + "p")).done)
 
 
-def _extract(files: DataFrame, read) -> DataFrame:
-    """path, text and status, a row for each file: what can't be read, whatever is wrong with it, has a status that says so
+def _extract(files: DataFrame, read, *keep: str) -> DataFrame:
+    """path, further columns to keep, text and status, a row for each file: what can't be read, whatever is wrong with it, has a status that says so
     and no text. The first bytes are looked at before Python sees a file."""
     head = F.hex(F.substring("content", 1, 4))
     status = F.when(F.col("content").isNull(), "no content").when(head == "D0CF11E0", "old Word format").when(~head.startswith("504B"), "no archive")
@@ -118,10 +215,10 @@ def _extract(files: DataFrame, read) -> DataFrame:
                 except Exception as e:  # noqa: BLE001  damaged, encrypted, missing or malformed: one file must not end the job
                     texts.append(None)
                     states.append(f"unreadable: {type(e).__name__}")
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(texts, pa.string()), pa.array(states, pa.string())], ["path", "text", "status"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("path", *keep)], pa.array(texts, pa.string()), pa.array(states, pa.string())], ["path", *keep, "text", "status"])
 
-    rows = files.select("path", F.when(status.isNull(), F.col("content")).alias("content"), status.alias("status"))
-    return rows.mapInArrow(run, "path string, text string, status string")
+    rows = files.select("path", *keep, F.when(status.isNull(), F.col("content")).alias("content"), status.alias("status"))
+    return rows.mapInArrow(run, rows.select("path", *keep, F.lit(None).cast("string").alias("text"), "status").schema)
 
 
 def extract_docx(files: DataFrame) -> DataFrame:
@@ -138,55 +235,24 @@ def safe_file_name(c: Column) -> Column:
 
 
 def write_corpus(df: DataFrame, path: str, stamp: Column | None = None, as_files: bool = False) -> None:
-    """Sanitized texts (value) with a byte order mark, beside the file name (safe, with the time) that each would have: as
-    Parquet, or as_files as text in a folder for each name, which is for few documents."""
-    at = F.date_format(F.current_timestamp() if stamp is None else stamp, "yyyy-MM-dd'T'HH-mm-ss")
-    out = df.select(F.concat(safe_file_name(F.col("name")), F.lit("_bereinigt_"), at).alias("file"), F.concat(F.lit("\ufeff"), sanitize(F.col("text"))).alias("value"))
+    """Sanitized texts (value) with a byte order mark, beside the file name (safe, with the time) that each has: as Parquet, or
+    as_files as a text file for each row, where equal names are numbered."""
+    from lectern.sources.text_files import file_name, numbered_names, write_files
+
+    named = file_name(F.col("name"), F.current_timestamp() if stamp is None else stamp)
+    out = df.select(named.alias("file"), F.concat(F.lit("\ufeff"), sanitize(F.coalesce("text", F.lit("")) if as_files else F.col("text"))).alias("value"))
     if as_files:
-        out.write.partitionBy("file").mode("overwrite").text(path)
+        write_files(numbered_names(out), path, overwrite=True)
     else:
-        out.write.mode("overwrite").parquet(path)
+        out.withColumn("file", F.regexp_replace("file", r"\.txt\z", "")).write.mode("overwrite").parquet(path)
 
 
 def upsert_sessions(new: DataFrame, existing: DataFrame, drop_prefix: str | None = None) -> DataFrame:
-    """The latest row of each key, without keys of a prefix; of rows saved at one time the new one. No sort: the latest is an
-    aggregate, taken where the rows are before they are shuffled."""
+    """The latest row of each key, without keys of a prefix; of rows saved at one time the new one. A null key is one key, without
+    prefix. No sort: the latest is an aggregate, taken where the rows are before they are shuffled."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     if drop_prefix:
-        both = both.where(~F.col("key").startswith(drop_prefix))
+        both = both.where(~F.coalesce(F.col("key").startswith(drop_prefix), F.lit(False)))
     rest = [c for c in new.columns if c != "key"]
     latest = F.max_by(F.struct(*rest), F.struct("saved_at", "_new", "text"))
     return both.groupBy("key").agg(latest.alias("_r")).select(*[F.col(c) if c == "key" else F.col(f"_r.{c}").alias(c) for c in new.columns])
-
-
-def load_rules(text: str) -> list[tuple[str, str]]:
-    """Rules (search, replace) from a JSON list; what is no list has none."""
-    import json
-
-    try:
-        rows = json.loads(text)
-    except ValueError:
-        return []
-    return [(r["search"], r.get("replace", "")) for r in rows if isinstance(r, dict) and r.get("search")] if isinstance(rows, list) else []
-
-
-def apply_rule_table(docs: DataFrame, rules: DataFrame, fold: int = FOLD) -> DataFrame:
-    """docs with the rules of a table (rule_no, search, replace) applied to text.
-
-    Up to `fold` rules enter the plan, in order of rule_no, and replace strings wherever they stand (custom_replacements).
-    Beyond that a search is a word, of letters, digits and _: each document's different words meet the rules in a join, which
-    Spark broadcasts or shuffles as their sizes are, and what is found goes back to the text as a map. Of rules for one word (case
-    ignored) the first counts. Rules without a search are passed over; rows without a text stay.
-    """
-    used = rules.where("search is not null and search <> ''").select("rule_no", "search", F.coalesce("replace", F.lit("")).alias("replace"))
-    few = used.orderBy("rule_no").limit(fold + 1).collect()
-    if len(few) <= fold:
-        return docs.withColumn("text", custom_replacements(F.col("text"), [(r["search"], r["replace"]) for r in few]))
-    word = r"[\p{L}\p{N}_]+"
-    of_word = used.groupBy(F.lower("search").alias("_w")).agg(F.min_by("replace", "rule_no").alias("_to"))
-    id_of = F.xxhash64("doc_id", "text")  # rows equal in both have the same words
-    words = docs.where("text is not null").select("doc_id", id_of.alias("_h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("_w")).distinct()
-    found = words.join(of_word, "_w").groupBy("doc_id", "_h").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_to"))).alias("_rules")).withColumnRenamed("doc_id", "_id")
-    joined = docs.withColumn("_g", id_of).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_g") == F.col("_h")), "left")
-    done = replace_by(F.col("text"), word, lambda m: F.coalesce(F.element_at("_rules", F.lower(m)), m))
-    return joined.withColumn("text", F.when(F.col("_rules").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lectern.functions.text import sanitize
+from lectern.functions.text import sanitize, trim
 from lectern.plans.prepare import CleaningOptions, clean
-from lectern.sources.files import upsert_sessions
+from lectern.sources.files import MAX_BYTES, any_case, decode_text
+from lectern.streaming.session_table import BUCKETS, SessionTable
 
 
 def clean_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: StructType, options: CleaningOptions = CleaningOptions()) -> StreamingQuery:
@@ -20,35 +20,22 @@ def clean_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
     return cleaned.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-BUCKETS = 64
+def file_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, options: CleaningOptions = CleaningOptions(), max_bytes: int = MAX_BYTES) -> StreamingQuery:
+    """Text files as they arrive in a folder: decoded, cleaned and sanitized (path, charset, text), blank ones left out. Files of other
+    kinds are not listed, those beyond the size not opened."""
+    kind = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    found = kind.option("pathGlobFilter", any_case("txt")).option("recursiveFileLookup", "true").load(in_dir)
+    texts = decode_text(found.where((F.col("length") > 0) & (F.col("length") <= max_bytes)))
+    texts = texts.where(trim(F.col("text")) != "").withColumn("text", clean(F.col("text"), options)).withColumn("text", sanitize(F.col("text")))
+    return texts.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def session_stream(sessions: DataFrame, table_dir: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Keeps the latest row of each key in a table of buckets by key.
+    """Keeps the latest row of each key in a SessionTable. A batch that is run again leaves the same table."""
+    table = SessionTable(sessions.sparkSession, table_dir, buckets)
+    return sessions.writeStream.foreachBatch(table.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    A batch rewrites the buckets that its keys fall into and no others: their new rows are first written beside the table, then
-    put in place of the old ones. A batch that is run again leaves the same table, as the latest row wins either way.
-    """
-    spark = sessions.sparkSession
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("bucket", bucket)
-        old = latest(spark, table_dir, new.schema)
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most `buckets`
-        rows = upsert_sessions(new, old.where(F.col("bucket").isin(touched)) if old is not None else new.limit(0))
-        staged = f"{table_dir}-staged"
-        rows.write.mode("overwrite").parquet(staged)
-        spark.read.schema(new.schema).parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table_dir)
-
-    return sessions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest(spark: SparkSession, table_dir: str, schema: StructType | None = None) -> DataFrame | None:
+def latest(spark: SparkSession, table_dir: str) -> DataFrame | None:
     """The table as it is, None if there is none."""
-    try:
-        return (spark.read.schema(schema) if schema else spark.read).parquet(table_dir)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    return SessionTable(spark, table_dir).rows()

@@ -161,13 +161,115 @@ def test_pauses_near_tags(spark):
 
 
 def test_rule_tables(spark):
-    from lectern.sources import files
-
-    docs = spark.createDataFrame([(1, "Der Hund, der Hof; derb"), (1, None), (None, "hof")], "doc_id long, text string")
-    rules = spark.createDataFrame([(2, "DER", "x"), (1, "der", "dé"), (3, "Hof", "$1"), (4, "", "y"), (5, None, "z")], "rule_no int, search string, replace string")
-    out = lambda fold: sorted(str(r.text) for r in files.apply_rule_table(docs, rules, fold).collect())
-    assert out(0) == sorted(["dé Hund, dé $1; derb", "None", "$1"])
-    assert out(200) == sorted(["dé Hund, dé $1; déb", "None", "$1"])
+    """The same texts however many rules enter the plan, and however the others are cut into blocks."""
+    import random
+
+    from lectern.operators import rule_tables
+
+    docs = spark.createDataFrame([(1, "Der Hund, der Hof; derb"), (1, None), (None, "hof"), (2, ""), (3, "Das ist m.E. gut. G0tt sei Dank. x5x K ſ ẞ ß ΣςΣ"), (4, "der" * 20_000)], "doc_id long, text string")
+    rules = [(2, "DER", "x"), (1, "der", "dé"), (3, "Hof", "$1"), (4, "", "y"), (5, None, "z"), (6, "m.E.", "meines Erachtens"), (7, "g0tt SEI", "Gott sei"), (8, "5", None), (9, "k", "\\1"), (9, "S", "ſ"), (10, "ß", "ss"), (11, "σ", "s"), (12, "ss", "[ss]"), (13, "[", "(")]
+    rng = random.Random(1)
+    some = lambda n: "".join(rng.choice("abcÄß .") for _ in range(n))
+    rules += [(20 + i, some(rng.randint(1, 4)), some(rng.randint(0, 3))) for i in range(300)]
+    docs = docs.union(spark.createDataFrame([(10 + i, some(200)) for i in range(40)], docs.schema))
+    table = spark.createDataFrame(rules, "rule_no int, search string, replace string")
+    given = sorted((no, search, to or "") for no, search, to in rules if search)
+
+    def one_by_one(pairs):
+        """By patterns in plans, some rules at a time."""
+        df = docs
+        for i in range(0, len(pairs), 50):
+            df = spark.createDataFrame(df.withColumn("text", T.custom_replacements(F.col("text"), pairs[i : i + 50])).collect(), docs.schema)
+        return sorted(str(r.text) for r in df.collect())
+
+    for n in (11, rule_tables.FOLD, rule_tables.FOLD + 1, len(given)):
+        used = table.where(F.col("rule_no") <= given[n - 1][0])
+        out = lambda *how: sorted(str(r.text) for r in rule_tables.apply_rule_table(docs, used, *how).collect())  # noqa: B023, E731
+        want = one_by_one([x[1:] for x in given[:n]])
+        assert out() == want and out(0) == want and out(0, 300 if n < 50 else 500) == want
+    plan = rule_tables.apply_rule_table(docs, table)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_case_is_ignored_as_in_patterns(spark):
+    """Each character beside its folded form and the other cases, in the JVM's patterns and here."""
+    from lectern.functions.rules import any_case, folded
+
+    every = [chr(i) for i in [*range(32, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0x2100, 0x2190)] if chr(i).isalpha()]
+    pairs = sorted({(a, b) for a in every for b in (a.upper(), a.lower(), a.upper().lower(), a.lower().upper(), "s", "k", "i", "ß") if len(b) == 1})
+    df = spark.createDataFrame([(a, b, any_case(a), any_case("x" + a), "x" + b) for a, b in pairs], "a string, b string, p string, q string, xb string")
+    hits = {(r.a, r.b) for r in df.where("regexp_like(b, concat('(?iu)', p))").collect()}
+    assert hits == {(r.a, r.b) for r in df.where("regexp_like(xb, concat('(?iu)', q))").collect()}
+    assert hits == {(a, b) for a, b in pairs if folded(a) == folded(b)}
+
+
+def test_search_patterns(spark):
+    df = spark.createDataFrame([("Anna und Otto",)], "t string")
+    run = lambda *x: tuple(df.select(T.search_replace(F.col("t"), *x, regex=True).alias("r")).select("r.text", "r.n_hits").first())
+    same = "Anna und Otto"
+    for bad in ("(?P<n>a)", "(", "a{2,1}", "[a", "(?<=a*)b", "\\"):
+        assert run(bad, "x") == (same, 0)
+    assert run("(?<n>[nt])[nt]", "<$<n>>") == ("A<n>a und O<t>o", 2)
+    assert run("a", "$1") == ("$1nn$1 und Otto", 2)
+    assert run("(a)(n)?", "$2$1$3$&$$") == ("nA$3An$na$3a$ und Otto", 2)
+    assert run("\\(|[(]|(o)", "$10\\$<x>") == ("Anna und " + "O0\\$<x>tto0\\$<x>"[0:0] + "O0\\$<x>tt" + "o0\\$<x>", 2)
+
+
+def test_long_texts_in_one_pass(spark):
+    """A million characters cost about what a text of the same length costs that is cut rarely, and pieces are all there."""
+    import time
+
+    base = "Dies ist ein langer Satz mit Wörtern, der weiter geht; und noch einer. "
+    took = {}
+    for n in (500_000, 2_000_000):
+        one = spark.createDataFrame([((base * (n // len(base) + 1))[:n],)], "t string").cache()
+        for _ in range(2):
+            t = time.time()
+            row = one.select(T.split_long_paragraph(F.col("t")).alias("p"), S.smart_split(F.col("t"), 1000).alias("c"), F.col("t")).first()
+            took[n] = time.time() - t
+        assert " ".join(row.p).split() == row.t.split() and "".join(row.c) == row.t and max(map(len, row.p)) <= 1000
+    assert took[2_000_000] < 5 * took[500_000] + 1
+
+
+def test_null_texts_keep_their_row(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a. b")], "doc_id long, text string")
+    for f in (S.explode_lines, S.explode_paragraphs, S.explode_sentences, S.explode_chunks):
+        kept = f(df, keep_empty=True)
+        assert {r.doc_id for r in kept.collect()} == {1, 2, 3}
+        assert 1 not in {r.doc_id for r in f(df).collect()}
+
+
+def test_stage_lines_are_spelled_as_spoken(spark):
+    from lectern.plans.prepare import CleaningOptions, prepare_script
+
+    df = spark.createDataFrame([(1, "PAUSE: atme ins Chakra\nDas Chakra")], "doc_id long, text string")
+    assert prepare_script(df).first().text == "PAUSE: atme ins Tschakra [PAUSE 15s]\nDas Tschakra"
+    assert "ins Chakra" in prepare_script(df, o=CleaningOptions(script=True, phonetic=False)).first().text
+
+
+@pytest.mark.parametrize("block", [3, 50, 100_000])
+def test_running_sums_of_a_hot_key(spark, block):
+    import random
+
+    from lectern.operators import analytics as A
+    from lectern.operators import running as N
+
+    rng = random.Random(3)
+    rows = [(None if rng.random() < 0.03 else "hot" if rng.random() < 0.9 else rng.choice("abc"), rng.randint(0, 300), i, rng.randint(0, 9)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, t int, i long, v int")
+    got = {r.i: r for r in A.usage_totals(df.selectExpr("k", "t", "i", "v as p", "v * 2 as o"), "k", ["t", "i"], "p", "o").collect()}
+    mean = {r.i: r for r in A.recent_chunk_avg(df, "k", ["t", "i"], "v", block=block).collect()}
+    assert len(got) == len(mean) == 2000
+    for key in (None, "hot", "a", "b", "c"):
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
+        total = 0
+        for n, r in enumerate(own):
+            total += r[3]
+            last = [x[3] for x in own[max(0, n - 4) : n + 1]]
+            assert got[r[2]].prompt_total == total and got[r[2]].output_total == 2 * total
+            assert abs(mean[r[2]].recent_avg - sum(last) / len(last)) < 1e-5 and mean[r[2]].remaining == len(own) - n - 1
+    parts = N.running(df, ["k"], ["t", "i"], {}, parts=8)
+    assert parts.count() == 2000 and N.running(df.limit(0), ["k"], ["t"], {}).count() == 0
 
 
 def test_one_narrow_stage_and_each_step_once(spark, tiny):

@@ -6,8 +6,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.sources import files
-from lectern.streaming import streams
+from lectern.operators.rule_tables import load_rules
+from lectern.sources import files, text_files
+from lectern.streaming import session_table, streams
 
 
 def archive(name, text):
@@ -41,6 +42,30 @@ def test_decode(spark, folder):
     assert {r.path.rpartition("/")[2]: (r.charset, r.text) for r in rows} == {"utf.txt": ("utf-8", "Grüße"), "bom.txt": ("utf-8", "Grüße"), "old.txt": ("cp1252", "Grüße für die Bäume und das Öl")}
 
 
+def test_decode_as_browsers_do(spark):
+    """Bytes that cp1252 leaves open are control characters; what a torn umlaut looks like decides; no Python worker."""
+    rows = [("a", "Er sagte „ja“ für die Bäume".encode("cp1252") + b"\x81"), ("b", b"\xc3\xbc und \xe4"), ("c", "5 €".encode("cp1252")), ("d", "\ufeffé".encode())]
+    df = files.decode_text(spark.createDataFrame(rows, "path string, content binary"))
+    assert {r.path: (r.charset, r.text) for r in df.collect()} == {"a": ("cp1252", "Er sagte „ja“ für die Bäume\x81"), "b": ("iso8859_15", "ÃŒ und ä"), "c": ("cp1252", "5 €"), "d": ("utf-8", "é")}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    every = bytes(range(128, 256))
+    one = spark.createDataFrame([(every,)], "c binary").select(files.single_bytes(F.col("c"), "cp1252"), files.single_bytes(F.col("c"), "iso8859_15")).first()
+    left_open = {0x81, 0x8D, 0x8F, 0x90, 0x9D}
+    assert one[0] == "".join(chr(b) if b in left_open else bytes([b]).decode("cp1252") for b in every) and one[1] == every.decode("iso8859_15")
+
+
+def test_read_files(spark, folder, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, content in {"sub/a.TXT": b"A", "blank.txt": " \u00a0\n".encode(), "long.txt": b"x" * 900, "a.docx": DOCX, "bad.odt": b"PK..", "n.pdf": b"%"}.items():
+        (tmp_path / name).write_bytes(content)
+    df = files.read_files(spark, str(tmp_path), 800)
+    assert {r.path.rpartition("/")[2]: (r.text, r.status.split(":")[0]) for r in df.collect()} == {"a.TXT": ("A", "ok"), "blank.txt": (None, "no text"), "long.txt": (None, "too large"), "a.docx": ("Eins\n\nZwei", "ok"), "bad.odt": (None, "unreadable"), "n.pdf": (None, "no reader for this kind")}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("FileScan")[1:]]
+    assert sum("content" in x.split("ReadSchema")[1][:120] for x in scans) == 3 and sum("LessThanOrEqual(length,800)" in x for x in scans) >= 3
+
+
 def test_extract(spark, folder):
     rows = {r.path.rpartition("/")[2]: (r.text, r.status) for r in files.extract_docx(files.scan_files(spark, folder, "*.docx")).collect()}
     assert rows == {"a.docx": ("Eins\n\nZwei", "ok"), "bad.docx": (None, "no archive"), "word.docx": (None, "old Word format")}
@@ -63,7 +88,40 @@ def test_bad_archives(spark):
 def test_members_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(files, "MAX_UNPACKED", 100)
     with pytest.raises(ValueError, match="unpacked"):
-        files._member(ODT, "content.xml")
+        files._odt(ODT)
+
+
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"'
+BODIES = [
+    ("<w:p><w:pPr><w:tabs><w:tab/></w:tabs></w:pPr><w:r><w:t>A</w:t><w:tab/><w:t>B</w:t><w:br/><w:t>C</w:t></w:r></w:p>", "A\tB\nC"),
+    ("<w:p><w:r><w:t>Out</w:t></w:r><w:r><w:txbxContent><w:p><w:r><w:t>In</w:t></w:r></w:p></w:txbxContent></w:r><w:r><w:t>side</w:t></w:r></w:p><w:p/>", "Outside\n\nIn"),
+    ("<w:p><w:r><mc:AlternateContent><mc:Choice><w:txbxContent><w:p><w:r><w:t>Box</w:t></w:r></w:p></w:txbxContent></mc:Choice><mc:Fallback><w:p><w:r><w:t>Box</w:t></w:r></w:p></mc:Fallback></mc:AlternateContent></w:r></w:p>", "Box"),
+    ("<w:p><w:r><mc:AlternateContent><mc:Choice/><mc:Fallback><w:t>old</w:t></mc:Fallback></mc:AlternateContent></w:r></w:p>", "old"),
+    ("<w:tbl><w:tr><w:tc><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>2</w:t></w:r></w:p></w:tc></w:tr></w:tbl>", "1\n\n2"),
+    ("<w:r><w:t>no</w:t></w:r><w:r><w:t>paragraph</w:t></w:r>", "no paragraph"),
+    ("<w:p><w:r><w:delText>gone</w:delText><w:t xml:space='preserve'> kept &amp; ü </w:t></w:r></w:p>", " kept & ü "),
+]
+
+
+@pytest.mark.parametrize(("body", "text"), BODIES)
+def test_docx_text(body, text):
+    assert files._docx(archive("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")) == text
+
+
+def test_docx_is_read_piece_by_piece():
+    import tracemalloc
+
+    many = f"<w:document {W}><w:body>" + "<w:p><w:pPr><w:rPr><w:b/><w:i/></w:rPr></w:pPr><w:r><w:t>x</w:t></w:r></w:p>" * 200_000 + "</w:body></w:document>"
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", many)
+    tracemalloc.start()
+    text = files._docx(content.getvalue())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) == 200_000 * 3 - 2 and peak < 2 * len(many)
+    with pytest.raises(ValueError, match="entities"):
+        files._docx(archive("word/document.xml", '<!DOCTYPE a [<!ENTITY b "cc">]><a>&b;</a>'))
 
 
 def test_decode_keeps_rows_without_content(spark):
@@ -76,14 +134,26 @@ def test_write_corpus(spark, tmp_path):
     files.write_corpus(df, str(tmp_path / "rows"), F.lit("2024-01-02 03:04:05").cast("timestamp"))
     row = spark.read.parquet(str(tmp_path / "rows")).first()
     assert (row.file, row.value) == ("a_b_c_bereinigt_2024-01-02T03-04-05", "\ufeffEin Text.")
-    files.write_corpus(df, str(tmp_path / "out"), F.lit("2024-01-02 03:04:05").cast("timestamp"), as_files=True)
-    (file,) = (tmp_path / "out" / "file=a_b_c_bereinigt_2024-01-02T03-04-05").glob("part-*.txt")
-    assert file.read_bytes() == b"\xef\xbb\xbfEin Text.\n"
+    more = df.union(spark.createDataFrame([("A_b_c.md", "Zwei."), ("a/b:c.txt", "Drei."), ("x", None)], df.schema))
+    for _ in range(2):  # the second time in place of the first
+        files.write_corpus(more, str(tmp_path / "out"), F.lit("2024-01-02 03:04:05").cast("timestamp"), as_files=True)
+    found = {f.name: f.read_bytes().decode() for f in (tmp_path / "out").rglob("*.txt")}
+    end = "_bereinigt_2024-01-02T03-04-05"
+    assert set(found) == {f"A_b_c{end}.txt", f"a_b_c{end}_2.txt", f"a_b_c{end}_3.txt", f"x{end}.txt"} and set(found.values()) == {"\ufeffEin Text.", "\ufeffZwei.", "\ufeffDrei.", "\ufeff"}
+    assert {(r.file, r.value) for r in text_files.read_back(spark, str(tmp_path / "out")).collect()} == set(found.items())
+    assert not list((tmp_path / "out").glob("_staging*"))
+
+
+def test_nothing_is_seen_of_a_failed_write(spark, tmp_path):
+    rows = spark.range(100, numPartitions=4).select(F.concat("id", F.lit(".txt")).alias("file"), F.when(F.col("id") == 77, F.raise_error(F.lit("no"))).otherwise("x").alias("value"))
+    with pytest.raises(Exception, match="no"):
+        text_files.write_files(rows, str(tmp_path / "out"))
+    assert not list((tmp_path / "out").glob("part-*")) and text_files.read_back(spark, str(tmp_path / "out")).count() == 0
 
 
 def test_load_rules():
-    assert files.load_rules('[{"search": "a", "replace": "b"}, {"search": ""}, 3]') == [("a", "b")]
-    assert files.load_rules("{}") == [] and files.load_rules("no json") == []
+    assert load_rules('[{"search": "a", "replace": "b"}, {"search": ""}, 3]') == [("a", "b")]
+    assert load_rules("{}") == [] and load_rules("no json") == []
 
 
 def test_streams(spark, tiny, tmp_path):
@@ -112,3 +182,36 @@ def test_session_stream(spark, tmp_path):
         streams.session_stream(spark.readStream.schema(schema).parquet(f"{home}/in"), f"{home}/t", f"{home}/s").awaitTermination()
     assert {(r.key, r.text) for r in streams.latest(spark, f"{home}/t").collect()} == {("a", "new"), ("b", "b")}
     assert streams.latest(spark, f"{home}/nothing") is None
+
+
+def test_session_table_is_whole_at_any_time(spark, tmp_path, monkeypatch):
+    """A writer that stops between its files and its manifest leaves the table as it was; the batch, run again, is the table."""
+    schema = "key string, text string, saved_at int"
+    table = session_table.SessionTable(spark, str(tmp_path / "t"), buckets=4)
+    batch = lambda n, t: spark.createDataFrame([(f"k{i}", f"{t}{i}", t) for i in range(n)], schema)
+    state = lambda: {(r.key, r.text) for r in table.rows().collect()}
+    table.merge(batch(20, 1), 0)
+    first = state()
+    with monkeypatch.context() as m:
+        m.setattr(session_table.SessionTable, "_commit", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError, match="stopped"):
+            table.merge(batch(10, 2), 1)
+    assert state() == first
+    table.merge(batch(10, 2), 1)
+    second = state()
+    assert second == {(f"k{i}", f"{2 if i < 10 else 1}{i}") for i in range(20)}
+    table.merge(batch(10, 2), 1)
+    assert state() == second
+    old = table.rows()
+    table.merge(batch(1, 3), 2)
+    assert {r.text for r in old.collect()} == {t for _, t in second}  # a reader that began before
+    for k in range(3, 8):
+        table.merge(batch(20, k + 1), k)
+    assert len(list((tmp_path / "t" / "_manifests").glob("*.json"))) == session_table.KEPT and len(list((tmp_path / "t" / "data").glob("*"))) <= session_table.KEPT
+    assert state() == {(f"k{i}", f"8{i}") for i in range(20)}
+    assert session_table.SessionTable(spark, str(tmp_path / "none")).rows() is None
+
+
+def test_sessions_keep_null_keys(spark):
+    rows = spark.createDataFrame([(None, "a", 1), ("9x", "b", 1), ("8x", "c", 1)], "key string, text string, saved_at int")
+    assert {r.text for r in files.upsert_sessions(rows, rows.limit(0), "9").collect()} == {"a", "c"}
