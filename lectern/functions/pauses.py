@@ -37,36 +37,30 @@ def pause_tag(seconds: Column) -> Column:
     return bind(x, lambda v: F.concat(F.lit("[PAUSE "), F.when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(v.cast("string")), F.lit("s]")))
 
 
-def _insert_after(t: Column, pattern: str, inserted: str, skip=None) -> Column:
-    """`inserted` after each match, unless a complete tag lies within NEAR characters of its end in the original text.
+def _insert_after(t: Column, pattern: str, inserted: str) -> Column:
+    """`inserted` after each match, unless a complete tag lies within NEAR characters of its end: one replacement.
 
-    The text falls into pieces that end with a match (two characters or more), so what is near a piece's end lies in it
-    and NEAR / 2 pieces to either side: the work is in proportion to the text.
+    What lies near is looked at from the match's end, so nothing is cut up and no place is counted: a tag that begins near before it
+    and ends there too, one that lies across it, or one behind it, whose end is bounded by where it begins. pattern never gives up
+    what it has matched, so a match that is near a tag is not tried again with another end.
     """
-    tag, most = R.PAUSE_TAG.java(), NEAR // 2
-    parts = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda a, b: F.struct(a.alias("p"), F.coalesce(b, F.lit("")).alias("m")))
-
-    def tagged(found: Column, whole: Column, has: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            before = F.right(F.array_join(F.slice(whole, F.greatest(F.lit(1), i + 2 - most), F.least(i + 1, F.lit(most))), ""), F.lit(NEAR))
-            after = F.left(F.array_join(F.slice(whole, i + 2, F.lit(most)), ""), F.lit(NEAR))
-            none = F.when(has, F.concat(before, after).rlike(tag)).otherwise(F.lit(False))
-            none = none | skip(x["p"], x["m"]) if skip else none
-            return F.concat(x["p"], x["m"], F.when((x["m"] == "") | none, F.lit("")).otherwise(F.lit(inserted)))
-
-        return F.array_join(F.transform(found, lambda x, i: one(x, i)), "")
-
-    return bind(parts, lambda found: bind(F.transform(found, lambda x: F.concat(x["p"], x["m"])), lambda whole: bind(F.contains(t, F.lit("[")), lambda has: tagged(found, whole, has))))
+    tag, any_sign = R.PAUSE_TAG.pattern, "[\\s\\S\U0001d11e]"  # the rare sign makes the engine count characters behind as such
+    shortest = len("[PAUSE 1s]")
+    before = f"(?<!(?=(?iu:{tag})){any_sign}{{{shortest},{NEAR}}})"
+    ahead = "|".join(f"{any_sign}{{{k}}}(?=\\[[^\\]]{{0,{NEAR - k - 2}}}\\]){tag}" for k in range(NEAR - shortest + 1))
+    after = f"(?!(?={any_sign}{{0,{NEAR - shortest}}}\\[)(?iu:{ahead}))"
+    across = f"(?!(?=[^\\]]{{0,{NEAR - 1}}}\\])(?<=(?=(?iu:{tag}))[^\\]\U0001d11e]{{1,{NEAR}}}))"
+    return F.regexp_replace(t, F.lit(f"({pattern}){before}{across}{after}"), F.lit("$1" + inserted))
 
 
 def paragraph_pauses(c: Column, seconds: float = 2.0, space_after: bool = True) -> Column:
-    return bind(c, lambda t: _insert_after(t, r"\n\s*\n+", f" [PAUSE {seconds_text(seconds)}s]" + " " * space_after))
+    return _insert_after(c, r"(?>\n\s*\n+)", f" [PAUSE {seconds_text(seconds)}s]" + " " * space_after)
 
 
 def sentence_pauses(c: Column, seconds: float = 0.8, guard: bool = True) -> Column:
-    short = "(?:" + "|".join(R.quoted(x) for x in R.GUARD) + ")"
-    skip = lambda part, m: m.startswith(".") & F.right(part, F.lit(10)).rlike(f"(?<![\\p{{L}}\\p{{N}}_]){short}\\z")
-    return bind(c, lambda t: _insert_after(t, r"[.!?]\s+", f"[PAUSE {seconds_text(seconds)}s] ", skip if guard else None))
+    short = "|".join(R.quoted(x) for x in R.GUARD)
+    no_abbreviation = f"(?<!(?<![\\p{{L}}\\p{{N}}_])(?:{short})\\.)" if guard else ""
+    return _insert_after(c, rf"[.!?]{no_abbreviation}\s++", f"[PAUSE {seconds_text(seconds)}s] ")
 
 
 def inject_pauses(c: Column, cfg: PauseConfig = PauseConfig()) -> Column:

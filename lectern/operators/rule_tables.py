@@ -17,10 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from lectern.functions.rules import folded
 from lectern.functions.text import custom_replacements
+from lectern.operators.running import running
 from lectern.session import stored
 
 #: Rules that a plan holds; it nests as deep.
@@ -130,3 +131,62 @@ def apply_rule_table(docs: DataFrame, rules: DataFrame, fold: int = FOLD, block:
         docs = stored(docs, "replaced") if i else docs
         docs = docs.withColumn("text", _replacer(docs.sparkSession, some)(F.col("text")))
     return docs
+
+
+#: Rules of a table that are joined with the texts at once; what is sent is bounded by their characters too.
+JOINED = 1000
+
+
+def _finder(spark, block: list[tuple[int, str]]):
+    """Of each text the numbers of the strings of a block that it holds, case ignored."""
+    sent = spark.sparkContext.broadcast(block)
+    ready: list = []
+
+    @pandas_udf(ArrayType(IntegerType()))
+    def found(texts: pd.Series) -> pd.Series:
+        if not ready:
+            import ahocorasick
+
+            of: dict[str, list[int]] = {}
+            for number, literal in sent.value:
+                of.setdefault(folded(literal), []).append(number)
+            ready.append(ahocorasick.Automaton())
+            for literal, numbers in of.items():
+                ready[0].add_word(literal, numbers)
+            ready[0].make_automaton()
+        return texts.map(lambda t: sorted({n for _, numbers in ready[0].iter(folded(t)) for n in numbers}), na_action="ignore")
+
+    return found.asNondeterministic()
+
+
+def rule_hits(docs: DataFrame, rules: DataFrame, joined: int = JOINED, block: int = BLOCK) -> DataFrame:
+    """rule_no, label, replacement and n of each rule in each document that holds it (columns of docs but text stay).
+
+    rules: rule_no, label, replacement, literal (a string that every match holds, whatever its case) and pattern (Java). A rule's
+    pattern is only tried on texts that hold its literal. Few rules meet the texts in a join on that, broadcast, without a shuffle; of
+    many, automata over blocks of literals tell which rules a text holds, and the rules' rows join by number. The result is the same.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    used = rules.where("literal is not null and literal <> '' and pattern is not null").select("rule_no", "label", "replacement", "literal", "pattern")
+    n = F.regexp_count("text", F.col("pattern")).cast("bigint").alias("n")
+    few = used.agg(F.count("*").alias("n"), F.sum(F.length("literal") + F.length("pattern")).alias("size")).first()
+    low = F.lower("text")
+    if few["n"] <= joined and (few["size"] or 0) <= block:
+        # upper case first, as some letters are the same in upper case alone
+        pairs = docs.join(F.broadcast(used), F.contains(low, F.lower("literal")) | F.contains(F.upper("text"), F.upper("literal")))
+        return pairs.select(*rest, "rule_no", "label", "replacement", n).where("n > 0")
+    numbered = stored(used.withColumn("_no", F.monotonically_increasing_id()), "rules")
+    places = stored(running(numbered, [], [F.col("_no")], {}, number="_i"), "numbered-rules")
+    out = None
+    for some in blocks(places.orderBy("_i").select(F.col("_i").cast("string").alias("search"), F.col("literal").alias("replace")), block):
+        held = [(int(i), literal) for i, literal in some]
+        hit = docs.withColumn("_f", _finder(docs.sparkSession, held)(F.col("text"))).select(*rest, "text", F.explode("_f").alias("_i"))
+        part = places.where(F.col("_i").between(held[0][0], held[-1][0]))  # bounded as its block is
+        counted = hit.join(F.broadcast(part), "_i").select(*rest, "rule_no", "label", "replacement", n).where("n > 0")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+def rule_inventory(docs: DataFrame, rules: DataFrame, joined: int = JOINED, block: int = BLOCK) -> DataFrame:
+    """label, replacement, n and n_docs of a table's rules over the corpus; rules that hit nothing have no row."""
+    return rule_hits(docs.select("text"), rules, joined, block).groupBy("label", "replacement").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))

@@ -26,6 +26,7 @@ def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dic
     # the row's own number last: equal rows of a key can be dealt to several parts
     dealt = stored(dealt.repartitionByRange(parts, *keys, *sort, "_row").withColumn("_part", F.spark_partition_id()), "by-range")
     names = [f"_i{i}" for i in range(len(inputs))]
+    # one row for each part and key; without keys as many rows as there are parts
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     part = dealt.groupBy(*keys, "_part").agg(*[F.sum(c).alias(c) for c in names])
     part = part.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{c}") for c in names], F.sum("_i0").over(Window.partitionBy(*keys)).alias("_all"))

@@ -427,6 +427,19 @@ def _(spark, d):
     return A.abbreviation_inventory(dressed(spark, d), 5)
 
 
+#: 300 frequent words as rules that count whole words.
+_WORD_RULES = "select row_number() over (order by n desc, w) as rule_no, w as label, upper(w) as replacement from (select w, count(*) as n from (select unnest(regexp_extract_all(text, '[a-zA-Zäöüéß]+')) as w from documents) where length(w) > 2 group by w order by n desc, w limit 300)"
+
+
+@query("f01_rule_table", O.base("SELECT label, replacement, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_docs FROM (SELECT t.doc_id, r.label, r.replacement, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM dressed) t JOIN (" + _WORD_RULES + ") r ON r.label = t.w GROUP BY ALL) GROUP BY label, replacement"))
+def _(spark, d):
+    """The inventory with a table of rules that come from the data."""
+    words = spark.sql(_WORD_RULES.replace("unnest(", "explode(").replace("]+'))", "]+', 0))").replace("from documents", "from {documents}"), documents=documents(spark, d))
+    end = r"[\p{L}\p{N}_])"
+    rules = words.withColumn("literal", F.col("label")).withColumn("pattern", F.concat(F.lit("(?<!" + end), F.col("label"), F.lit("(?!" + end)))
+    return rule_tables.rule_inventory(dressed(spark, d), rules)
+
+
 @query("f02_issue_profile", O.base(O.issues()))
 def _(spark, d):
     return A.issue_profile(dressed(spark, d))

@@ -150,14 +150,37 @@ def test_rows_stay_whatever_their_ids(spark):
 
 
 def test_pauses_near_tags(spark):
-    """Beside a plain search of the 20 characters to either side."""
+    """Beside a plain search of the 20 characters to either side of each place."""
+    import random
     import re
 
-    texts = ["A. [PAUSE 1s] B. " + "x" * k + ". C! [PAUSE 2.5s]  D? E. F. G. H." for k in range(0, 30, 3)] + ["a! " * 30 + "[PAUSE 1s]" + " b?" * 30]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(P.sentence_pauses(F.col("t"), guard=False)).collect()]
+    rng = random.Random(4)
+    bits = ["a", "bc", " ", ". ", "! ", "\n", "\n\n", "  \n\n", " \n \n\n ", "x" * 9, "𝒳😀", "[PAUSE 2s]", "[pause 0.8s]", "[PAUSE  12.5s]", "[PAUSE \n\n2s]", "[PAUSE \n\n\n\n\n\n\n\n\n\n2s]", "[", "]"]
+    texts = ["A. [PAUSE 1s] B. " + "x" * k + ". C! [PAUSE 2.5s]  D? E. F. G. H." for k in range(0, 30, 3)] + ["".join(rng.choice(bits) for _ in range(60)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = df.select(P.sentence_pauses(F.col("t"), guard=False), P.paragraph_pauses(F.col("t"))).collect()
     for t, out in zip(texts, got, strict=True):
-        near = lambda e: re.search(r"\[PAUSE\s+[\d.]+s\]", t[max(0, e - 20) : e + 20])  # noqa: B023, E731
-        assert out == re.sub(r"[.!?]\s+", lambda m: m[0] + ("" if near(m.end()) else "[PAUSE 0.8s] "), t)
+        near = lambda e: re.search(r"(?i)\[PAUSE\s+[\d.]+s\]", t[max(0, e - 20) : e + 20])  # noqa: B023, E731
+        assert out[0] == re.sub(r"[.!?]\s+", lambda m: m[0] + ("" if near(m.end()) else "[PAUSE 0.8s] "), t)
+        assert out[1] == re.sub(r"\n\s*\n+", lambda m: m[0] + ("" if near(m.end()) else " [PAUSE 2s] "), t)
+
+
+def test_rule_inventory(spark, tiny):
+    """The same counts joined and by automata; the built-in abbreviations as a table."""
+    from lectern.functions import rules as R
+    from lectern.operators import analytics as A
+    from lectern.operators import rule_tables
+    from lectern.plans.corpus import dressed
+
+    docs = dressed(spark, tiny)
+    rows = [(i, label, to, label, A.abbreviation_pattern(label)) for i, (label, to) in enumerate(R.abbreviations())] + [(900, "none", "", "qqq", "qqq"), (901, "null", "", None, "x"), (902, "Ä", "", "ä", "(?iu)Ä")]
+    rules = spark.createDataFrame(rows, "rule_no int, label string, replacement string, literal string, pattern string")
+    out = lambda *how: {tuple(r) for r in rule_tables.rule_inventory(docs, rules, *how).collect()}
+    joined = out()
+    assert {r for r in joined if r[0] != "Ä"} == {tuple(r) for r in A.abbreviation_inventory(docs).collect()}
+    assert out(5) == joined and out(5, 60) == joined
+    plan = rule_tables.rule_hits(docs, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan and "hashpartitioning" not in plan
 
 
 def test_rule_tables(spark):
