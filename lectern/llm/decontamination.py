@@ -9,15 +9,16 @@ Words that cannot be part of a window are passed over first, on whole slices: a
 row as the shortest window has, whose neighbours also follow each other in some item. What is left is compared
 word for word.
 
-The items are taken in blocks of at most BLOCK_WORDS words, so that an automaton's size is bounded however many
-items there are; each block is read from its own partition's rows and broadcast, and the documents pass all blocks in one
-chain of narrow steps. A benchmark is a set of test items, so there are few blocks; a table as large as a corpus is none.
+The items are taken in blocks of at most BLOCK_WORDS words, so that an automaton's size is bounded however many items there
+are. A block is read when its turn comes and broadcast; the documents pass it in one narrow step, and where there are more blocks
+their hits are written before the next one is sent. So driver and workers hold one block and one automaton, and each worker builds a
+block's automaton once. One block is all that most benchmarks have.
 
 clean() cuts hit words until no window is left: a cut brings the words around it together, so a text that was cut is matched
-again, in the task that holds it. What was hit in all passes together counts for the coverage, against the words of the text
-as it came.
+again, with one block in the task that holds it, with more as a table of the texts that were cut. What was hit in all passes
+together counts for the coverage, against the words of the text as it came.
 
-Nulls: null texts have no words; items with a null id hit words but are not listed. An item or document without
+Very long texts: all words are looked at. Nulls: null texts have no words; items with a null id hit words but are not listed. An item or document without
 words does nothing. Repeated items count once by their id. Empty tables give empty results, or no hits. Further
 columns are not read, except by clean(), which keeps them.
 """
@@ -34,7 +35,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Words, as_text, byte_table, columns_of, place_of, slices, tidy
+from lectern.llm.common import Words, as_text, byte_table, columns_of, place_of, slices, tidy, written
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -271,14 +272,17 @@ def _step(block, window: int, text: int, spans: int, found: int, words: int):
 
 
 _built: dict[str, Matcher] = {}
+#: How often this worker has built a matcher.
+built = 0
 
 
 def _matcher(key: str, items: list[tuple[str | None, list[bytes]]], window: int) -> Matcher:
-    """Built once in a worker, which serves many tasks."""
+    """Built once in a worker, which serves many tasks; the one before it is given up."""
+    global built
     if key not in _built:
-        while len(_built) >= 4:
-            _built.pop(next(iter(_built)))
+        _built.clear()
         _built[key] = Matcher(items, window)
+        built += 1
     return _built[key]
 
 
@@ -294,21 +298,48 @@ class Block:
         return self.items.value
 
 
-def shared_blocks(benchmark: DataFrame) -> list[Block]:
+def shared_blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Block]:
+    """The blocks, one after another; the driver reads a block when it is asked for, and holds none. One empty block where there
+    are no items."""
     context = benchmark.sparkSession.sparkContext
-    return [Block(context.broadcast(b), uuid.uuid4().hex) for b in blocks(benchmark)] or [Block(context.broadcast([]), uuid.uuid4().hex)]
+    none = True
+    for b in blocks(benchmark, most):
+        none = False
+        yield Block(context.broadcast(b), uuid.uuid4().hex)
+    if none:
+        yield Block(context.broadcast([]), uuid.uuid4().hex)
+
+
+def _ahead(some: Iterator[Block]) -> Iterator[tuple[Block, bool]]:
+    """Each block, and whether it is the last."""
+    held = next(some)
+    for x in some:
+        yield held, False
+        held = x
+    yield held, True
+
+
+def _found_in(df: DataFrame, benchmark: DataFrame, window: int, most: int, text: int, k: int) -> tuple[DataFrame, Block | None]:
+    """df with the hits of all blocks in its columns k to k + 2; and the block where there is one alone. A block's hits are written to
+    the shared folder before the next one is sent, so that no more than one is held anywhere."""
+    alone = None
+    for i, (block, last) in enumerate(_ahead(shared_blocks(benchmark, most))):
+        alone = block if last and not i else None
+        df = df.mapInArrow(tidy(_step(block, window, text, k + 1, k + 2, k)), df.schema)
+        if not last or i:
+            df = written(df, "block-hits")
+            block.items.unpersist()
+    return df, alone
+
 
+def _with_hits(docs: DataFrame) -> DataFrame:
+    df = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return df.select("*", F.lit(0).cast("bigint").alias("_n"), F.array().cast(SPANS).alias("_spans"), F.array().cast("array<string>").alias("_items"))
 
-def matched(docs: DataFrame, all_blocks: list[Block], window: int = WINDOW) -> DataFrame:
+
+def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> DataFrame:
     """docs, columns renamed c0, c1, ..., with _n (words), _spans (of hit words, unmerged) and _items (ids as strings)."""
-    names = docs.columns
-    text = place_of(docs, "text")
-    df = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    df = df.select("*", F.lit(0).cast("bigint").alias("_n"), F.array().cast(SPANS).alias("_spans"), F.array().cast("array<string>").alias("_items"))
-    k = len(names)
-    for block in all_blocks:
-        df = df.mapInArrow(tidy(_step(block, window, text, k + 1, k + 2, k)), df.schema)
-    return df
+    return _found_in(_with_hits(docs), benchmark, window, most, place_of(docs, "text"), len(docs.columns))[0]
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -321,9 +352,9 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and hit_spans of each document."""
-    df = matched(columns_of(docs, "doc_id", "text"), shared_blocks(benchmark), window)
+    df = matched(columns_of(docs, "doc_id", "text"), benchmark, window, most)
     spans = F.sort_array("_spans")
     start = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("bigint").alias("n"))
     n_hit = F.aggregate(spans, start, lambda a, x: F.struct(F.greatest(a["upto"], x["stop"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(a["upto"], x["first"]))).alias("n")), lambda a: a["n"])
@@ -339,12 +370,13 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     return raw.decode()
 
 
-def _removed(text: int, n_chars: int | None, all_blocks: list[Block], window: int, max_coverage: float):
-    """Cuts the hit words out of the texts until none is hit; drops documents beyond the coverage."""
+def _removed(text: int, n_chars: int | None, block: Block | None, window: int, max_coverage: float):
+    """Cuts the hit words out of the texts and drops documents beyond the coverage. With one block alone a text is looked at again
+    until nothing is hit; else it keeps its hits, which say that it has to be."""
 
     def again(cut: str) -> list[tuple[int, int]]:
         w = Words(as_text(pa.array([cut])), TABLE)
-        return _merged([{"first": a, "stop": b} for block in all_blocks for s, _ in _matcher(block.key, block.value, window).match(w).values() for a, b in s])
+        return _merged([{"first": a, "stop": b} for s, _ in _matcher(block.key, block.value, window).match(w).values() for a, b in s])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,18 +386,19 @@ def _removed(text: int, n_chars: int | None, all_blocks: list[Block], window: in
                 yield batch
                 continue
             texts, keep = batch.column(text).to_pylist(), np.ones(batch.num_rows, bool)
-            counts = batch.column("_n").to_pylist()
+            counts, hits = batch.column("_words").to_pylist(), batch.column("_hit").to_pylist()
             for i in dirty:
-                found, hit = _merged(spans[i]), 0
+                found = _merged(spans[i])
                 while found:
-                    hit += sum(b - a for a, b in found)
-                    keep[i] = hit <= max_coverage * counts[i]
+                    hits[i] += sum(b - a for a, b in found)
+                    keep[i] = hits[i] <= max_coverage * counts[i]
                     if not keep[i]:
                         break
                     texts[i] = cut_out(texts[i], found)
-                    found = again(texts[i])
+                    found = again(texts[i]) if block else []
             columns = list(batch.columns)
             columns[text] = pa.array(texts, columns[text].type)
+            columns[batch.schema.get_field_index("_hit")] = pa.array(hits, pa.int64())
             if n_chars is not None:
                 old = columns[n_chars].to_pylist()
                 columns[n_chars] = pa.array([len(t) if s else o for t, s, o in zip(texts, spans, old, strict=True)], columns[n_chars].type)
@@ -374,10 +407,46 @@ def _removed(text: int, n_chars: int | None, all_blocks: list[Block], window: in
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
-    """The documents with all hit words cut out (and n_chars, where there is one, set anew), without those of whose words more
-    than max_coverage are hit."""
-    names, all_blocks = docs.columns, shared_blocks(benchmark)
-    df = matched(docs, all_blocks, window)
-    df = df.mapInArrow(_removed(place_of(docs, "text"), names.index("n_chars") if "n_chars" in names else None, all_blocks, window, max_coverage), df.schema)
-    return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, most: int = BLOCK_WORDS) -> DataFrame:
+    """The documents with all hit words cut out until none is hit (and n_chars, where there is one, set anew), without those of whose
+    words more than max_coverage are hit. Where the items are more than one block, texts that were cut are looked at again as a
+    table, which holds fewer each time."""
+    names, k, text = docs.columns, len(docs.columns), place_of(docs, "text")
+    n_chars = place_of(docs, "n_chars") if "n_chars" in {c.lower() for c in names} else None
+    df, alone = _found_in(_with_hits(docs), benchmark, window, most, text, k)
+    out = None
+    while True:
+        first = out is None
+        df = df.withColumn("_words", F.col("_n")).withColumn("_hit", F.lit(0).cast("bigint")) if first else df
+        cut = df.mapInArrow(_removed(text, n_chars, alone, window, max_coverage), df.schema)
+        if alone is not None:
+            out = cut
+            break
+        cut = written(cut, "cut")
+        done = cut.where(F.size("_spans") == 0)
+        out = done if first else out.unionByName(done)
+        dirty = cut.where(F.size("_spans") > 0)
+        if not dirty.limit(1).count():
+            break
+        plain = dirty.withColumns({"_spans": F.array().cast(SPANS), "_items": F.array().cast("array<string>")})
+        df = _found_in(plain, benchmark, window, most, text, k)[0]
+    return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _sql(window: int = WINDOW) -> str:
+    """The report in DuckDB SQL: windows of items beside the same numbers of words of documents."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+with items as (select cast(item_id as varchar) as item_id, {words} as w from benchmark),
+windows as (select distinct item_id, m, array_to_string(w[i : i + m - 1], ' ') as s from (select item_id, w, least(len(w), {window}) as m, unnest(range(1, len(w) - least(len(w), {window}) + 2)) as i from items where len(w) > 0)),
+texts as (select row_number() over () as row, doc_id, {words} as w from documents),
+places as (select row, m, i, array_to_string(w[i : i + m - 1], ' ') as s from (select row, w, m, unnest(range(1, len(w) - m + 2)) as i from texts, (select distinct m from windows))),
+hits as (select p.row, p.i, p.m, x.item_id from places p join windows x on x.m = p.m and x.s = p.s),
+covered as (select row, count(distinct k) as n_hit from (select row, unnest(range(i, i + m)) as k from hits) group by row),
+found as (select row, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct row, item_id from hits) group by row)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from texts t left join covered c on c.row = t.row left join found f on f.row = t.row
+"""
+
+
+SQL = _sql()

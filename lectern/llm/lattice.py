@@ -302,3 +302,13 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, bucket: int = BUCK
     joined = join_hot(good.select("vec_id", "vec", "label", "_h"), each, "_h", counts, "inner").where((F.col("vec") == F.col("_vec")) & (F.col("label") == F.col("_label")))
     alone = rows.where("not _sound").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.select("vec_id", "n_links", "component_id").unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+SQL = f"""
+with recursive vectors as (select row_number() over () as row, vec_id, cast(embedding as double[]) as e, label from embeddings),
+links as (select a.row as a, b.row as b from vectors a join vectors b on a.label = b.label and a.row <> b.row where list_cosine_similarity(a.e, b.e) >= {LEAST}),
+reached as (select row, row as other from vectors union select r.row, l.b from reached r join links l on l.a = r.other),
+degrees as (select a, count(*) as n from links group by a)
+select v.vec_id, coalesce(any_value(d.n), 0) as n_links, min(o.vec_id) as component_id, v.vec_id = min(o.vec_id) as kept
+from vectors v join reached r on r.row = v.row join vectors o on o.row = r.other left join degrees d on d.a = v.row group by v.row, v.vec_id
+"""

@@ -3,12 +3,12 @@
 Each text gets counts of words, symbols, repeated lines and repeated three-word windows. A host is a value of
 `source` (documents carry no address). Per host and rule the failures are summed; an empirical beta prior,
 fitted by the moments of the hosts' own rates, shrinks them, so that a host with few documents keeps near the
-corpus. The verdict goes back to the documents: on a host where a rule's shrunken rate is beyond HOST_LIMIT,
-documents that fail this rule's lower bound go too; what fails a rule outright goes everywhere. Documents that
-fail nothing are kept, also on bad hosts.
+corpus. A host is bad in a rule where, by its posterior, its rate is likely above that of the corpus: SURE standard
+deviations, which is odds of three to one. The verdict goes back to the documents: on a bad host documents that fail this
+rule's lower bound go too; what fails a rule outright goes everywhere. Documents that fail nothing are kept, also on bad hosts.
 
 Nulls: a null text has no words and fails; a null source is a host like others. Empty tables give empty
-results. Repeated rows are judged alike and each counts. Further columns are not read.
+results. Repeated rows are judged alike and each counts. Very long texts are judged whole. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from lectern.llm.common import columns_of, place_of, written
 
 MIN_WORDS = 50
-#: Of all documents of a host.
-HOST_LIMIT = 0.3
+#: Standard deviations of a host's posterior by which its mean lies above the corpus rate: odds of three to one.
+SURE = 0.6745
+#: The prior weighs as that many documents at most, and as two at least.
+PRIOR = 200.0
 #: Hosts whose verdicts may be broadcast; beyond, the join is a shuffle with hot hosts dealt over SALT keys.
 BROADCAST_HOSTS = 100_000
 SALT = 64
@@ -91,7 +93,8 @@ def _fails() -> dict[str, tuple[Column, Column]]:
 
 
 def host_rates(feats: DataFrame, host: str = "source") -> DataFrame:
-    """A row for each host: its documents, and for each rule its failures, rate and shrunken rate.
+    """A row for each host: its documents, and for each rule its shrunken rate (p_) and by how many standard deviations of its
+    posterior this lies above the corpus rate (z_).
 
     The prior of a rule is beta(m k, (1 - m) k): m is the corpus rate, k = m (1 - m) / v - 1 with v the hosts'
     variance about m beyond that of chance (hosts weigh by their documents), so hosts that differ little are drawn
@@ -101,20 +104,22 @@ def host_rates(feats: DataFrame, host: str = "source") -> DataFrame:
     sums = written(feats.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *[F.count_if(fails[r][0]).alias(f"f_{r}") for r in RULES]), "hosts")
     total = sums.agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), *[F.sum(f"f_{r}").alias(r) for r in RULES]).first()
     if not total["hosts"]:
-        return sums.select("host", "n", *[F.lit(0.0).alias(f"p_{r}") for r in RULES])
+        return sums.select("host", "n", *[F.lit(0.0).alias(f"{x}_{r}") for r in RULES for x in "pz"])
     mean = {r: total[r] / total["n"] for r in RULES}
     spread = sums.agg(*[(F.sum(F.col("n") * F.pow(F.col(f"f_{r}") / F.col("n") - mean[r], 2) - mean[r] * (1 - mean[r])) / F.greatest(F.lit(1), F.sum(F.col("n") - 1))).alias(r) for r in RULES]).first()
     out = []
     for r in RULES:
         m, v = mean[r], spread[r]
-        k = min(1e6, max(2.0, m * (1 - m) / v - 1)) if v > 0 else 1e6
-        out.append(((F.col(f"f_{r}") + m * k) / (F.col("n") + k)).alias(f"p_{r}"))
+        k = min(PRIOR, max(2.0, m * (1 - m) / v - 1)) if v > 0 else PRIOR
+        p = (F.col(f"f_{r}") + m * k) / (F.col("n") + k)
+        deviation = F.sqrt(p * (1 - p) / (F.col("n") + k + 1))
+        out += [p.alias(f"p_{r}"), F.when(deviation > 0, (p - m) / deviation).otherwise(0.0).alias(f"z_{r}")]
     return sums.select("host", "n", *out)
 
 
-def with_verdict(feats: DataFrame, hosts: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """feats with kept and the rules that failed. Only hosts beyond the limit in some rule take part in the join."""
-    bad = hosts.select("host", *[(F.col(f"p_{r}") > host_limit).alias(f"_b_{r}") for r in RULES])
+def with_verdict(feats: DataFrame, hosts: DataFrame, host: str = "source", sure: float = SURE) -> DataFrame:
+    """feats with kept and the rules that failed. Only hosts that are bad in some rule take part in the join."""
+    bad = hosts.select("host", *[(F.col(f"z_{r}") > sure).alias(f"_b_{r}") for r in RULES])
     bad = written(bad.where(" or ".join(f"_b_{r}" for r in RULES)), "bad-hosts")
     if bad.count() <= BROADCAST_HOSTS:
         joined = feats.join(F.broadcast(bad), F.col(host).eqNullSafe(F.col("host")), "left")
@@ -126,16 +131,16 @@ def with_verdict(feats: DataFrame, hosts: DataFrame, host: str = "source", host_
     return joined.withColumn("failed_rules", failed).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.size("failed_rules") == 0)).drop("host", *[f"_b_{r}" for r in RULES])
 
 
-def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+def judge(docs: DataFrame, sure: float = SURE) -> DataFrame:
     """doc_id, the counts, base_failed, kept and failed_rules of each document.
 
     The counts are written once, without the texts; hosts are summed from them and joined back to them.
     """
     feats = written(features(columns_of(docs, "doc_id", "text", "source"), ["doc_id", "source"]), "rule-counts")
-    return with_verdict(feats, host_rates(feats), host_limit=host_limit).drop("source", "n_lines")
+    return with_verdict(feats, host_rates(feats), sure=sure).drop("source", "n_lines")
 
 
-def filtered(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+def filtered(docs: DataFrame, sure: float = SURE) -> DataFrame:
     """The documents that are kept, with their columns.
 
     The counts are worked out once: the rows are written with them, hosts are summed from there, and the rows that pass are
@@ -147,4 +152,35 @@ def filtered(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     rows = features(plain.select("*", at["doc_id"].alias("doc_id"), at["text"].alias("text"), at["source"]), [*plain.columns, "doc_id", "_source"])
     counted = written(rows, "counted")
     hosts = host_rates(counted, "_source")
-    return with_verdict(counted, hosts, "_source", host_limit).where("kept").select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])
+    return with_verdict(counted, hosts, "_source", sure).where("kept").select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])
+
+
+_SOFT = {"symbols": ("n_symbols > n_words", "4 * n_symbols > n_words"), "dup_lines": ("n_lines >= 4 and 2 * n_dup_lines > n_lines", "n_lines >= 4 and 4 * n_dup_lines > n_lines"), "repeats": ("100 * n_repeat_words > 50 * n_words", "100 * n_repeat_words > 35 * n_words"), "long_words": ("word_chars > 30 * n_words", "word_chars > 20 * n_words")}
+
+
+def _sql() -> str:
+    """The whole judgement in DuckDB SQL."""
+    fails = ", ".join(f"({out}) as o_{r}, ({low}) as l_{r}" for r, (out, low) in _SOFT.items())
+    sums = ", ".join(f"count_if(o_{r}) as f_{r}" for r in RULES)
+    mean = ", ".join(f"sum(f_{r}) / sum(n) as m_{r}" for r in RULES)
+    spread = ", ".join(f"sum(n * (f_{r} / n - m_{r}) ** 2 - m_{r} * (1 - m_{r})) / greatest(1, sum(n - 1)) as v_{r}, any_value(m_{r}) as m_{r}" for r in RULES)
+    prior = ", ".join(f"case when v_{r} > 0 then least({PRIOR}, greatest(2.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) else {PRIOR} end as k_{r}, m_{r}" for r in RULES)
+    shrunk = ", ".join(f"(f_{r} + m_{r} * k_{r}) / (n + k_{r}) as p_{r}, m_{r}, n + k_{r} + 1 as d_{r}" for r in RULES)
+    bad = ", ".join(f"(p_{r} * (1 - p_{r}) > 0 and (p_{r} - m_{r}) / sqrt(p_{r} * (1 - p_{r}) / d_{r}) > {SURE}) as b_{r}" for r in RULES)
+    failed = ", ".join(f"case when o_{r} or (b_{r} and l_{r}) then '{r}' end" for r in RULES)
+    return rf"""
+with texts as (select row_number() over () as row, doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select row, i, count(*) over (partition by row, a, b, c) as n from (select row, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from (select row, w, unnest(range(1, len(w) - 1)) as i from texts))),
+covered as (select row, count(distinct i + j) as n from windows, (select unnest([0, 1, 2]) as j) where n > 1 group by row),
+lined as (select *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from texts),
+counts as (select doc_id, source, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) as n_symbols,
+  cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, len(lines) as n_lines from lined l left join covered c on c.row = l.row),
+failing as (select *, (n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words) as base_failed, {fails} from counts),
+hosts as (select source, count(*) as n, {sums} from failing group by source), means as (select {mean} from hosts), spreads as (select {spread} from hosts, means), priors as (select {prior} from spreads),
+shrunk as (select source, {shrunk} from hosts, priors), verdicts as (select source, {bad} from shrunk),
+judged as (select f.*, list_filter([{failed}], lambda x: x is not null) as failed from failing f join verdicts v on f.source is not distinct from v.source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and len(failed) = 0) as kept, array_to_string(failed, ',') as failed_rules from judged
+"""
+
+
+SQL = _sql()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm import collocations, counting, decontamination, lattice, lm, packing, quality_classifier, quality_rules, runs, sharding, simhash, toxicity, warc
 
@@ -22,7 +23,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(table(spark, sf_dir, "documents")).withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +43,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +82,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_runs": op13_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op12_collocations": collocations.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontamination.SQL,
+    "op8_quality_rules": quality_rules.SQL,
+    "op9_warc": warc.SQL,
+    "op11_lattice_neighbours": lattice.SQL,
+    "op12_collocations": collocations.SQL,
+}

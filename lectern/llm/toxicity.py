@@ -5,15 +5,17 @@ texts apart: words that hold a 5- to 7-gram found in too many toxic texts for ch
 there as in ordinary ones. A window's gain is its compressed length under the ordinary
 dictionary less that under both together, so what any text holds gains nothing. Of a text count the largest
 gains and the windows at or above each of THRESHOLDS; a logistic model, fitted to labelled texts that the
-dictionaries did not see, turns them into the score.
+dictionaries did not see, turns them into the score. Where labels are too few for any word to stand out, the dictionary is trained
+on the windows of whole toxic texts.
 
-Only the fit uses labels: at most FIT_TOXIC and FIT_ORDINARY labelled texts of at most FIT_CHARS characters
-(smallest hash of doc_id first; equal texts once), of rows outside the held-out fold. Every whole text is
-scored. Labels, language, source and id are no inputs of a score.
+Only the fit uses labels: at most FIT_TOXIC and FIT_ORDINARY labelled texts (smallest hash of doc_id first; equal texts once, one
+text for each id), of rows outside the held-out fold. A text of more than FIT_CHARS characters is learnt from by FIT_PARTS parts that
+lie evenly over it. Every whole text, however long, is scored. Labels, language, source and id are no inputs of a score.
 
 Nulls: a null text is an empty one; a null id is scored and never learnt from; null labels are no labels.
-Repeated labels of a document count as 1 if any is 1. Without labels of both kinds every score is the share of
-toxic ones (0 without any). Empty tables give empty results. Further columns are not read.
+Repeated labels of a document count as 1 if any is 1; of several texts of a labelled id that with the smallest hash is learnt
+from. With fewer than three labels of either kind every score is the share of toxic ones (0 without any). Empty tables give empty
+results. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import as_text, columns_of, fold, slices, tidy
 
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 3_000, 5_000, 20_000
+FIT_TOXIC, FIT_ORDINARY, FIT_CHARS, FIT_PARTS = 3_000, 5_000, 20_000, 20
 WINDOW, STEP = 64, 48
 ORDINARY_BYTES, TOXIC_BYTES = 320_000, 16_384
 GRAMS = (5, 6, 7)
@@ -148,8 +150,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 0) -> Model:
     learn = [toxic[: 2 * len(toxic) // 3], ordinary[: 2 * len(ordinary) // 3]]
     apart = {n: telling(*learn, n) for n in GRAMS}
     words = [b" %b " % w for b in learn[0] for w in b.split() if any(int.from_bytes((b" %b " % w)[i : i + n], "big") in apart[n] for n in GRAMS for i in range(len(w) + 3 - n))]
-    if not words:
-        return Model(rate)
+    words = words or [w for b in learn[0] for w in windows(b)]
     try:
         content = zstandard.train_dictionary(TOXIC_BYTES, words).as_bytes()
     except zstandard.ZstdError:  # too few samples for the trainer
@@ -167,6 +168,13 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 0) -> Model:
     return model
 
 
+def shortened(text: Column) -> Column:
+    """A text of at most FIT_CHARS characters, or FIT_PARTS parts from all over it that have as many together."""
+    size = FIT_CHARS // FIT_PARTS
+    part = lambda i: F.substr(text, 1 + F.floor(i * (F.length(text) - size) / (FIT_PARTS - 1)).cast("int"), F.lit(size))
+    return F.when(F.length(text) <= FIT_CHARS, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(FIT_PARTS - 1)), part), " "))
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
     """Normal texts and labels to fit on, bounded, outside the held-out fold."""
     known = columns_of(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold("doc_id", 3) != 1)
@@ -174,8 +182,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
     for value, most in ((1, FIT_TOXIC), (0, FIT_ORDINARY)):
         part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
-    texts = columns_of(docs, "doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= FIT_CHARS))
-    rows = texts.join(F.broadcast(ids), "doc_id").select("text", "toxic").distinct().toArrow()
+    texts = columns_of(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    short = texts.select("doc_id", "toxic", shortened(F.col("text")).alias("text"), F.xxhash64("text").alias("_h"))
+    rows = short.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct("_h", "text")).alias("text")).select("text", "toxic").toArrow()
     pairs = sorted({(normal(t), int(k)) for t, k in zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True)})
     return [t for t, _ in pairs], [k for _, k in pairs]
 

@@ -114,7 +114,7 @@ def _as_uri(url: str | None, page_id: int | None) -> str:
 
 def plan(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest; first: the page_id of the response that a revisit refers to, else null; named: whether the
-    record is such a response, and the only row of its page."""
+    record is such a response, and the only row of its page; single: whether the response is, so that its record can be named."""
     rows = columns_of(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     digest = F.sha2("payload", 256)
     by_page = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy(digest.alias("digest"), "page_id").agg(F.count("*").alias("n"))
@@ -122,7 +122,8 @@ def plan(pages: DataFrame) -> DataFrame:
     groups = written(keys, "equal-pages")
     out = join_hot(rows.withColumn("digest", digest), groups.select("digest", "first", "same"), "digest", groups)
     is_first = F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
-    return out.withColumn("named", is_first & (F.col("same") == 1)).withColumn("first", F.when(~is_first, F.col("first"))).drop("same")
+    single = F.coalesce(F.col("same") == 1, F.lit(False))
+    return out.withColumn("named", is_first & single).withColumn("first", F.when(~is_first, F.col("first"))).withColumn("single", single).drop("same")
 
 
 def write(pages: DataFrame, path: str) -> None:
@@ -146,7 +147,8 @@ def write(pages: DataFrame, path: str) -> None:
                     out += segments("response", uid, block, **more)
                 else:
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-                    out.append(record("revisit", uid, block, Profile=PROFILE, Refers_To=record_id(run, row["digest"]), Refers_To_Page_ID=first, **more))
+                    named = {"Refers_To": record_id(run, row["digest"])} if row["single"] else {}  # where the page has several rows none has that id
+                    out.append(record("revisit", uid, block, Profile=PROFILE, **named, Refers_To_Page_ID=first, **more))
             for i in range(0, len(out), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 500], pa.binary())], ["value"])
 
@@ -225,3 +227,11 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     path = path or new_path(pages.sparkSession, "warc")
     write(pages, path)
     return read(pages.sparkSession, path).drop("payload")
+
+
+SQL = f"""
+with pages_ as (select page_id, coalesce(html, '') as h from pages),
+groups as (select h, min(page_id) as least, count(*) as n from pages_ where strlen(h) >= {MIN_REVISIT} group by h)
+select p.page_id, strlen(p.h) as payload_bytes, sha256(p.h) as payload_digest, case when g.least < p.page_id then 'revisit' else 'response' end as record_type, case when g.least < p.page_id then g.least end as refers_to
+from pages_ p left join groups g on g.h = p.h
+"""

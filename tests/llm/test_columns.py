@@ -2,7 +2,7 @@
 
 import pytest
 
-from lectern.llm import counting, decontamination, lm, packing, quality_classifier, quality_rules, runs, sharding, simhash, toxicity, warc
+from lectern.llm import counting, decontamination, lm, near_copies, packing, quality_classifier, quality_rules, runs, sharding, simhash, toxicity, warc
 
 WORDS = "the quick brown fox jumps over a lazy dog and then it sleeps for long hours in its warm den".split()
 TEXT = " ".join(WORDS[i % len(WORDS)] + (str(i % 7) if i % 3 else ".") for i in range(80))
@@ -36,7 +36,8 @@ WHOLE = {
 STAGES = {
     "rules": lambda d, t: quality_rules.filtered(d),
     "classifier": lambda d, t: quality_classifier.filtered(d),
-    "near copies": lambda d, t: simhash.deduplicated(d),
+    "near copies": lambda d, t: near_copies.deduplicated(d),
+    "equal fingerprints": lambda d, t: simhash.deduplicated(d),
     "benchmark": lambda d, t: decontamination.clean(d, t["benchmark"]),
 }
 
@@ -56,7 +57,7 @@ def test_stages_keep_columns(spark, docs, tables, name):
     assert out.columns == docs.columns
     rows = out.collect()
     assert all(r[4:] == ("other", 1, "w", 2, 3) for r in rows)
-    if name == "near copies":
+    if name in ("near copies", "equal fingerprints"):
         assert len({r.text for r in rows}) == len(rows)
     other = docs.toDF("DOC_ID", "Text", "lang", "SOURCE", "x", "n", "word", "h", "c0")
     assert STAGES[name](other, tables).columns == other.columns

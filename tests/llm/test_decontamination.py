@@ -37,15 +37,15 @@ def brute(docs, items, window=10):
 def same(spark, docs, items, **more):
     dd = spark.createDataFrame(docs, "doc_id long, text string")
     bb = spark.createDataFrame(items, "item_id long, text string")
-    got = [tuple(r)[:6] for r in D.report(dd, bb).collect()]
+    got = [tuple(r)[:6] for r in D.report(dd, bb, **more).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, brute(docs, items)))
     return sum(r[5] for r in got)
 
 
-def test_tables(spark, tiny):
+def test_tables(spark, tiny, **more):
     docs = [tuple(r) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").select("item_id", "text").collect()]
-    assert same(spark, docs, items) > 0
+    assert same(spark, docs, items, **more) > 0
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -57,9 +57,27 @@ def test_few_words_and_short_items(spark, seed):
     same(spark, docs, items)
 
 
-def test_blocks(spark, tiny, monkeypatch):
-    monkeypatch.setattr(D, "blocks", lambda b, f=D.blocks: f(b, 200))
-    test_tables(spark, tiny)
+def test_blocks(spark, tiny):
+    """More than eight blocks, one after another; none is built again for a text that was hit."""
+    docs, bench = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/benchmark.parquet")
+    size = sum(len(words(r.text)) for r in bench.collect()) // 8
+    assert len([*D.blocks(bench, size)]) >= 8
+    test_tables(spark, tiny, most=size)
+    whole, cut = (sorted(map(tuple, D.clean(docs, bench, most=most).collect()), key=repr) for most in (D.BLOCK_WORDS, size))
+    assert whole == cut
+
+
+def test_an_automaton_is_built_once(spark, tiny):
+    bench = spark.read.parquet(f"{tiny}/benchmark.parquet")
+    rows = spark.read.parquet(f"{tiny}/documents.parquet").select("text").toArrow().column(0).to_pylist()
+    held = D._with_hits(spark.createDataFrame([(t,) for t in rows], "text string")).toArrow()
+    before, hit = D.built, 0
+    for i, items in enumerate(D.blocks(bench, 300)):
+        block = type("Held", (), {"value": items, "key": f"key{i}"})
+        for out in D._step(block, D.WINDOW, 0, 2, 3, 1)(iter(held.to_batches(max_chunksize=20))):
+            hit += sum(map(bool, out.column("_spans").to_pylist()))
+        assert D.built == before + i + 1 and len(D._built) == 1
+    assert hit > 0
 
 
 def test_empty(spark):

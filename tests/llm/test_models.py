@@ -177,6 +177,44 @@ def test_toxicity(spark):
     assert toxicity.classify(docs.limit(0), known).count() == 0
 
 
+def test_toxicity_by_hand():
+    """Gains, features and score beside plain compression of each window."""
+    import zstandard
+
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice("th er on an re nd ti es".split(), rng.integers(1, 5)))
+    texts = [toxicity.normal(" ".join([word() for _ in range(rng.integers(20, 120))] + ["blockhead dimwitted"] * (3 * (i % 2)))) for i in range(80)]
+    model = toxicity.fit(texts, [i % 2 for i in range(80)])
+    z = zstandard.ZstdCompressionParameters(window_log=20, chain_log=18, hash_log=17, search_log=5, min_match=3, target_length=32, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    size = lambda w, d: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=z).compress(w))
+    scorer = toxicity.Scorer(model)
+    for b in texts[:12]:
+        gains = [size(w, model.ordinary) - size(w, model.toxic + model.ordinary) for w in toxicity.windows(b)]
+        assert scorer.gains(b).tolist() == gains
+        top = sorted(gains, reverse=True)
+        x = [top[0], np.mean(top[:2]), np.mean(top[:4]), np.mean(gains), np.log(len(gains)), *[np.log1p(sum(g >= t for g in gains)) for t in toxicity.THRESHOLDS]]
+        assert np.allclose(scorer.features(b), x)
+        scaled = model.weights[0] + ((np.array(x) - model.mean) / model.scale) @ model.weights[1:]
+        assert abs(scorer.score(b) - 1 / (1 + np.exp(-np.clip(scaled, -40, 40)))) < 1e-12
+
+
+def test_toxicity_learns_from_long_texts_and_few(spark):
+    """Sixty texts that are all long, the same cut short, and ids that repeat with other texts."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice("th er on an re nd ti es or en at ed".split(), rng.integers(1, 5)))
+    make = lambda toxic, n: " ".join(word() if not toxic or rng.random() > 0.05 else str(rng.choice(["nastygram", "dimwitted", "blockhead"])) for _ in range(n))
+    for words in (4_500, 2_000, 60):
+        rows = [(i, make(i % 2, words)) for i in range(60)]
+        docs = spark.createDataFrame(rows + [(0, f"another text {i}") for i in range(50)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+        assert len(toxicity.sample(docs, labels)[0]) <= 60
+        got = {r.doc_id: r.score for r in toxicity.classify(docs, labels).where("length(string(doc_id)) > 0 and doc_id > 0").collect()}
+        assert len(set(got.values())) > 10
+        assert np.mean([got[i] for i in got if i % 2]) > np.mean([got[i] for i in got if not i % 2]) + 0.2, words
+    long = "abcdefghij" * 4_000
+    assert spark.createDataFrame([(long,)], "t string").select(toxicity.F.length(toxicity.shortened(toxicity.F.col("t")))).first()[0] == toxicity.FIT_CHARS + toxicity.FIT_PARTS - 1
+
+
 def test_windows_cover():
     for n in (0, 1, 63, 64, 65, 112, 113, 1000):
         b = bytes(i % 251 for i in range(n))
@@ -253,7 +291,7 @@ def test_measures():
 
 def test_pipeline(spark, tiny):
     import corpus_pipeline
-    from lectern.llm import decontamination, quality_rules, simhash
+    from lectern.llm import decontamination, near_copies, quality_rules
 
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     frames = [docs]
@@ -264,7 +302,9 @@ def test_pipeline(spark, tiny):
     ids = [{r.doc_id for r in f.select("doc_id").collect()} for f in frames]
     assert ids[1] == {r.doc_id for r in quality_rules.judge(frames[0]).where("kept").collect()}
     assert ids[2] <= ids[1] and len(ids[2]) > 0.9 * len(ids[1])
-    assert ids[3] == {r.component_id for r in simhash.near_duplicates(frames[2]).collect()}
+    assert ids[3] == {r.doc_id for r in near_copies.deduplicated(frames[2]).collect()} and len(ids[3]) < len(ids[2])
+    packed = frames[5].collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in packed)
     assert decontamination.report(frames[4], spark.read.parquet(f"{tiny}/benchmark.parquet")).where("contaminated").count() == 0
     assert ids[5] == ids[4] and sum(r.length for r in frames[5].collect()) == sum(r.doc_tokens for r in frames[5].where("start = 0").collect())
     assert corpus_pipeline.run(spark, tiny).count() == frames[5].count()

@@ -126,3 +126,5 @@ def test_archives_of_several_runs_are_read_together(spark, tmp_path):
     for h in heads:
         if h["warc-type"] == "revisit" and h["warc-refers-to-page-id"] != "3":
             assert ids[h["warc-refers-to"]]["warc-page-id"] == h["warc-refers-to-page-id"]
+        elif h["warc-type"] == "revisit":
+            assert "warc-refers-to" not in h  # page 3 has two records, so none of them is named

@@ -123,14 +123,26 @@ def test_host_verdicts_by_hand(spark):
     bad = {h: sum(f for f, x in zip(fails, feats, strict=True) if x[2] == h) for h in hosts}
     m = sum(fails) / len(rows)
     v = sum(size[h] * (bad[h] / size[h] - m) ** 2 - m * (1 - m) for h in hosts) / max(1, sum(size[h] - 1 for h in hosts))
-    k = min(1e6, max(2.0, m * (1 - m) / v - 1)) if v > 0 else 1e6
+    k = min(200.0, max(2.0, m * (1 - m) / v - 1)) if v > 0 else 200.0
     rate = {h: (bad[h] + m * k) / (size[h] + k) for h in hosts}
+    worse = {h: rate[h] - m > 0.6745 * (rate[h] * (1 - rate[h]) / (size[h] + k + 1)) ** 0.5 for h in hosts}
     plain = Q.columns_of(docs, "doc_id", "text", "source")
     found = Q.host_rates(Q.written(Q.features(plain, ["doc_id", "source"]), "f"))
     assert {r.host: round(r.p_symbols, 9) for r in found.collect()} == {h: round(r, 9) for h, r in rate.items()}
-    assert rate["bad"] > Q.HOST_LIMIT > max(rate["good"], rate[None])
-    kept = lambda s, n, h: n >= 50 and not (s > n or (rate[h] > Q.HOST_LIMIT and 4 * s > n))
+    assert worse["bad"] and not worse["good"] and not worse[None]
+    kept = lambda s, n, h: n >= 50 and not (s > n or (worse[h] and 4 * s > n))
     expected = sorted((str(i), kept(*x)) for (i, *_), x in zip(rows, feats, strict=True))
     assert sorted((str(r.doc_id), r.kept) for r in Q.judge(docs).collect()) == expected
     done = Q.filtered(docs)
     assert done.columns == docs.columns and sorted(str(r.doc_id) for r in done.collect()) == sorted(i for i, k in expected if k)
+
+
+@pytest.mark.parametrize(("size", "least"), [("sf0.01", 1), ("sf0.1", 10)])
+def test_verdicts_touch_documents(spark, size, least):
+    """On ordinary tables some hosts are likely worse than the corpus, and some of their documents go for it."""
+    from lectern.llm import quality_rules as Q
+
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    with_hosts, without = Q.judge(docs), Q.judge(docs, sure=float("inf"))
+    fewer = without.where("kept").count() - with_hosts.where("kept").count()
+    assert least <= fewer <= 0.02 * docs.count()
