@@ -7,6 +7,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Where recording() notes the tables that are written.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, survives lost executors, cuts lineage."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths of the tables that are written meanwhile."""
+    token = _noted.set([])
+    try:
+        yield _noted.get()
+    finally:
+        _noted.reset(token)
+
+
+def removed(spark: SparkSession, paths: list[str], reader: DataFrame) -> list[str]:
+    """Removes tables, but those that reader reads; returns these. Where reader doesn't say what it reads, all stay."""
+    files = reader.inputFiles()
+    stay = [p for p in paths if not files or any(p.rpartition("/")[2] in f for f in files)]
+    for p in set(paths) - set(stay):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return stay
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

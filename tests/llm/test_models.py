@@ -310,6 +310,28 @@ def test_pipeline(spark, tiny):
     assert corpus_pipeline.run(spark, tiny).count() == frames[5].count()
 
 
+def test_stages_remove_what_others_left(spark, tiny):
+    """Tables that a stage writes for itself go when the next begins, unless they are still read."""
+    import glob
+
+    import corpus_pipeline
+    from lectern.session import shared_dir
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(60)
+    (_, rules), (_, classifier), *_ = corpus_pipeline.STAGES
+    there = lambda: set(glob.glob(f"{shared_dir(spark)}/*"))
+    one = rules(spark, docs, tiny)
+    counted = {p for p in there() if "/counted-" in p and any(p in f for f in one.inputFiles())}
+    assert counted
+    classifier(spark, one, tiny)  # not written in between
+    assert counted <= there()
+    kept = corpus_pipeline.written(rules(spark, docs, tiny), "one")
+    own = set(corpus_pipeline._left[spark.sparkContext.applicationId])
+    classifier(spark, kept, tiny)
+    assert own and not {p.rpartition("/")[2] for p in own} & {p.rpartition("/")[2] for p in there()}
+    assert kept.count() > 0
+
+
 def test_quality_sample_has_long_and_different_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("lang = 'en'").limit(300).collect()
     prose = " ".join(r.text for r in docs)
