@@ -8,7 +8,7 @@ region alone is encoded anew, and the sums above it change. The root holds the c
 A slice's segments are counted together, each different one once, so documents without edits cost no tree.
 
 Edits are (start, stop, replacement) in characters of the text before them, in any order; of two that overlap
-the one that begins later is passed over. Nulls: a null text is empty, has no tokens and no edits; null and
+the one that begins later is passed over. A very long text is a slice of its own. Nulls: a null text is empty, has no tokens and no edits; null and
 repeated ids are counted as they are. Empty tables give an empty result. Further columns are not read.
 """
 

@@ -7,7 +7,7 @@ the open windows with each room, and finds the tightest that fits in a few steps
 Pieces are dealt at random into groups of about PER_GROUP (the number of groups follows the data), and each
 group is packed on its own: a group leaves a few windows that are not full, among thousands.
 
-Nulls: a null text is empty, so it is id 1 alone; null and repeated ids are packed as they are. Empty tables
+A very long text is cut into whole windows and a rest. Nulls: a null text is empty, so it is id 1 alone; null and repeated ids are packed as they are. Empty tables
 give an empty result. Further columns are not read.
 """
 

@@ -5,7 +5,7 @@ layout does not matter. A Feistel network over [0, a) x [0, b), the smallest suc
 permutes the numbers; numbers that leave [0, n) walk on along their cycle. Row at place p goes to shard
 p mod k, slot p div k, so shard and slot can be computed from a row number, and backwards.
 
-Nulls: a null text is empty (size 16, checksum 0), null ids are numbered like others. Repeated rows get a
+Very long texts only give their size and checksum. Nulls: a null text is empty (size 16, checksum 0), null ids are numbered like others. Repeated rows get a
 number each. An empty table gives an empty result. Further columns of the input are not read.
 """
 

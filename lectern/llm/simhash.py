@@ -12,7 +12,7 @@ lost. Of a bucket's links a spanning forest goes on, which keeps what is connect
 
 A bucket beyond BUCKET classes is dealt as pairs of blocks. Components then come from lectern.llm.components.
 
-Nulls: a null text has no words and fingerprint zero, linked like any other; null ids are ignored as smallest
+Very long texts: all shingles count, some at a time. Nulls: a null text has no words and fingerprint zero, linked like any other; null ids are ignored as smallest
 id (a component of nulls only has none). Repeated rows are alike. Empty tables give empty results. Further
 columns are not read, except by deduplicated(), which keeps them.
 """

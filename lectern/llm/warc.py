@@ -10,7 +10,7 @@ ends, the writer's separator), so they lie wherever Spark can write, and file si
 RECORDS_PER_FILE records of at most a segment each. Reading parses whole files; only segments are then grouped
 by origin, ordered, checked against the total length and joined, and the chunks are undone.
 
-Nulls: a null html is an empty payload, a null url an empty target, a null page_id is written as empty and read
+A very long payload is cut into segments. Nulls: a null html is an empty payload, a null url an empty target, a null page_id is written as empty and read
 back as null. It counts as larger than any id; pages equal in id and payload are all responses, under ids of their own, and
 then revisits name their page alone. Empty tables
 give an archive without records. Further columns are not read.
