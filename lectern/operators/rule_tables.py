@@ -170,10 +170,11 @@ def rule_hits(docs: DataFrame, rules: DataFrame, joined: int = JOINED, block: in
     used = rules.where("literal is not null and literal <> '' and pattern is not null").select("rule_no", "label", "replacement", "literal", "pattern")
     n = F.regexp_count("text", F.col("pattern")).cast("bigint").alias("n")
     few = used.agg(F.count("*").alias("n"), F.sum(F.length("literal") + F.length("pattern")).alias("size")).first()
-    low = F.lower("text")
     if few["n"] <= joined and (few["size"] or 0) <= block:
-        # upper case first, as some letters are the same in upper case alone
-        pairs = docs.join(F.broadcast(used), F.contains(low, F.lower("literal")) | F.contains(F.upper("text"), F.upper("literal")))
+        # both cases, as some letters are the same in one of them alone; once for each text and rule, not for each pair
+        texts = docs.withColumns({"_low": F.lower("text"), "_up": F.upper("text")})
+        sent = F.broadcast(used.withColumns({"_l": F.lower("literal"), "_u": F.upper("literal")}))
+        pairs = texts.join(sent, F.contains("_low", F.col("_l")) | F.contains("_up", F.col("_u")))
         return pairs.select(*rest, "rule_no", "label", "replacement", n).where("n > 0")
     numbered = stored(used.withColumn("_no", F.monotonically_increasing_id()), "rules")
     places = stored(running(numbered, [], [F.col("_no")], {}, number="_i"), "numbered-rules")
