@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.rules import bind
 from lectern.functions.text import sanitize, trim
+from lectern.sources import folders
 
 MAX_BYTES = 50 * 1024 * 1024
 KINDS = ("pdf", "docx", "odt", "txt", "rtf")
@@ -49,20 +50,28 @@ def admit(files: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, Data
 READ = ("txt", "docx", "odt")
 
 
-def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, few: int = folders.FEW) -> DataFrame:
     """path, length, text and status of all files in a folder: `ok`, or why there is no text (also where it is blank).
 
     Sizes and kinds are decided by the source: the scan that reads content opens the files of one kind, by its glob, and asks for
-    sizes that can be read (pushed to the source); the others are only listed.
+    sizes that can be read (pushed to the source); the others are only listed. Of a folder with more files than `few` the names are a
+    table and tasks open the files, with the same result, so the driver never holds more names than that.
     """
     of_kind = {"txt": lambda df: df.select("path", "length", F.regexp_replace(decoded(F.col("content"))["text"], r"\A\x{FEFF}", "").alias("text"), F.lit("ok").alias("status"))}
     of_kind |= {kind: (lambda df, read=read: _extract(df, read, "length").select("path", "length", "text", "status")) for kind, read in (("docx", _docx), ("odt", _odt))}
-    rows = [of_kind[kind](scan_files(spark, path, any_case(kind)).where((F.col("length") > 0) & (F.col("length") <= max_bytes))) for kind in READ]
+    table = folders.listed(spark, path)
+    by_source = table is None or table.count() <= few
+    good, bad = admit(scan_files(spark, path).select("path", "length") if by_source else table, max_bytes)
+    if by_source:
+        rows = [of_kind[kind](scan_files(spark, path, any_case(kind)).where((F.col("length") > 0) & (F.col("length") <= max_bytes))) for kind in READ]
+    else:
+        number = {r[0]: r[1] for r in good.groupBy(extension(F.col("path"))).count().collect()}
+        rows = [of_kind[kind](folders.read(good.where(extension(F.col("path")) == kind), number[kind])) for kind in READ if kind in number]
+        rows = rows or [good.select("path", "length", F.lit(None).cast("string").alias("text"), F.lit("ok").alias("status"))]
     text = reduce(DataFrame.unionByName, rows)
     blank = (F.col("status") == "ok") & (trim(F.col("text")) == "")
     text = text.select("path", "length", F.when(~blank, F.col("text")).alias("text"), F.when(blank, "no text").otherwise(F.col("status")).alias("status"))
-    listed = admit(scan_files(spark, path).select("path", "length"), max_bytes)[1]
-    return text.unionByName(listed.select("path", "length", F.lit(None).cast("string").alias("text"), F.col("reason").alias("status")))
+    return text.unionByName(bad.select("path", "length", F.lit(None).cast("string").alias("text"), F.col("reason").alias("status")))
 
 
 def any_case(kind: str) -> str:

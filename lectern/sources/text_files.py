@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from lectern.operators.running import running
-from lectern.sources.files import decoded, safe_file_name
+from lectern.sources import folders
+from lectern.sources.files import decoded, safe_file_name, scan_files
 
 NAME = "text_files"
 
@@ -101,9 +102,11 @@ def write_files(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     rows.select("file", "value").write.format(NAME).mode("overwrite" if overwrite else "append").save(path)
 
 
-def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """file and value of what write_files wrote."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def read_back(spark: SparkSession, path: str, few: int = folders.FEW) -> DataFrame:
+    """file and value of what write_files wrote; of more files than `few` the driver holds no names."""
+    table = folders.listed(spark, path)
+    count = 0 if table is None else table.count()
+    found = folders.read(table, count) if count > few else scan_files(spark, path)
     return found.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("file"), decoded(F.col("content"))["text"].alias("value"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators.rule_tables import load_rules
-from lectern.sources import files, text_files
+from lectern.sources import files, folders, text_files
 from lectern.streaming import session_table, streams
 
 
@@ -66,6 +66,27 @@ def test_read_files(spark, folder, tmp_path):
     assert sum("content" in x.split("ReadSchema")[1][:120] for x in scans) == 3 and sum("LessThanOrEqual(length,800)" in x for x in scans) >= 3
 
 
+def test_many_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Beyond a number of files the driver holds no names: no file source in the plan, and the same rows."""
+    for d in ("a/b c", "_staging/x", ".hidden", "part=1"):
+        (tmp_path / d).mkdir(parents=True)
+    for name, content in {"a/b c/ä%20.TXT": "Grün".encode("cp1252"), "a/x.txt": b"X", "part=1/_no.txt": b"no", "_staging/x/y.txt": b"no", ".hidden/z.txt": b"no", "empty.txt": b"", "blank.txt": b" \n", "long.txt": b"x" * 900, "a.docx": DOCX, "bad.odt": b"PK..", "n.pdf": b"%", "v.exe": b"1"}.items():
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(folders, "ROWS", 2)
+    few, many = files.read_files(spark, str(tmp_path), 800), files.read_files(spark, str(tmp_path), 800, few=3)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert rows(few) == rows(many) and len(rows(many)) == 8
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "BinaryFile" not in plan and "mapInArrow" in plan.replace("MapInArrow", "mapInArrow")
+    by_source = files.scan_files(spark, str(tmp_path)).select("path", "modificationTime", "length", "content")
+    listed = folders.listed(spark, str(tmp_path))
+    assert rows(folders.read(listed, 9).selectExpr("path", "date_trunc('second', modificationTime) t", "length", "content")) == rows(by_source.selectExpr("path", "date_trunc('second', modificationTime) t", "length", "content"))
+    assert rows(text_files.read_back(spark, str(tmp_path / "a"))) == rows(text_files.read_back(spark, str(tmp_path / "a"), few=0)) != []
+    assert rows(files.read_files(spark, str(tmp_path / "part=1"), 800, few=-1)) == [] and folders.listed(spark, str(tmp_path / "none")) is None
+    with pytest.raises(Exception, match="none"):
+        files.read_files(spark, str(tmp_path / "none"))
+
+
 def test_extract(spark, folder):
     rows = {r.path.rpartition("/")[2]: (r.text, r.status) for r in files.extract_docx(files.scan_files(spark, folder, "*.docx")).collect()}
     assert rows == {"a.docx": ("Eins\n\nZwei", "ok"), "bad.docx": (None, "no archive"), "word.docx": (None, "old Word format")}
