@@ -13,10 +13,13 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from lectern.functions.rules import folded
@@ -135,6 +138,43 @@ def apply_rule_table(docs: DataFrame, rules: DataFrame, fold: int = FOLD, block:
 
 #: Rules of a table that are joined with the texts at once; what is sent is bounded by their characters too.
 JOINED = 1000
+#: What makes a rule one that counts whole words: its literal is a word, between these in its pattern.
+WORD = r"[\p{L}\p{N}_]"
+WORD_BEGINS, WORD_ENDS = f"(?<!{WORD})", f"(?!{WORD})"
+
+
+def _word_counter(spark, words: list[str]):
+    """Of the words of each text those of a block, by their place there, with their number."""
+    sent = spark.sparkContext.broadcast(words)
+    ready: list[pa.Array] = []
+
+    @arrow_udf("array<struct<_i: int, n: bigint>>")
+    def counted(found: pa.Array) -> pa.Array:
+        if not ready:
+            ready.append(pa.array(sent.value, pa.string()))
+        size = np.asarray(pc.fill_null(pc.list_value_length(found), 0), np.int64)
+        at = pc.fill_null(pc.index_in(found.flatten().cast(pa.string()), value_set=ready[0]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        key, n = np.unique((np.repeat(np.arange(len(found)), size) * len(ready[0]) + at)[at >= 0], return_counts=True)
+        offsets = np.searchsorted(key, np.arange(len(found) + 1) * len(ready[0])).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array((key % len(ready[0])).astype(np.int32)), pa.array(n.astype(np.int64))], ["_i", "n"])
+        return pa.ListArray.from_arrays(pa.array(offsets), pairs)
+
+    return counted.asNondeterministic()
+
+
+def _word_hits(docs: DataFrame, rules: DataFrame, block: int) -> DataFrame | None:
+    """rule_hits() of rules that count whole words, None without any: a text is cut into its words once, whatever the number of rules,
+    and words meet the rules by being equal. A word of the pattern's own kind is hit where a whole word of the text is the literal."""
+    spark, rest = docs.sparkSession, [c for c in docs.columns if c != "text"]
+    tokens = F.regexp_extract_all("text", F.lit(f"{WORD}+"), F.lit(0))
+    out = None
+    for some in blocks(rules.select(F.lit("").alias("search"), F.col("literal").alias("replace")).distinct().orderBy("replace"), block):
+        words = [w for _, w in some]
+        at = rules.join(F.broadcast(spark.createDataFrame(list(enumerate(words)), "_i int, literal string")), "literal").drop("literal")
+        hit = docs.select(*rest, F.inline(_word_counter(spark, words)(tokens)))
+        part = hit.join(F.broadcast(at), "_i").select(*rest, "rule_no", "label", "replacement", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _finder(spark, block: list[tuple[int, str]]):
@@ -162,12 +202,24 @@ def _finder(spark, block: list[tuple[int, str]]):
 def rule_hits(docs: DataFrame, rules: DataFrame, joined: int = JOINED, block: int = BLOCK) -> DataFrame:
     """rule_no, label, replacement and n of each rule in each document that holds it (columns of docs but text stay).
 
-    rules: rule_no, label, replacement, literal (a string that every match holds, whatever its case) and pattern (Java). A rule's
+    rules: rule_no, label, replacement, literal (a string that every match holds, whatever its case) and pattern (Java). Rules that
+    count a whole word (WORD_BEGINS, the literal, WORD_ENDS) are found by cutting a text into its words. Of the others a
     pattern is only tried on texts that hold its literal. Few rules meet the texts in a join on that, broadcast, without a shuffle; of
     many, automata over blocks of literals tell which rules a text holds, and the rules' rows join by number. The result is the same.
     """
-    rest = [c for c in docs.columns if c != "text"]
     used = rules.where("literal is not null and literal <> '' and pattern is not null").select("rule_no", "label", "replacement", "literal", "pattern")
+    is_word = F.col("literal").rlike(f"^{WORD}+\\z") & (F.col("pattern") == F.concat(F.lit(WORD_BEGINS), F.col("literal"), F.lit(WORD_ENDS)))
+    used = stored(used.withColumn("_word", is_word), "rules")
+    words, others = (used.where(x).drop("_word") for x in ("_word", "not _word"))
+    found = _word_hits(docs, words.drop("pattern"), block)
+    if found is None or others.limit(1).count():
+        more = _pattern_hits(docs, others, joined, block)
+        found = more if found is None else found.unionByName(more)
+    return found
+
+
+def _pattern_hits(docs: DataFrame, used: DataFrame, joined: int, block: int) -> DataFrame:
+    rest = [c for c in docs.columns if c != "text"]
     n = F.regexp_count("text", F.col("pattern")).cast("bigint").alias("n")
     few = used.agg(F.count("*").alias("n"), F.sum(F.length("literal") + F.length("pattern")).alias("size")).first()
     if few["n"] <= joined and (few["size"] or 0) <= block:

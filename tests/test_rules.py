@@ -183,6 +183,25 @@ def test_rule_inventory(spark, tiny):
     assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan and "hashpartitioning" not in plan
 
 
+def test_rules_of_whole_words(spark, tiny):
+    """Words are counted by cutting texts into words, without a pattern for each rule; the counts are those of the patterns."""
+    from lectern.operators import rule_tables
+    from lectern.plans.corpus import dressed
+
+    docs = dressed(spark, tiny).select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "der Der der_ der-der (der) d\u00e9r"), (None, "_x x1 x")], "doc_id long, text string"))
+    both = lambda w: f"{rule_tables.WORD_BEGINS}{w}{rule_tables.WORD_ENDS}"
+    rows = [(i, w, w.upper(), w, both(w)) for i, w in enumerate(["der", "the", "Ende", "x", "_x", "x1", "dér", "Weiter", "the", "in", "qq"])]
+    rules = spark.createDataFrame(rows, "rule_no int, label string, replacement string, literal string, pattern string")
+    words, by_pattern = rule_tables.rule_hits(docs, rules), rule_tables._pattern_hits(docs, rules, 1000, 1000)
+    want = sorted(by_pattern.collect(), key=str)
+    assert sorted(words.collect(), key=str) == want and len(want) > 100 and words.columns == by_pattern.columns
+    assert sorted(rule_tables.rule_hits(docs, rules, block=8).collect(), key=str) == want  # several blocks
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "regexp_count" not in plan
+    mixed = rules.union(spark.createDataFrame([(50, "e.", "", "e.", "e\\.")], rules.schema))
+    assert {r.rule_no for r in rule_tables.rule_hits(docs, mixed).collect()} == {r.rule_no for r in want} | {50}
+
+
 def test_rule_tables(spark):
     """The same texts however many rules enter the plan, and however the others are cut into blocks."""
     import random
