@@ -1,5 +1,7 @@
 """Each text rule on rows of its own: what it changes, and what it must leave."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +185,23 @@ def test_rule_inventory(spark, tiny):
     assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan and "hashpartitioning" not in plan
 
 
+def test_sentences_are_linear(spark):
+    """The sentences of the plain pattern, on texts of signs and blanks, and in a long run that no blank ends."""
+    import random
+
+    from lectern.functions import segments
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab.!? \n\t\u2028\u0085ä\U0001d11e") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    plain = r"[^.!?]+[.!?]+(?:\s+|$)|[^.!?]+$"
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(segments.SENTENCE), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("b"))
+    assert df.where("a <> b").count() == 0 and df.where("size(a) > 2").count() > 200
+    long = spark.createDataFrame([(1, "wort " * 100_000 + "x.y ende")], "doc_id long, text string")
+    begun = time.monotonic()
+    assert segments.explode_sentences(long).collect()[0].sentence == "y ende"
+    assert time.monotonic() - begun < 30
+
+
 def test_rules_of_whole_words(spark, tiny):
     """Words are counted by cutting texts into words, without a pattern for each rule; the counts are those of the patterns."""
     from lectern.operators import rule_tables
