@@ -202,6 +202,15 @@ def test_sentences_are_linear(spark):
     assert time.monotonic() - begun < 30
 
 
+def test_lines_without_a_duration_are_not_searched(spark):
+    """The guard of pause_seconds() changes no result."""
+    lines = ["PAUSE", "Fünf Minuten", "zehn SEKUNDEN Ruhe", "3 Std", "2 h", "1,5 min.", "٣ Minuten", "eine Minute", "KURZE PAUSE 12.5", "minutenlang", "301", "300", "drei reale Sekunden", "", None, "7x", "(0 Min) zwei Minuten"]
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    assert df.select(P.pause_seconds(F.col("t"))).collect() == df.select(P._asked(F.lower("t"))).collect()
+    plan = df.select(P.pause_seconds(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(" in plan and plan.index("Contains(") < plan.index("regexp_extract")
+
+
 def test_rules_of_whole_words(spark, tiny):
     """Words are counted by cutting texts into words, without a pattern for each rule; the counts are those of the patterns."""
     from lectern.operators import rule_tables
