@@ -127,6 +127,7 @@ def apply_rule_table(docs: DataFrame, rules: DataFrame, fold: int = FOLD, block:
     """
     used = rules.where("search is not null and search <> ''").select("rule_no", "search", F.coalesce("replace", F.lit("")).alias("replace"))
     order = ["rule_no", "search", "replace"]
+    used = stored(used, "rules")  # rules may come from a corpus, which is read once
     few = used.orderBy(*order).limit(fold + 1).collect()
     if len(few) <= fold:
         return docs.withColumn("text", custom_replacements(F.col("text"), [(r["search"], r["replace"]) for r in few]))

@@ -211,6 +211,23 @@ def test_lines_without_a_duration_are_not_searched(spark):
     assert "Contains(" in plan and plan.index("Contains(") < plan.index("regexp_extract")
 
 
+def test_rules_from_a_corpus_are_made_once(spark):
+    """A rule table of any size is evaluated once, however often it is looked at."""
+    from lectern.operators import rule_tables
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(x):
+        seen.add(1)
+        return f"wort{x}"
+
+    docs = spark.createDataFrame([(1, "wort3 wort140 x")], "doc_id long, text string")
+    rules = spark.range(150).select(F.col("id").alias("rule_no"), made.asNondeterministic()("id").alias("search"), F.lit("y").alias("replace"))
+    out = rule_tables.apply_rule_table(docs, rules).collect()
+    assert out[0].text in ("y y x", "y y40 x") and seen.value == 150
+
+
 def test_rules_of_whole_words(spark, tiny):
     """Words are counted by cutting texts into words, without a pattern for each rule; the counts are those of the patterns."""
     from lectern.operators import rule_tables
