@@ -22,10 +22,12 @@ def clean_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
 
 def file_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, options: CleaningOptions = CleaningOptions(), max_bytes: int = MAX_BYTES) -> StreamingQuery:
     """Text files as they arrive in a folder: decoded, cleaned and sanitized (path, charset, text), blank ones left out. Files of other
-    kinds are not listed, those beyond the size not opened."""
+    kinds are not listed, those beyond the size not opened. The source makes a task of some thirty small files; a task here takes many
+    of these one after another, so a batch has as many tasks, and files written, as the session has shuffle partitions."""
     kind = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
     found = kind.option("pathGlobFilter", any_case("txt")).option("recursiveFileLookup", "true").load(in_dir)
-    texts = decode_text(found.where((F.col("length") > 0) & (F.col("length") <= max_bytes)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = decode_text(found.where((F.col("length") > 0) & (F.col("length") <= max_bytes)).coalesce(tasks))
     texts = texts.where(trim(F.col("text")) != "").withColumn("text", clean(F.col("text"), options)).withColumn("text", sanitize(F.col("text")))
     return texts.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 

@@ -195,6 +195,16 @@ def test_streams(spark, tiny, tmp_path):
     assert streamed.count() == docs.count() and streamed.exceptAll(batch).count() == 0
 
 
+def test_file_stream_has_few_tasks(spark, tmp_path):
+    """However many small files arrive, a batch writes no more files than the session has shuffle partitions."""
+    (tmp_path / "in").mkdir()
+    for i in range(300):
+        (tmp_path / "in" / f"{i}.txt").write_text(f"Text {i}.")
+    streams.file_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 300
+    assert len(list((tmp_path / "out").glob("*.parquet"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_session_stream(spark, tmp_path):
     home, schema = str(tmp_path), "key string, text string, saved_at timestamp"
     row = lambda k, t, h: spark.sql(f"select '{k}' key, '{t}' text, timestamp'2024-01-01 0{h}:00:00' saved_at")
