@@ -22,6 +22,8 @@ KINDS = ("pdf", "docx", "odt", "txt", "rtf")
 CHARSETS = ("cp1252", "iso8859_15")
 #: Words that a German text has.
 GERMAN = r"(?iu)(?<![\p{L}\p{N}_])(?:und|der|die|das|ist|nicht|ein|eine|zu|in)(?![\p{L}\p{N}_])"
+#: Characters of texts that a task holds before it passes them on.
+HELD = 2 << 20
 #: An archive member may unpack to this many bytes.
 MAX_UNPACKED = 4 * MAX_BYTES
 
@@ -215,16 +217,21 @@ def _extract(files: DataFrame, read, *keep: str) -> DataFrame:
     status = F.when(F.col("content").isNull(), "no content").when(head == "D0CF11E0", "old Word format").when(~head.startswith("504B"), "no archive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, states = [], []
-            for content, known in zip(b.column("content").to_pylist(), b.column("status").to_pylist(), strict=True):
+        for batch in batches:
+            begin, texts, states, size = 0, [], [], 0
+            for i in range(batch.num_rows):
+                known = batch.column("status")[i].as_py()
                 try:
-                    texts.append(None if known else read(content))
+                    texts.append(None if known else read(batch.column("content")[i].as_py()))
                     states.append(known or "ok")
                 except Exception as e:  # noqa: BLE001  damaged, encrypted, missing or malformed: one file must not end the job
                     texts.append(None)
                     states.append(f"unreadable: {type(e).__name__}")
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("path", *keep)], pa.array(texts, pa.string()), pa.array(states, pa.string())], ["path", *keep, "text", "status"])
+                size += len(texts[-1] or "")
+                if size >= HELD or i == batch.num_rows - 1:
+                    b = batch.slice(begin, i + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("path", *keep)], pa.array(texts, pa.string()), pa.array(states, pa.string())], ["path", *keep, "text", "status"])
+                    begin, texts, states, size = i + 1, [], [], 0
 
     rows = files.select("path", *keep, F.when(status.isNull(), F.col("content")).alias("content"), status.alias("status"))
     return rows.mapInArrow(run, rows.select("path", *keep, F.lit(None).cast("string").alias("text"), "status").schema)

@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,30 @@ def test_extract(spark, folder):
     assert files.extract_odt(files.scan_files(spark, folder, "*.odt")).first().text == "Eins\nZwei"
 
 
+def test_extraction_holds_few_texts(monkeypatch, spark):
+    """A batch of archives is passed on in parts, bounded in characters, in order."""
+    got = {}
+
+    class Rows:
+        columns = ["path", "content"]
+        schema = None
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            got["run"] = run
+
+    monkeypatch.setattr(files, "HELD", 100)
+    files._extract(Rows(), lambda c: c.decode() * 30)
+    rows = pa.RecordBatch.from_pydict({"path": [f"p{i}" for i in range(20)], "content": [b"x"] * 18 + [None, b"\xff"], "status": [None] * 18 + ["no content", None]})
+    parts = list(got["run"](iter([rows, rows.slice(0, 0)])))
+    assert len(parts) >= 5 and all(p.num_rows <= 4 for p in parts)
+    assert [x for p in parts for x in p.column("path").to_pylist()] == rows.column("path").to_pylist()
+    states = [x for p in parts for x in p.column("status").to_pylist()]
+    assert states == ["ok"] * 18 + ["no content", "unreadable: UnicodeDecodeError"]
+
+
 def test_bad_archives(spark):
     broken, locked = bytearray(archive("content.xml", "x" * 500)), bytearray(ODT)
     with zipfile.ZipFile(b := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
