@@ -20,11 +20,23 @@ def clean_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
     return cleaned.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def _listing(spark: SparkSession) -> SparkSession:
+    """A session with the settings of this one, but that looks at a batch's files in few tasks: the source takes each new file for a
+    folder, and there would be a task for each."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
+    return own
+
+
 def file_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, options: CleaningOptions = CleaningOptions(), max_bytes: int = MAX_BYTES) -> StreamingQuery:
     """Text files as they arrive in a folder: decoded, cleaned and sanitized (path, charset, text), blank ones left out. Files of other
     kinds are not listed, those beyond the size not opened. The source makes a task of some thirty small files; a task here takes many
-    of these one after another, so a batch has as many tasks, and files written, as the session has shuffle partitions."""
-    kind = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    of these one after another, so a batch has as many tasks, and files written, as the session has shuffle partitions. The query belongs
+    to a session of its own."""
+    kind = _listing(spark).readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
     found = kind.option("pathGlobFilter", any_case("txt")).option("recursiveFileLookup", "true").load(in_dir)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = decode_text(found.where((F.col("length") > 0) & (F.col("length") <= max_bytes)).coalesce(tasks))

@@ -225,8 +225,12 @@ def test_file_stream_has_few_tasks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(300):
         (tmp_path / "in" / f"{i}.txt").write_text(f"Text {i}.")
-    streams.file_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    query = streams.file_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 300
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(query.runId) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism  # also of those that look at the files
     assert len(list((tmp_path / "out").glob("*.parquet"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
