@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.rules import bind
 from lectern.functions.text import sanitize, trim
+from lectern.session import stored
 from lectern.sources import folders
 
 MAX_BYTES = 50 * 1024 * 1024
@@ -258,7 +259,8 @@ def write_corpus(df: DataFrame, path: str, stamp: Column | None = None, as_files
     named = file_name(F.col("name"), F.current_timestamp() if stamp is None else stamp)
     out = df.select(named.alias("file"), F.concat(F.lit("\ufeff"), sanitize(F.coalesce("text", F.lit("")) if as_files else F.col("text"))).alias("value"))
     if as_files:
-        write_files(numbered_names(out), path, overwrite=True)
+        # numbering looks at its rows for ranges before it deals them out, so they are made once before
+        write_files(numbered_names(stored(out, "sanitized")), path, overwrite=True)
     else:
         out.withColumn("file", F.regexp_replace("file", r"\.txt\z", "")).write.mode("overwrite").parquet(path)
 

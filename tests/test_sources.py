@@ -190,6 +190,19 @@ def test_write_corpus(spark, tmp_path):
     assert not list((tmp_path / "out").glob("_staging*"))
 
 
+def test_texts_are_made_once_before_they_are_numbered(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(x):
+        seen.add(1)
+        return f"Text {x}."
+
+    df = spark.range(40, numPartitions=2).select(F.lit("a").alias("name"), made.asNondeterministic()("id").alias("text"))
+    files.write_corpus(df, str(tmp_path / "out"), F.lit("2024-01-02 03:04:05").cast("timestamp"), as_files=True)
+    assert len(list((tmp_path / "out").rglob("*.txt"))) == 40 and seen.value == 40
+
+
 def test_nothing_is_seen_of_a_failed_write(spark, tmp_path):
     rows = spark.range(100, numPartitions=4).select(F.concat("id", F.lit(".txt")).alias("file"), F.when(F.col("id") == 77, F.raise_error(F.lit("no"))).otherwise("x").alias("value"))
     with pytest.raises(Exception, match="no"):
