@@ -1,19 +1,27 @@
 """One document of each group of near copies: texts whose sets of five-word shingles are alike by LEAST (Jaccard) or more, and what
 such links connect.
 
-A text's fingerprint is a SimHash of BITS bits over its different shingles. Texts with equal sets are one class. Two sets that are
-alike by LEAST differ in about SHARE of the bits, too many for equal segments, so classes meet where some bits, drawn at random for
-each of several tables, are equal: so many bits that a class meets about COMPANY others by chance, and so many tables that of pairs at
-LEAST the share RECALL meets (closer ones more often). Of those that meet, the pigeonring prunes: the fingerprint is a ring of four
-words, and some chain of consecutive words must stay within its share of the limit REACH at each of its steps; what is left gets the
-full check. Of a bucket's pairs a minimum spanning forest goes on: whatever is linked is joined by pairs that lie no farther
-apart, so forests keep what is connected and no pair is listed beyond them. Then the sets themselves decide: each pair of the forests is
-kept if the Jaccard similarity of its sets is LEAST or more.
+No link is left out. Texts with equal sets are one class. Two sets alike by LEAST, of m and n shingles, differ in at most
+far(m + n) of them, so of more parts than that, into which hashes deal all shingles, one at least is equal in both. How many
+parts follows from a group of sizes (LIMITS); a set is cut for its own group and the one above, as sets that are alike lie in the
+same or in neighbouring ones. Where a set leaves so many parts empty that equal ones may all be, its prefix is added: the smallest
+hashes, of which sets alike by LEAST share one. Classes that share no part (or prefix) with another are settled.
+
+Of the others most links are found by fingerprints first, which lists few pairs where many texts are alike. A text's fingerprint is
+a SimHash of BITS bits over its different shingles. Two sets that are alike by LEAST differ in about SHARE of the bits, so classes
+meet where some bits, drawn at random for each of several tables, are equal: so many bits that a class meets about COMPANY
+others by chance, and so many tables that of pairs at LEAST the share RECALL meets (closer ones more often). Of those that meet, the
+pigeonring prunes: the fingerprint is a ring of four words, and some chain of consecutive words must stay within its share of the
+limit REACH at each of its steps; what is left gets the full check. Of a bucket's pairs a minimum spanning forest goes on, and the
+sets themselves decide: each pair is kept if the Jaccard similarity of its sets is LEAST or more.
+
+Then the classes that share a part and are not connected yet are compared, all of them: first by sizes and by a bitmap of BITS bits
+(parities of shingles by hash), in which two sets differ in no more bits than shingles, then by the sets.
 
 A bucket beyond BUCKET classes is dealt as pairs of blocks. Sets are worked out only for the classes that have pairs.
 
 Nulls: a null text has no words; texts without words are alike. Of a group the row with the smallest doc_id stays, null ids last.
-Very long texts: fingerprints look at some shingles at a time; sets are held as numbers of 4 bytes. Empty tables give empty results.
+Very long texts: fingerprints look at some shingles at a time; sets are held as numbers of 8 bytes. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from math import ceil, log, log2, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Words, as_text, parts, place_of, ragged, slices, tidy, written
@@ -44,6 +52,24 @@ COMPANY = 8
 BUCKET = 4096
 SMALL = 32
 SEED = 42
+#: LEAST in thousandths.
+MILLE = round(1000 * LEAST)
+
+
+def far(total: int) -> int:
+    """In how many shingles two sets of `total` together differ at most, if they are alike by LEAST."""
+    return total * (1000 - MILLE) // (1000 + MILLE)
+
+
+def _limits() -> np.ndarray:
+    out = [0, 1]
+    while out[-1] < 1 << 31:
+        out.append(max(out[-1] + 1, out[-1] * 1000 // MILLE))
+    return np.array(out)
+
+
+#: The largest size of each group: a set has none alike beyond the next group.
+LIMITS = _limits()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -74,21 +100,103 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return np.packbits(2 * total > len(shingles)).tobytes()
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits as numbers: whether the number of shingles that fall to a bit is odd."""
+    odd = np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+ODD = [f"_p{i}" for i in range(BITS // 64)]
+
+
 def marked(docs: DataFrame) -> DataFrame:
-    """docs, columns renamed c0, c1, ..., with _class (a digest of the set of shingles) and _fp."""
+    """docs, columns renamed c0, c1, ..., with _class (a digest of the set of shingles), _fp, _n (its size) and its parity."""
     text = f"c{place_of(docs, 'text')}"
     df = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    more = {"_class": "binary", "_fp": "binary", "_n": "int"} | dict.fromkeys(ODD, "bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            digest, fp = [], []
+            digest, fp, size, odd = [], [], [], []
             for s in shingle_sets(Words(as_text(batch.column(text)), TABLE)):
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 fp.append(fingerprint(s))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, pa.binary()), pa.array(fp, pa.binary())], [*batch.schema.names, "_class", "_fp"])
+                size.append(len(s))
+                odd.append(parity(s))
+            found = [pa.array(digest, pa.binary()), pa.array(fp, pa.binary()), pa.array(size, pa.int32()), *(pa.array(p) for p in np.ascontiguousarray(np.array(odd).T))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *more])
+
+    return df.mapInArrow(tidy(run), df.withColumns({k: F.lit(None).cast(v) for k, v in more.items()}).schema)
+
+
+# ---------------------------------------------------------------- what classes share
 
-    none = F.lit(None).cast("binary")
-    return df.mapInArrow(tidy(run), df.withColumns({"_class": none, "_fp": none}).schema)
+
+def signatures(s: np.ndarray) -> np.ndarray:
+    """Numbers of a set (different hashes in order), one of which any other set alike by LEAST has too."""
+    n = len(s)
+    most = n * 1000 // MILLE
+    if not far(n + most):
+        return np.zeros(0, np.uint64)
+    high, group, out, sure = s >> np.uint64(32), int(np.searchsorted(LIMITS, n)), [], True
+    for table in (group, group + 1):
+        top = int(LIMITS[table])
+        # more than can differ, and some to spare, as others are empty
+        many = far(2 * top) + 2 + top // 32
+        part = (high * np.uint64(many)) >> np.uint64(32)
+        edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        out.append(_mixed(np.add.reduceat(s, edge) + _mixed(part[edge] + (np.uint64(table) << np.uint64(40)))))
+        sure &= len(edge) > far(n + min(top, most))
+    if not sure:
+        out.append(_mixed(s[: n - -(-n * MILLE // 1000) + 1] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    return np.concatenate(out)
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """key and c of the signatures that several classes have. rows: c (a number for each class) and text."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            c = np.asarray(batch.column("c"))
+            once = np.sort(np.unique(c, return_index=True)[1])
+            found = [signatures(s) for s in shingle_sets(Words(as_text(batch.column("text").take(pa.array(once))), TABLE))]
+            of = np.repeat(c[once], [len(k) for k in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(of)], ["key", "c"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, c, had = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row so far, and whether its key had one before
+        for batch in batches:
+            key, c = np.append(key, np.asarray(batch.column("key"))), np.append(c, np.asarray(batch.column("c")))
+            new = np.append(True, (key[1:] != key[:-1]) | (c[1:] != c[:-1])) if len(key) else np.zeros(0, bool)
+            key, c = key[new], c[new]
+            same = key[1:] == key[:-1]
+            good = np.append(had, same) | np.append(same, False) if len(key) else np.zeros(0, bool)
+            if len(key):
+                had = bool(good[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(key[:-1][good[:-1]]), pa.array(c[:-1][good[:-1]])], ["key", "c"])
+                key, c = key[-1:], c[-1:]
+        if had:
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["key", "c"])
+
+    dealt = rows.mapInArrow(tidy(signed), "key bigint, c bigint").repartition(parts(rows), "key").sortWithinPartitions("key", "c")
+    return dealt.mapInArrow(tidy(several), "key bigint, c bigint")
+
+
+def apart(shared: DataFrame, member: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """All pairs (a, b) of nodes that share a key, have not the same label and may be alike by sizes and parities.
+    shared: key and c; member: c, node, label, _n and the parities."""
+    rows = shared.join(member.select("c", "node", "label"), "c").select("key", "node", "label")
+    of = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k")).where("low <> high")
+    blocks = F.when(F.col("k") > bucket, F.ceil(F.col("k") / (bucket / 2))).otherwise(1).cast("int").alias("blocks")
+    rows = written(rows.join(of.select("key", blocks), "key"), "mixed-keys")
+    own, each = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    facts = member.select("node", "_n", *ODD)
+    full = rows.join(facts, "node").withColumn("_own", own).withColumn("_each", each)
+    at = lambda name, x, y: full.select("key", F.col("_own").alias(x), F.col("_each").alias(y), *[F.col(k).alias(f"{name}{k}") for k in ("node", "label", "_n", *ODD)])
+    pairs = at("a", "x", "y").join(at("b", "y", "x"), ["key", "x", "y"])
+    differ = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in ODD), F.lit(0))
+    may = (F.col("alabel") < F.col("blabel")) & ((1000 + MILLE) * differ <= (1000 - MILLE) * (F.col("a_n") + F.col("b_n")))
+    return pairs.where(may).select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
 
 
 # ---------------------------------------------------------------- candidates
@@ -226,15 +334,15 @@ def candidates(classes: DataFrame, count: int, bucket: int = BUCKET) -> DataFram
 
 
 def sets(rows: DataFrame) -> DataFrame:
-    """node and set (shingles as numbers of 4 bytes) of rows (node, text)."""
+    """node and set (hashes of the shingles) of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [np.unique(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in shingle_sets(Words(as_text(batch.column("text")), TABLE))]
+            found = [s.view(np.int64) for s in shingle_sets(Words(as_text(batch.column("text")), TABLE))]
             offsets = pa.array(np.append(0, np.cumsum([len(s) for s in found])), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))], ["node", "set"])
 
-    return rows.mapInArrow(tidy(run), "node bigint, set array<int>")
+    return rows.mapInArrow(tidy(run), "node bigint, set array<bigint>")
 
 
 def links(pairs: DataFrame, of: DataFrame, least: float = LEAST) -> DataFrame:
@@ -244,19 +352,28 @@ def links(pairs: DataFrame, of: DataFrame, least: float = LEAST) -> DataFrame:
     return both.where(1000 * F.col("k") >= round(1000 * least) * (F.col("m") + F.col("n") - F.col("k"))).select("a", "b")
 
 
+def linked(pairs: DataFrame, table: DataFrame, text: Column, classes: DataFrame, name: str) -> DataFrame:
+    """links of the pairs, as a written table, by the sets of the texts that their classes stand for."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    of = classes.join(nodes, "node", "left_semi").select("node", F.col("least.key").alias("_key"))
+    of = written(sets(table.select("_key", text.alias("text")).join(of, "_key").select("node", "text")), f"{name}-sets")
+    return written(links(pairs, of), f"{name}-links")
+
+
 def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id, with its columns."""
     names = docs.columns
     table = written(marked(docs).withColumn("_key", F.monotonically_increasing_id()), "marked")
     doc_id, text = (F.col(f"c{place_of(docs, n)}") for n in ("doc_id", "text"))
     order = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.col("_key").alias("key"))
-    classes = table.groupBy("_class").agg(F.first("_fp").alias("fp"), F.min(order).alias("least"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "fp", "least"), "classes")
-    pairs = written(candidates(classes.select("node", "fp"), classes.count(), bucket), "near-pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    of = classes.join(nodes, "node", "left_semi").select("node", F.col("least.key").alias("_key"))
-    of = written(sets(table.select("_key", text.alias("text")).join(of, "_key").select("node", "text")), "shingle-sets")
-    found = connected_components(written(links(pairs, of), "near-links"))
-    member = classes.join(found, "node", "left").select("least", F.coalesce("label", "node").alias("group"))
-    kept = member.groupBy("group").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_key"))
+    classes = table.groupBy("_class").agg(F.min(order).alias("least"), *[F.first(k).alias(k) for k in ("_fp", "_n", *ODD)])
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), F.xxhash64("_class").alias("c"), F.col("_fp").alias("fp"), "_n", *ODD, "least"), "classes")
+    shared = written(shared_keys(table.select(F.xxhash64("_class").alias("c"), text.alias("text"))), "shared-keys")
+    near = written(classes.join(shared.select("c").distinct(), "c", "left_semi"), "near-classes")
+    pairs = written(candidates(near.select("node", "fp"), near.count(), bucket), "near-pairs")
+    first = linked(pairs, table, text, near, "near")
+    label = lambda df, found: df.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = written(apart(shared, label(near, connected_components(first)), bucket), "rest-pairs")
+    found = connected_components(first.union(linked(rest, table, text, near, "rest")))
+    kept = label(classes, found).groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_key"))
     return table.join(kept, "_key", "left_semi").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -106,3 +106,52 @@ def test_documents(spark, tiny):
     kept = {r.doc_id for r in N.deduplicated(docs).collect()}
     assert set(least.values()) <= kept and len(kept - set(least.values())) <= 0.1 * (len(rows) - len(least))
     assert N.deduplicated(docs).columns == docs.columns
+
+
+def test_sets_that_are_alike_share_a_signature():
+    rng = np.random.default_rng(3)
+    sizes = [*range(1, 60), 90, 133, 200, 517, 1000] * 8
+    for n in sizes:
+        m = int(rng.integers(-(-n * 4 // 5), n * 5 // 4 + 1))
+        both = -(-4 * (n + m) // 9)  # the smallest number that makes them alike by 0.8
+        if both > min(n, m) or both == n == m:
+            continue
+        pool = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64) * np.uint64(2))
+        assert len(pool) == n + m
+        pool = rng.permutation(pool)
+        a, b = np.sort(pool[:n]), np.sort(pool[n - both : n - both + m])
+        assert 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b))
+        assert set(N.signatures(a)) & set(N.signatures(b))
+        assert np.bitwise_count((N.parity(a) ^ N.parity(b)).view(np.uint64)).sum() <= n + m - 2 * both
+
+
+@pytest.mark.parametrize("bucket", [N.BUCKET, 4])
+def test_no_pair_is_left_out(spark, bucket):
+    """As brute force has it: pairs just at the limit, chains of them, texts with much in common, and short ones."""
+    rng = random.Random(6)
+    texts, same = [], [f"l{i}" for i in range(60)]
+    for _ in range(500):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([8, 9, 12, 30, 100, 300]))]
+        texts.append(" ".join(words))
+        for _ in range(rng.choice([1, 1, 2])):
+            words = list(words)
+            for _ in range(max(1, len(words) * 2 // 100)):
+                words[rng.choice([0, len(words) - 1, rng.randrange(len(words))])] = f"v{rng.randint(0, 5000)}"
+            texts.append(" ".join(words))
+    texts += [" ".join(same + [f"x{rng.randint(0, 5000)}" for _ in range(rng.randint(8, 20))]) for _ in range(60)]
+    root = groups(texts)
+    least = {}
+    for i, g in enumerate(root):
+        least[g] = min(i, least.get(g, i))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(least) < len(texts) - 300
+    assert {r.doc_id for r in N.deduplicated(docs, bucket).collect()} == set(least.values())
+
+
+def test_documents_as_brute_force(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    least = {}
+    for r, g in zip(rows, groups([r.text for r in rows]), strict=True):
+        least[g] = min(r.doc_id, least.get(g, r.doc_id))
+    assert {r.doc_id for r in N.deduplicated(docs).collect()} == set(least.values())
