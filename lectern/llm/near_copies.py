@@ -15,8 +15,8 @@ pigeonring prunes: the fingerprint is a ring of four words, and some chain of co
 limit REACH at each of its steps; what is left gets the full check. Of a bucket's pairs a minimum spanning forest goes on, and the
 sets themselves decide: each pair is kept if the Jaccard similarity of its sets is LEAST or more.
 
-Then the classes that share a part and are not connected yet are compared, all of them: first by sizes and by a bitmap of BITS bits
-(parities of shingles by hash), in which two sets differ in no more bits than shingles, then by the sets.
+Then the classes that share a part and are not connected yet are compared, all of them. Before sets are compared, sizes and a bitmap
+of WIDE bits (parities of shingles by hash), in which two sets differ in no more bits than shingles, rule out most pairs.
 
 A bucket beyond BUCKET classes is dealt as pairs of blocks. Sets are worked out only for the classes that have pairs.
 
@@ -52,6 +52,8 @@ COMPANY = 8
 BUCKET = 4096
 SMALL = 32
 SEED = 42
+#: Bits of the parities.
+WIDE = 1024
 #: LEAST in thousandths.
 MILLE = round(1000 * LEAST)
 
@@ -101,12 +103,12 @@ def fingerprint(shingles: np.ndarray) -> bytes:
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    """BITS bits as numbers: whether the number of shingles that fall to a bit is odd."""
-    odd = np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """WIDE bits as numbers: whether the number of shingles that fall to a bit is odd."""
+    odd = np.bincount((shingles % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-ODD = [f"_p{i}" for i in range(BITS // 64)]
+ODD = [f"_p{i}" for i in range(WIDE // 64)]
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -182,6 +184,22 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(tidy(several), "key bigint, c bigint")
 
 
+def may_link(a: str, b: str) -> Column:
+    """Whether sizes and parities of two classes, in columns that begin with a and b, allow that they are alike."""
+    differ = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in ODD), F.lit(0))
+    return (1000 + MILLE) * F.greatest(differ, F.abs(F.col(f"{a}_n") - F.col(f"{b}_n"))) <= (1000 - MILLE) * (F.col(f"{a}_n") + F.col(f"{b}_n"))
+
+
+def facts(classes: DataFrame, name: str) -> DataFrame:
+    """What may_link needs, by node `name`."""
+    return classes.select(F.col("node").alias(name), *[F.col(k).alias(name + k) for k in ("_n", *ODD)])
+
+
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and parities allow."""
+    return pairs.join(facts(classes, "a"), "a").join(facts(classes, "b"), "b").where(may_link("a", "b")).select("a", "b")
+
+
 def apart(shared: DataFrame, member: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """All pairs (a, b) of nodes that share a key, have not the same label and may be alike by sizes and parities.
     shared: key and c; member: c, node, label, _n and the parities."""
@@ -190,13 +208,10 @@ def apart(shared: DataFrame, member: DataFrame, bucket: int = BUCKET) -> DataFra
     blocks = F.when(F.col("k") > bucket, F.ceil(F.col("k") / (bucket / 2))).otherwise(1).cast("int").alias("blocks")
     rows = written(rows.join(of.select("key", blocks), "key"), "mixed-keys")
     own, each = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    facts = member.select("node", "_n", *ODD)
-    full = rows.join(facts, "node").withColumn("_own", own).withColumn("_each", each)
-    at = lambda name, x, y: full.select("key", F.col("_own").alias(x), F.col("_each").alias(y), *[F.col(k).alias(f"{name}{k}") for k in ("node", "label", "_n", *ODD)])
-    pairs = at("a", "x", "y").join(at("b", "y", "x"), ["key", "x", "y"])
-    differ = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in ODD), F.lit(0))
-    may = (F.col("alabel") < F.col("blabel")) & ((1000 + MILLE) * differ <= (1000 - MILLE) * (F.col("a_n") + F.col("b_n")))
-    return pairs.where(may).select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
+    full = rows.withColumn("own", own).withColumn("each", each)
+    at = lambda name, x, y: full.join(facts(member, name), F.col("node") == F.col(name)).select("key", F.col("own").alias(x), F.col("each").alias(y), F.col("label").alias(f"{name}_l"), name, *[name + k for k in ("_n", *ODD)])
+    pairs = at("a", "x", "y").join(at("b", "y", "x"), ["key", "x", "y"]).where((F.col("a_l") < F.col("b_l")) & may_link("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 # ---------------------------------------------------------------- candidates
@@ -355,7 +370,7 @@ def links(pairs: DataFrame, of: DataFrame, least: float = LEAST) -> DataFrame:
 def linked(pairs: DataFrame, table: DataFrame, text: Column, classes: DataFrame, name: str) -> DataFrame:
     """links of the pairs, as a written table, by the sets of the texts that their classes stand for."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    of = classes.join(nodes, "node", "left_semi").select("node", F.col("least.key").alias("_key"))
+    of = written(classes.join(nodes, "node", "left_semi").select("node", F.col("least.key").alias("_key")), f"{name}-nodes")
     of = written(sets(table.select("_key", text.alias("text")).join(of, "_key").select("node", "text")), f"{name}-sets")
     return written(links(pairs, of), f"{name}-links")
 
@@ -370,10 +385,10 @@ def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), F.xxhash64("_class").alias("c"), F.col("_fp").alias("fp"), "_n", *ODD, "least"), "classes")
     shared = written(shared_keys(table.select(F.xxhash64("_class").alias("c"), text.alias("text"))), "shared-keys")
     near = written(classes.join(shared.select("c").distinct(), "c", "left_semi"), "near-classes")
-    pairs = written(candidates(near.select("node", "fp"), near.count(), bucket), "near-pairs")
+    pairs = written(possible(candidates(near.select("node", "fp"), near.count(), bucket), near), "near-pairs")
     first = linked(pairs, table, text, near, "near")
     label = lambda df, found: df.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = written(apart(shared, label(near, connected_components(first)), bucket), "rest-pairs")
     found = connected_components(first.union(linked(rest, table, text, near, "rest")))
-    kept = label(classes, found).groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_key"))
+    kept = written(label(classes, found).groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_key")), "kept")
     return table.join(kept, "_key", "left_semi").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
