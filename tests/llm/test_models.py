@@ -369,3 +369,20 @@ def test_pieces_are_of_the_text(monkeypatch):
     assert (c.symbols == c.end).sum() == sum(r["closes"] for r in rows)
     size_of = np.diff(c.begin) - c.skip
     assert size.sum() == size_of.sum() and (before == np.minimum(attention.CONTEXT, begin - np.repeat(c.begin[:-1], -(-size_of // attention.STRIDE)))).all()
+
+
+def test_lm_learns_from_every_symbol(spark, monkeypatch):
+    """What the parts had of all symbols is what the learning texts hold, beside the pieces that training begins with; also where
+    several tasks learn, and of texts far longer than a piece."""
+    for name, value in {"LEAST": 40, "CHUNK": 20, "STEPS": 5, "FEW": 2_000}.items():
+        monkeypatch.setattr(lm, name, value)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"{'abc'[k % 3] * 4}{k}" for k in rng.integers(0, 90, [3, 50, 900][i % 3]).tolist())) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (90, None), (91, "")], "doc_id long, text string")
+    counts, seen = lm.word_counts(docs), []
+    taken = lm._taken
+    monkeypatch.setattr(lm, "_taken", lambda out, model, sums: (seen.append(sums.sum()), taken(out, model, sums), seen.append(sums.sum())))
+    learn = docs.where(lm.fold("doc_id", 10) != 0).withColumn("text", lm.F.coalesce("text", lm.F.lit("")))
+    lm.fit(counts, learn)
+    words = lm.Words(as_text(pa.array([r.text for r in learn.collect()])), lm.TABLE)
+    assert len(seen) == 4 and abs(seen[3] - seen[2] - len(lm.Symbols(words).symbols)) < 1
