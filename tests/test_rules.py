@@ -368,3 +368,22 @@ def test_one_narrow_stage_and_each_step_once(spark, tiny):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and plan.count("FileScan parquet") == 1 and plan.count("ArrowEvalPython") == 1
         assert plan.count(R.DECIMALS[0].replacement) == 1
+
+
+def test_quick_looks_change_nothing(spark):
+    """Rules behind a quick look, beside their patterns alone, on texts made of what they look at; unseen signs have a look too."""
+    import random
+
+    from lectern.functions import rules as R
+
+    rng = random.Random(4)
+    bits = ["manche", "Manche", "manchen", "CHAKRA", "regie", "Übermanche", "äz.B.", "z.B.", "vgl.", "VGL.", "s. ", "[PAUSE 2s]", "[[PROTECTED_regie]]", "(", ")", " ", " ", "​", "\x0b", "\x0c", "　", "ä", "x", "\n", "_", "ſ"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    word = r"(?<![\p{L}\p{N}_])(?:" + "|".join(sorted(R.PHONETIC, key=len, reverse=True)) + r")(?![\p{L}\p{N}_])"
+    plain = lambda rules: F.expr("t") if not rules else F.regexp_replace(plain(rules[:-1]), F.lit(rules[-1].java()), F.lit(rules[-1].replacement))
+    same = df.select((T.invisible_to_space(F.col("t")).eqNullSafe(plain(R.INVISIBLE))).alias("a"), (T.fix_typography(F.col("t")).eqNullSafe(plain(R.TYPOGRAPHY))).alias("b"), (F.col("t").rlike("(?iu)" + word) | T.phonetic(F.col("t")).eqNullSafe(F.col("t"))).alias("c"))
+    assert same.where("a and b and c").count() == len(texts) + 1
+    got = {r.t: r.p for r in spark.createDataFrame([("MANCHE manchen regie",), ("Übermanche [[PROTECTED_regie]] Chakra",)], "t string").select("t", T.phonetic(F.col("t")).alias("p")).collect()}
+    assert got == {"MANCHE manchen regie": "Mannche manchen reschi", "Übermanche [[PROTECTED_regie]] Chakra": "Übermanche [[PROTECTED_regie]] Tschakra"}
+    assert all(r.sign for r in R.INVISIBLE) and all(r.sign for r in R.TYPOGRAPHY[3:])
