@@ -16,9 +16,11 @@ limit REACH at each of its steps; what is left gets the full check. Of a bucket'
 sets themselves decide: each pair is kept if the Jaccard similarity of its sets is LEAST or more.
 
 Then the classes that share a part and are not connected yet are compared, all of them. Before sets are compared, sizes and a bitmap
-of WIDE bits (parities of shingles by hash), in which two sets differ in no more bits than shingles, rule out most pairs.
+of WIDE bits (parities of shingles by hash), in which two sets differ in no more bits than shingles, rule out most pairs; of long
+sets, in which more bits may differ than these have, a bitmap that grows with the set. So sets travel for few pairs but links.
 
-A bucket beyond BUCKET classes is dealt as pairs of blocks. Sets are worked out only for the classes that have pairs.
+A bucket beyond BUCKET classes is dealt as pairs of blocks. Sets are worked out only for the classes that have pairs. Texts stay
+where they are: up to FEW rows to be looked up or left out are broadcast by key, more join by a shuffle.
 
 Nulls: a null text has no words; texts without words are alike. Of a group the row with the smallest doc_id stays, null ids last.
 Very long texts: fingerprints look at some shingles at a time; sets are held as numbers of 8 bytes. Empty tables give empty results.
@@ -54,6 +56,8 @@ SMALL = 32
 SEED = 42
 #: Bits of the parities.
 WIDE = 1024
+#: Keys that are sent to all tasks.
+FEW = 2_000_000
 #: LEAST in thousandths.
 MILLE = round(1000 * LEAST)
 
@@ -102,12 +106,24 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return np.packbits(2 * total > len(shingles)).tobytes()
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """WIDE bits as numbers: whether the number of shingles that fall to a bit is odd."""
-    odd = np.bincount((shingles % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) & 1
+def parity(shingles: np.ndarray, wide: int = WIDE) -> np.ndarray:
+    """`wide` bits as numbers: whether the number of shingles that fall to a bit is odd."""
+    odd = np.bincount((shingles % np.uint64(wide)).astype(np.int64), minlength=wide) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def long_parity(shingles: np.ndarray) -> np.ndarray:
+    """The parities by twice as many bits as shingles or more, a power of two."""
+    return parity(shingles, max(64, 1 << (2 * len(shingles) - 1).bit_length()))
+
+
+def odd_bits(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits two long parities differ, at the shorter one's width: half of a bitmap added to the other is that of half the width."""
+    wide = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, wide), axis=0) for v in (x, y))
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
 ODD = [f"_p{i}" for i in range(WIDE // 64)]
 
 
@@ -349,30 +365,57 @@ def candidates(classes: DataFrame, count: int, bucket: int = BUCKET) -> DataFram
 
 
 def sets(rows: DataFrame) -> DataFrame:
-    """node and set (hashes of the shingles) of rows (node, text)."""
+    """node, set (hashes of the shingles) and odd (their long parity) of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [s.view(np.int64) for s in shingle_sets(Words(as_text(batch.column("text")), TABLE))]
-            offsets = pa.array(np.append(0, np.cumsum([len(s) for s in found])), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))], ["node", "set"])
+            odd = [long_parity(s.view(np.uint64)) for s in found]
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(s) for s in k])), pa.int32()), pa.array(np.concatenate(k))) for k in (found, odd)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *lists], ["node", "set", "odd"])
+
+    return rows.mapInArrow(tidy(run), "node bigint, set array<bigint>, odd array<bigint>")
+
+
+def sides(pairs: DataFrame, of: DataFrame, what: str) -> DataFrame:
+    """pairs (a, b) with column `what` of the two as _s and _t."""
+    side = lambda node, name: of.select(F.col("node").alias(node), F.col(what).alias(name))
+    return pairs.select("a", "b").join(side("a", "_s"), "a").join(side("b", "_t"), "b")
 
-    return rows.mapInArrow(tidy(run), "node bigint, set array<bigint>")
+
+def closer(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs that their long parities allow to be alike. of: as sets gives."""
+    sized = of.select("node", F.struct(F.size("set").alias("n"), "odd").alias("odd"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, t = batch.column("_s"), batch.column("_t")
+            total = np.asarray(s.field("n"), np.int64) + np.asarray(t.field("n"), np.int64)
+            lists = ((x.values.to_numpy(), x.offsets.to_numpy()) for x in (s.field("odd"), t.field("odd")))
+            (x, i), (y, j) = lists
+            good = [odd_bits(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]) <= far(n) for k, n in enumerate(total.tolist())]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return sides(pairs, sized, "odd").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def links(pairs: DataFrame, of: DataFrame, least: float = LEAST) -> DataFrame:
     """The pairs whose sets are alike by `least` or more."""
-    side = lambda node, name: of.select(F.col("node").alias(node), F.col("set").alias(name))
-    both = pairs.join(side("a", "_s"), "a").join(side("b", "_t"), "b").select("a", "b", F.size("_s").alias("m"), F.size("_t").alias("n"), F.size(F.array_intersect("_s", "_t")).alias("k"))
+    both = sides(pairs, of, "set").select("a", "b", F.size("_s").alias("m"), F.size("_t").alias("n"), F.size(F.array_intersect("_s", "_t")).alias("k"))
     return both.where(1000 * F.col("k") >= round(1000 * least) * (F.col("m") + F.col("n") - F.col("k"))).select("a", "b")
 
 
+def by_key(table: DataFrame, keys: DataFrame, how: str, few: int | None = None) -> DataFrame:
+    """table joined to keys, a written table, by _key; without a shuffle of the texts where keys has few rows."""
+    return table.join(F.broadcast(keys) if keys.count() <= (FEW if few is None else few) else keys, "_key", how)
+
+
 def linked(pairs: DataFrame, table: DataFrame, text: Column, classes: DataFrame, name: str) -> DataFrame:
     """links of the pairs, as a written table, by the sets of the texts that their classes stand for."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     of = written(classes.join(nodes, "node", "left_semi").select("node", F.col("least.key").alias("_key")), f"{name}-nodes")
-    of = written(sets(table.select("_key", text.alias("text")).join(of, "_key").select("node", "text")), f"{name}-sets")
-    return written(links(pairs, of), f"{name}-links")
+    of = written(sets(by_key(table.select("_key", text.alias("text")), of, "inner").select("node", "text")), f"{name}-sets")
+    return written(links(written(closer(pairs, of), f"{name}-closer"), of), f"{name}-links")
 
 
 def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -391,4 +434,6 @@ def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rest = written(apart(shared, label(near, connected_components(first)), bucket), "rest-pairs")
     found = connected_components(first.union(linked(rest, table, text, near, "rest")))
     kept = written(label(classes, found).groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_key")), "kept")
-    return table.join(kept, "_key", "left_semi").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    gone = written(table.select("_key").join(kept, "_key", "left_anti"), "gone")
+    left = by_key(table, gone, "left_anti") if gone.count() <= FEW else by_key(table, kept, "left_semi")
+    return left.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -155,3 +155,41 @@ def test_documents_as_brute_force(spark, tiny):
     for r, g in zip(rows, groups([r.text for r in rows]), strict=True):
         least[g] = min(r.doc_id, least.get(g, r.doc_id))
     assert {r.doc_id for r in N.deduplicated(docs).collect()} == set(least.values())
+
+
+def test_long_sets_are_ruled_out_by_parities_that_grow_with_them(spark):
+    """Two bits a shingle or more: pairs well below the limit go before their sets travel, at any length; no link does."""
+    rng = np.random.default_rng(4)
+    rows, pairs, links = [], [], set()
+    for k in range(60):
+        n = int(rng.choice([1, 3, 40, 700, 5000, 20_000]))
+        pool = rng.permutation(np.unique(rng.integers(0, 1 << 63, 3 * n, dtype=np.uint64)))
+        m = int(rng.integers(-(-n * 4 // 5), n * 5 // 4 + 1))
+        both = -(-4 * (n + m) // 9) if k % 2 else min(n, m) * 6 // 10
+        if both > min(n, m):
+            continue
+        a, b = np.sort(pool[:n]), np.sort(pool[n - both : n - both + m])
+        rows += [(2 * k, a.view(np.int64).tolist(), N.long_parity(a).tolist()), (2 * k + 1, b.view(np.int64).tolist(), N.long_parity(b).tolist())]
+        pairs.append((2 * k, 2 * k + 1))
+        links |= {pairs[-1]} if 10 * both >= 8 * (n + m - both) else set()
+    of = spark.createDataFrame(rows, "node bigint, set array<bigint>, odd array<bigint>")
+    left = {tuple(r) for r in N.closer(spark.createDataFrame(pairs, "a bigint, b bigint"), of).collect()}
+    assert len(links) > 10 and links <= left
+    assert all(p in links or len(rows[[r[0] for r in rows].index(p[0])][1]) < 40 for p in left)
+    # the parities of fixed width can't tell these
+    x, y = (np.sort(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)) for _ in range(2))
+    assert np.bitwise_count((N.parity(x) ^ N.parity(y)).view(np.uint64)).sum() <= N.far(40_000) < N.odd_bits(N.long_parity(x), N.long_parity(y))
+
+
+def test_texts_are_not_shuffled_for_a_few_rows(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = N.deduplicated(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+        keys = out.select(out.doc_id.alias("_key")).limit(5)
+        assert "SortMergeJoin" in N.by_key(docs.withColumnRenamed("doc_id", "_key"), keys, "left_anti", few=1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
