@@ -112,3 +112,12 @@ def test_clean_until_nothing_is_hit(spark):
     assert [i for i, _ in got] == [1, 2, 3, 4, 5, 5]
     assert dict(got)[1].split() == "start end of it".split() + ["filler"] * 40 and dict(got)[2].split() == ["clean"] * 20
     assert D.report(done, bench).where("contaminated").count() == 0
+
+
+def test_one_block_is_found_and_cut_in_one_worker(spark, tiny):
+    """One pass to Python and back, so a task holds one worker and one set of batches."""
+    docs, benchmark = (spark.read.parquet(f"{tiny}/{n}.parquet") for n in ("documents", "benchmark"))
+    out = D.clean(docs, benchmark)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    several = {tuple(r) for r in D.clean(docs, benchmark, most=300).collect()}
+    assert {tuple(r) for r in out.collect()} == several
