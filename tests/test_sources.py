@@ -38,6 +38,21 @@ def test_admit(spark, folder):
     assert {r.path.rpartition("/")[2]: r.reason for r in bad.collect()} == {"x.doc": "old Word format: save as .docx", "big.txt": "too large", "p.pdf": "no reader for this kind"}
 
 
+def test_admit_query_on_odd_rows(spark, tmp_path):
+    """Rows without characters are judged by kind as SQL does; ids below zero, null and large, and sizes that are null, too."""
+    import duckdb
+
+    from lectern.plans import catalogue
+
+    rows = [(i, n) for i in (*range(-8, 15), None, 2**63 - 1, -(2**63), 10**12 + 1) for n in (0, 3, 5000, 5001, None)]
+    spark.createDataFrame(rows, "doc_id bigint, n_chars bigint").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    key = lambda r: (str(r[0]), r[1])
+    theirs = con.execute(catalogue.ORACLE_SQL["a02_admit"]).fetchall()
+    assert sorted((tuple(r) for r in catalogue.QUERIES["a02_admit"](spark, str(tmp_path)).collect()), key=key) == sorted(theirs, key=key)
+
+
 def test_decode(spark, folder):
     rows = files.decode_text(files.scan_files(spark, folder, "*.txt").where("length between 1 and 4000")).collect()
     assert {r.path.rpartition("/")[2]: (r.charset, r.text) for r in rows} == {"utf.txt": ("utf-8", "Grüße"), "bom.txt": ("utf-8", "Grüße"), "old.txt": ("cp1252", "Grüße für die Bäume und das Öl")}
