@@ -262,6 +262,45 @@ def test_file_stream_has_few_tasks(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("*.parquet"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_file_stream_driver_holds_no_names(spark, tmp_path):
+    """Files are listed and opened by tasks: the stream's own source sees a few files of a table, however many texts arrive. Each
+    text comes once, also in later batches; folders may be nested, other kinds, blank and large files stay out."""
+    home, seen = tmp_path / "in", []
+    (home / "sub").mkdir(parents=True)
+
+    def arrive() -> set:
+        query = streams.file_stream(spark, str(home), str(tmp_path / "out"), str(tmp_path / "state"), max_bytes=5000)
+        query.awaitTermination()
+        assert query.exception() is None
+        seen.extend(p.numInputRows for p in query.recentProgress)
+        return sorted((r.path.rpartition("/")[2], r.charset, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for i in range(300):
+        (home / ("sub" if i % 2 else "") / f"{i} ä%.TXT").write_bytes(f"Größe {i}.".encode("utf-8" if i % 3 else "cp1252"))
+    for name, content in (("big.txt", b"x" * 6000), ("none.txt", b""), ("blank.txt", b" \n"), ("a.md", b"a"), (".hid.txt", b"b"), ("b.txt.gz", b"c")):
+        (home / name).write_bytes(content)
+    first = [(f"{i} ä%.TXT", "utf-8" if i % 3 else "cp1252", f"Größe {i}.") for i in range(300)]
+    assert arrive() == sorted(first)
+    assert arrive() == sorted(first)
+    (home / "sub" / "later.txt").write_text("Später.")
+    assert arrive() == sorted([*first, ("later.txt", "utf-8", "Später.")])
+    entries = [x for f in (tmp_path / "state" / "sources" / "0").iterdir() if f.name.isdigit() for x in f.read_text().splitlines() if x.startswith("{")]
+    assert 0 < len(entries) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_file_stream_goes_on_from_a_former_checkpoint(spark, tmp_path, monkeypatch):
+    """A checkpoint begun with Spark's file source goes on with it, so no text comes twice."""
+    (tmp_path / "in").mkdir()
+    run = lambda: streams.file_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    (tmp_path / "in" / "a.txt").write_text("Eins.")
+    with monkeypatch.context() as m:
+        m.setattr(streams, "_arrived", lambda *_: None)
+        run()
+    (tmp_path / "in" / "b.txt").write_text("Zwei.")
+    run()
+    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["Eins.", "Zwei."]
+
+
 def test_session_stream(spark, tmp_path):
     home, schema = str(tmp_path), "key string, text string, saved_at timestamp"
     row = lambda k, t, h: spark.sql(f"select '{k}' key, '{t}' text, timestamp'2024-01-01 0{h}:00:00' saved_at")
