@@ -112,3 +112,18 @@ def test_steps_of_a_fixed_table_sort_nothing(monkeypatch):
             want[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
     assert np.allclose(training.sums, sums, rtol=1e-5) and abs(training.sums.sum() - 700) < 1e-2
     assert all(np.allclose(net.w[k], want[k], atol=1e-5) for k in want)
+
+
+def test_every_gram_counts(spark, tiny, monkeypatch):
+    """Grams and contexts beyond those that are sent to all workers come beside the texts: scores are the same whatever the bound."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").where("doc_id < 60").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(1000, None), (None, "Zzyzx zzyzx qwrtplk"), (1001, "Zzyzx zzyzxqwrt " * 40), (1002, "")], "doc_id bigint, text string"))
+    scores = {}
+    for bound in (lm.GRAMS, 1500, 0):
+        monkeypatch.setattr(lm, "GRAMS", bound)
+        scores[bound] = {r.doc_id: (r.score, r.base_score, r.n_known, r.n_tokens) for r in lm.scored(docs).collect()}
+    whole = scores.pop(1_000_000)
+    for found in scores.values():
+        assert found.keys() == whole.keys() and len(found) == 64
+        for k, x in found.items():
+            np.testing.assert_allclose(x, whole[k], rtol=1e-4)
